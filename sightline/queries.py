@@ -1,15 +1,446 @@
-"""Registered queries."""
+"""Registered queries over the domain tables, with DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sightline.functions import boxes, geo, plates, scoring
+from sightline.functions.integrity import sighting_digest
+from sightline.operators import detections as det
+from sightline.operators import evidence, filters, joins, mutations, ranking, rollups, routes
+from sightline.plans import views as v
+from sightline.plans.streams import replayed
+from sightline.streaming import sightings as st
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        if sql:
+            more, _, body = sql.partition("---")
+            _SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{v.SQL}{', ' + more if body else ''} {body or more}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# pieces of SQL that several queries share
+A_SQL = "pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)"
+KM_SQL = f"CASE WHEN abs(lat2 - lat1) < 1e-7 AND abs(lon2 - lon1) < 1e-7 THEN 0 ELSE round(12742.0::DOUBLE * atan2(sqrt(least(1, {A_SQL})), sqrt(1 - least(1, {A_SQL}))), 4) END"
+SECONDS_SQL = "(epoch_us(t2) - epoch_us(t1)) / 1000000.0::DOUBLE"
+MOVED_SQL = f"""
+p AS (SELECT case_id, s.sighting_id, s.timestamp, s.camera_id, c.latitude, c.longitude FROM v_matches m JOIN v_sightings s USING (sighting_id) JOIN v_cameras c ON c.id = s.camera_id),
+w AS (SELECT *, row_number() OVER x AS seq, lag(latitude) OVER x AS lat1, lag(longitude) OVER x AS lon1, lag(timestamp) OVER x AS t1, lag(camera_id) OVER x AS from_camera_id, latitude AS lat2, longitude AS lon2, timestamp AS t2
+  FROM p WINDOW x AS (PARTITION BY case_id ORDER BY timestamp, sighting_id)),
+k AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM w WHERE seq > 1),
+g AS (SELECT case_id, (seq - 1)::INT AS from_seq, seq::INT AS to_seq, from_camera_id, camera_id AS to_camera_id, km, dt,
+  CASE WHEN dt < 0 THEN 0 WHEN dt = 0 THEN CASE WHEN km <= 0.05 THEN 0 ELSE 'Infinity'::DOUBLE END ELSE round(km / (dt / 3600), 2) END AS speed,
+  CASE WHEN dt < 0 THEN false WHEN dt = 0 THEN km <= 0.05 ELSE km / (dt / 3600) <= 120 END AS feasible, lat1, lon1, lat2, lon2 FROM k)"""
+BEARING_SQL = """CASE WHEN abs(lat2 - lat1) < 1e-7 AND abs(lon2 - lon1) < 1e-7 THEN 0 ELSE round(fmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)),
+  cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360, 360), 2) END"""
+#: Characters of the confusion groups and the first of each.
+CLASS = ("OQDILTB3SZGC4UY", "000111885266AVV")
+
+
+def _route_points(spark: SparkSession, d: str) -> DataFrame:
+    s, m, c = v.sightings(spark, d).select("sighting_id", "timestamp", "camera_id"), v.matches(spark, d).select("case_id", "sighting_id"), v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    return m.join(s, "sighting_id").join(c, "camera_id")
+
+
+@_query(f"{MOVED_SQL} --- SELECT case_id, from_seq, to_seq, from_camera_id, to_camera_id, km, dt, speed, feasible, {BEARING_SQL} AS bearing FROM g")
+def route_segments(spark: SparkSession, d: str) -> DataFrame:
+    return routes.route_segments(_route_points(spark, d))
+
+
+@_query(f"""{MOVED_SQL}, a AS (SELECT case_id, round(sum(km), 3) AS total_km, bool_and(feasible) AS all_feasible FROM g GROUP BY case_id),
+e AS (SELECT case_id, count(*) AS n_points, round((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0::DOUBLE, 2) AS duration_s, arg_max(camera_id, (timestamp, sighting_id)) AS last_camera, max(timestamp) AS last_seen FROM p GROUP BY case_id)
+--- SELECT case_id, n_points, coalesce(total_km, 0) AS total_km, duration_s, CASE WHEN duration_s > 0 THEN round(coalesce(total_km, 0) / (duration_s / 3600), 2) ELSE 0 END AS avg_speed, coalesce(all_feasible, true) AS all_feasible, last_camera, last_seen FROM e LEFT JOIN a USING (case_id)""")
+def route_summary(spark: SparkSession, d: str) -> DataFrame:
+    return routes.route_summary(_route_points(spark, d))
+
+
+@_query(f"""{MOVED_SQL} --- SELECT case_id, to_seq, feasible, CASE WHEN feasible THEN 'Feasible' ELSE 'Speed Alert' END AS label, CASE WHEN bool_or(NOT feasible) OVER (PARTITION BY case_id) THEN 'Speed Alert' ELSE 'Feasible' END AS route_label FROM g""")
+def transition_feasibility(spark: SparkSession, d: str) -> DataFrame:
+    return filters.segment_labels(routes.route_segments(_route_points(spark, d))).select("case_id", "to_seq", "feasible", "label", "route_label")
+
+
+@_query(f"""q AS (SELECT a.id AS a, b.id AS b, a.latitude AS lat1, a.longitude AS lon1, b.latitude AS lat2, b.longitude AS lon2 FROM v_cameras a, v_cameras b) --- SELECT a, b, {KM_SQL} AS km, {BEARING_SQL} AS bearing FROM q""")
+def bearing(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d)
+    a = c.select(F.col("id").alias("a"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"))
+    b = c.select(F.col("id").alias("b"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    four = [F.col(x) for x in ("lat1", "lon1", "lat2", "lon2")]
+    return a.crossJoin(b).select("a", "b", geo.haversine_km(*four).alias("km"), geo.bearing_deg(*four).alias("bearing"))
+
+
+@_query(f"""s AS (SELECT case_id, theft_latitude, theft_longitude, theft_datetime, sighting_id, timestamp, camera_id FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id)
+  UNION ALL SELECT case_id, theft_latitude, theft_longitude, theft_datetime, sighting_id, timestamp, camera_id FROM v_cases JOIN v_sightings ON plate_text = reported_plate WHERE case_id NOT IN (SELECT case_id FROM v_matches)),
+pts AS (SELECT s.case_id, s.sighting_id, s.timestamp, s.camera_id, coalesce(c.latitude, theft_latitude) AS lat2, coalesce(c.longitude, theft_longitude) AS lon2, 1 AS leg FROM s LEFT JOIN v_cameras c ON c.id = s.camera_id
+  UNION ALL SELECT DISTINCT case_id, NULL, theft_datetime, 'THEFT_ORIGIN', theft_latitude, theft_longitude, 0 FROM s),
+w AS (SELECT *, timestamp AS t2, row_number() OVER x - 1 AS seq, lag(lat2) OVER x AS lat1, lag(lon2) OVER x AS lon1, lag(timestamp) OVER x AS t1, lag(camera_id) OVER x AS from_camera_id FROM pts WINDOW x AS (PARTITION BY case_id ORDER BY leg, timestamp, sighting_id)),
+k AS (SELECT *, 12742.0::DOUBLE * atan2(sqrt({A_SQL}), sqrt(1 - ({A_SQL}))) AS raw, {SECONDS_SQL} AS sec FROM w WHERE leg = 1),
+o AS (SELECT *, sec < 0 OR (sec = 0 AND raw > 0.05) AS odd, CASE WHEN sec > 0 THEN raw / (sec / 3600) ELSE 0 END AS sp FROM k)
+--- SELECT case_id, seq::INT AS seq, sighting_id, from_camera_id, camera_id, timestamp, CASE WHEN seq > 1 THEN round(raw, 3) END AS km, CASE WHEN seq > 1 THEN round(sec, 1) END AS dt, CASE WHEN seq > 1 THEN CASE WHEN odd THEN 999 ELSE round(sp, 1) END END AS speed,
+  NOT odd AND sp <= 120 AS feasible, round(sum(raw) OVER (PARTITION BY case_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS running_km FROM o""")
+def case_route_origin(spark: SparkSession, d: str) -> DataFrame:
+    c, m, s = v.cases(spark, d), v.matches(spark, d), v.sightings(spark, d)
+    cols = ["case_id", "theft_latitude", "theft_longitude", "theft_datetime", "sighting_id", "timestamp", "camera_id"]
+    seen = joins.case_timeline(c, m, s).select(*cols).unionByName(joins.plate_fallback(c, m, s).select(*cols))
+    return routes.case_routes(joins.with_camera(seen, v.cameras(spark, d), "route"))
+
+
+@_query("SELECT case_id, sighting_id, timestamp FROM v_cases JOIN v_sightings ON plate_text = reported_plate WHERE case_id NOT IN (SELECT case_id FROM v_matches)")
+def plate_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return joins.plate_fallback(v.cases(spark, d), v.matches(spark, d), v.sightings(spark, d)).select("case_id", "sighting_id", "timestamp")
+
+
+SEARCH = {"plate": "ab00", "vehicle_type": "CAR", "color": "e", "start": "2024-01-05 00:00:00", "end": "2024-01-25 12:00:00", "min_confidence": 0.1}
+SEARCH_SQL = "plate_text LIKE '%AB00%' AND vehicle_type LIKE '%car%' AND vehicle_color LIKE '%e%' AND timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp <= TIMESTAMP '2024-01-25 12:00:00' AND plate_confidence >= 0.1"
+
+
+@_query(f"SELECT sighting_id, camera_id, timestamp, plate_text, plate_confidence FROM v_sightings WHERE {SEARCH_SQL}")
+def search_filters(spark: SparkSession, d: str) -> DataFrame:
+    return v.sightings(spark, d).filter(filters.search_filter(**SEARCH)).select("sighting_id", "camera_id", "timestamp", "plate_text", "plate_confidence")
+
+
+BEST_SQL = "b AS (SELECT sighting_id, arg_max(composite_score, (coalesce(composite_score, 0), -id)) AS best, arg_max(verification_status, (coalesce(composite_score, 0), -id)) AS st FROM v_matches GROUP BY sighting_id)"
+VIEW_SQL = """SELECT s.sighting_id, s.camera_id, coalesce(c.name, s.camera_id) AS camera_name, coalesce(c.latitude, 0) AS latitude, coalesce(c.longitude, 0) AS longitude, coalesce(c.road_name, 'Corridor Location') AS road_name, timestamp, plate_text,
+  coalesce(plate_confidence, 0) AS plate_confidence, vehicle_type, vehicle_color, round(coalesce(nullif(best, 0), plate_confidence, 0), 4) AS match_score, coalesce(st, 'pending') AS verification_status FROM f s LEFT JOIN v_cameras c ON c.id = s.camera_id LEFT JOIN b USING (sighting_id)"""
+
+
+@_query(f"{BEST_SQL}, f AS (SELECT * FROM v_sightings WHERE {SEARCH_SQL} ORDER BY timestamp DESC, sighting_id DESC LIMIT 20 OFFSET 20) --- {VIEW_SQL}")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = rollups.page(v.sightings(spark, d).filter(filters.search_filter(**SEARCH)), 2, 20)
+    return filters.sighting_view(joins.with_best_match(joins.with_camera(rows, v.cameras(spark, d)), v.matches(spark, d)))
+
+
+@_query(f"{BEST_SQL}, f AS (SELECT * FROM v_sightings) --- {VIEW_SQL}")
+def search_best_match(spark: SparkSession, d: str) -> DataFrame:
+    return filters.sighting_view(joins.with_best_match(joins.with_camera(v.sightings(spark, d), v.cameras(spark, d)), v.matches(spark, d)))
+
+
+@_query("SELECT sighting_id, camera_id, timestamp, 3 AS page FROM v_sightings WHERE camera_id = 'CAM_003' ORDER BY timestamp DESC, sighting_id DESC LIMIT 25 OFFSET 50")
+def sightings_feed(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.feed(v.sightings(spark, d).filter(F.col("camera_id") == "CAM_003"), 25, 50).select("sighting_id", "camera_id", "timestamp", "page")
+
+
+MIDNIGHT = "2024-01-30 00:00:00"
+
+
+@_query(f"""SELECT (SELECT count(*) FROM v_cameras) AS total_cameras, (SELECT count(*) FROM v_cameras WHERE status = 'active') AS active_cameras, (SELECT count(*) FROM v_cases WHERE status IN ('open', 'tracking')) AS active_cases,
+  (SELECT round(100.0::DOUBLE * count(*) FILTER (status = 'recovered') / count(*), 1) FROM v_cases) AS recovery_rate, (SELECT count(*) FROM v_sightings WHERE timestamp >= TIMESTAMP '{MIDNIGHT}') AS detections_today, (SELECT count(*) FROM v_matches WHERE created_at >= TIMESTAMP '{MIDNIGHT}') AS matches_today""")
+def dashboard_kpis(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.dashboard_kpis(v.cameras(spark, d), v.cases(spark, d), v.sightings(spark, d), v.matches(spark, d), MIDNIGHT)
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (status = 'recovered') AS recovered, round(100.0::DOUBLE * count(*) FILTER (status = 'recovered') / count(*), 1) AS recovery_rate FROM v_cases")
+def recovery_rate(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.recovery_rate(v.cases(spark, d))
+
+
+@_query("n AS (SELECT camera_id, count(*) AS n FROM v_sightings GROUP BY camera_id) --- SELECT id AS camera_id, name, status, coalesce(n, 0) AS detections FROM v_cameras LEFT JOIN n ON id = camera_id")
+def detections_per_camera(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.detections_per_camera(v.cameras(spark, d), v.sightings(spark, d))
+
+
+@_query("n AS (SELECT case_id, count(*) AS c, count(*) FILTER (verification_status = 'verified') AS v FROM v_matches GROUP BY case_id) --- SELECT case_id, fir_number, status, coalesce(c, 0) AS candidates, coalesce(v, 0) AS verified FROM v_cases LEFT JOIN n USING (case_id)")
+def case_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.case_counts(v.cases(spark, d), v.matches(spark, d))
+
+
+@_query("""l AS (SELECT * FROM v_matches ORDER BY created_at DESC, id DESC LIMIT 5) --- SELECT l.id, case_id, fir_number, reported_plate, sighting_id, camera_id, plate_text, composite_score, created_at FROM l JOIN v_cases USING (case_id) JOIN v_sightings USING (sighting_id)""")
+def recent_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.recent_alerts(v.matches(spark, d), v.cases(spark, d), v.sightings(spark, d))
+
+
+SIM_SQL = f"""
+pairs AS (SELECT DISTINCT reported_plate AS x, plate_text AS y FROM (SELECT DISTINCT reported_plate FROM v_cases), (SELECT DISTINCT plate_text FROM v_sightings WHERE plate_text IS NOT NULL)),
+steps AS (SELECT x, y, 0 AS i, [j::DOUBLE FOR j IN range(0, len(y) + 1)] AS r FROM pairs UNION ALL
+  SELECT x, y, i + 1, list_reduce([[least(r[j + 1] + 1, r[j] + CASE WHEN x[i + 1] = y[j] THEN 0 WHEN translate(x[i + 1], '{CLASS[0]}', '{CLASS[1]}') = translate(y[j], '{CLASS[0]}', '{CLASS[1]}') AND NOT (x[i + 1] IN ('U', 'Y') AND y[j] IN ('U', 'Y')) THEN 0.3::DOUBLE ELSE 1 END)] FOR j IN range(1, len(y) + 1)],
+    lambda acc, e: acc || [least(acc[-1] + 1, e[1])], [(i + 1)::DOUBLE]) FROM steps WHERE i < len(x)),
+sim AS (SELECT x, y, round(greatest(0, 1 - r[-1] / greatest(len(x), len(y))), 4) AS similarity FROM steps WHERE i = len(x))"""
+
+
+@_query(f"{SIM_SQL} --- SELECT x AS reported_plate, y AS plate_text, similarity FROM sim", recursive=True)
+def plate_similarity(spark: SparkSession, d: str) -> DataFrame:
+    seen = v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct()
+    return v.cases(spark, d).select("reported_plate").distinct().crossJoin(seen).withColumn("similarity", plates.plate_similarity(F.col("reported_plate"), F.col("plate_text")))
+
+
+BASE_SQL = """CASE WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 0.85 ELSE list_sum([(x[i] = y[i])::INT FOR i IN range(1, least(len(x), len(y)) + 1)]) / greatest(len(x), len(y))::DOUBLE END"""
+
+
+@_query(f"pairs AS (SELECT DISTINCT reported_plate AS x, plate_text AS y FROM v_cases, v_sightings WHERE plate_text IS NOT NULL) --- SELECT x AS reported_plate, y AS plate_text, ({BASE_SQL})::DOUBLE AS similarity FROM pairs")
+def baseline_similarity(spark: SparkSession, d: str) -> DataFrame:
+    seen = v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct()
+    return v.cases(spark, d).select("reported_plate").distinct().crossJoin(seen).withColumn("similarity", plates.baseline_plate_similarity(F.col("reported_plate"), F.col("plate_text")))
+
+
+@_query(f"""c AS (SELECT *, reported_plate AS x, plate_text AS y FROM v_cases, v_sightings WHERE case_color = vehicle_color OR contains(plate_text, reported_plate[1:6])),
+t AS (SELECT *, 0.50::DOUBLE * (CASE WHEN y IS NULL THEN 0 ELSE {BASE_SQL} END)::DOUBLE * greatest(0.5, plate_confidence) + 0.25::DOUBLE * (contains(case_type, vehicle_type) OR contains(vehicle_type, case_type))::INT + 0.25::DOUBLE * (case_color = vehicle_color)::INT AS z FROM c)
+--- SELECT case_id, sighting_id, plate_confidence AS plate_score, 0.90::DOUBLE AS visual_score, 1.0::DOUBLE AS attribute_score, round(z, 4) AS composite_score, 'pending' AS verification_status, status = 'open' AS case_starts_tracking FROM t WHERE round(z, 4) >= 0.4""")
+def baseline_match(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.baseline_match(v.cases(spark, d), v.sightings(spark, d))
+
+
+COS_SQL = "round(greatest(0, least(1, list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[]))))), 4)"
+VEC_SQL = f"vs AS (SELECT case_id, v.vec_id, {COS_SQL} AS visual FROM (SELECT case_id, embedding AS a FROM v_cases JOIN embeddings ON vec_id = ref_id), (SELECT vec_id, embedding AS b FROM embeddings) v)"
+
+
+@_query(f"{VEC_SQL} --- SELECT case_id, vec_id, visual AS similarity FROM vs")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = v.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return v.cases(spark, d, vectors=True).select("case_id", "reference_embedding").crossJoin(e).select("case_id", "vec_id", scoring.cosine01(F.col("reference_embedding"), F.col("embedding")).alias("similarity"))
+
+
+@_query(f"""{VEC_SQL}, r AS (SELECT case_id AS query_id, row_number() OVER (PARTITION BY case_id ORDER BY visual DESC, sighting_id)::INT AS rank, sighting_id, visual AS similarity FROM vs JOIN v_sightings USING (vec_id)) --- SELECT * FROM r WHERE rank <= 10""")
+def visual_top_k(spark: SparkSession, d: str) -> DataFrame:
+    q = v.cases(spark, d, vectors=True).select(F.col("case_id").alias("query_id"), "reference_embedding")
+    return ranking.visual_top_k(q, v.sightings(spark, d, vectors=True))
+
+
+COLOR_SQL = "CASE WHEN contains(case_color, vehicle_color) OR contains(vehicle_color, case_color) OR (case_color IN ('silver', 'grey') AND vehicle_color IN ('silver', 'grey')) THEN 1.0::DOUBLE ELSE 0 END"
+ATTR_SQL = f"att AS (SELECT case_id, sighting_id, (case_type = vehicle_type)::INT::DOUBLE AS type_score, {COLOR_SQL} AS color_score FROM v_cases, v_sightings)"
+
+
+@_query(f"{ATTR_SQL} --- SELECT case_id, sighting_id, type_score, color_score, 0.5 * type_score + 0.5 * color_score AS attribute_score FROM att JOIN v_matches USING (case_id, sighting_id)")
+def attribute_scores(spark: SparkSession, d: str) -> DataFrame:
+    t = joins.case_timeline(v.cases(spark, d).drop("status"), v.matches(spark, d), v.sightings(spark, d))
+    return t.select("case_id", "sighting_id", scoring.attribute_scores(F.col("case_type"), F.col("vehicle_type"), F.col("case_color"), F.col("vehicle_color")).alias("a")).select("case_id", "sighting_id", "a.*")
+
+
+SCORED_SQL = f"""{SIM_SQL}, {VEC_SQL},
+j AS (SELECT c.case_id, s.sighting_id, timestamp, theft_datetime, theft_latitude AS lat1, theft_longitude AS lon1, k.latitude AS lat2, k.longitude AS lon2, theft_datetime AS t1, timestamp AS t2, plate_text, plate_confidence AS conf, coalesce(similarity, 0) AS ps, visual,
+  (case_type = vehicle_type)::INT::DOUBLE AS ty, {COLOR_SQL} AS co FROM v_cases c CROSS JOIN v_sightings s JOIN vs ON vs.case_id = c.case_id AND vs.vec_id = s.vec_id LEFT JOIN sim ON x = reported_plate AND y = plate_text LEFT JOIN v_cameras k ON k.id = s.camera_id),
+q AS (SELECT *, ps * CASE WHEN conf > 0 THEN least(1, conf) ELSE 1 END AS pl, plate_text IS NOT NULL AND conf >= 0.5 AND ps >= 0.4 AS sure FROM j),
+z AS (SELECT *, round(greatest(0, least(1, CASE WHEN sure THEN 0.5 * pl + 0.35 * visual + 0.15 * (0.5 * ty + 0.5 * co) ELSE 0.65 * visual + 0.2 * co + 0.15 * ty END)), 4) AS comp FROM (SELECT * REPLACE (pl::DOUBLE AS pl) FROM q))"""
+
+
+@_query(f"{SCORED_SQL} --- SELECT case_id, sighting_id, comp AS composite_score, round(pl, 4) AS plate_score, round(ps, 4) AS plate_similarity, visual AS visual_score, 0.5 * ty + 0.5 * co AS attribute_score, ty AS type_score, co AS color_score, NOT sure AS plate_occluded FROM z JOIN v_matches USING (case_id, sighting_id)", recursive=True)
+def composite(spark: SparkSession, d: str) -> DataFrame:
+    pairs = joins.case_timeline(v.cases(spark, d, vectors=True).drop("status"), v.matches(spark, d), v.sightings(spark, d, vectors=True))
+    return ranking.score_pairs(pairs.drop("composite_score"))
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    return ranking.rank_candidates(v.cases(spark, d, vectors=True), v.sightings(spark, d, vectors=True).join(c, "camera_id", "left"))
+
+
+RANKED_SQL = f"""{SCORED_SQL},
+gated AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM z),
+ok AS (SELECT * FROM gated WHERE comp >= 0.4 AND (lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600))),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY comp DESC, timestamp DESC, sighting_id) AS rank FROM ok),
+top AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, rank)::INT AS sequence_order FROM rk WHERE rank <= 20)"""
+
+
+@_query(f"{RANKED_SQL} --- SELECT case_id, sighting_id, rank::INT AS rank, sequence_order, comp AS score, round(pl, 4) AS plate_score, visual AS visual_score, round(0.5 * ty + 0.5 * co, 4) AS attribute_score, 1.0::DOUBLE AS spatio_temporal_score, NOT sure AS plate_occluded FROM top", recursive=True)
+def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d)
+
+
+@_query(f"{RANKED_SQL} --- SELECT case_id, sighting_id, sequence_order FROM top", recursive=True)
+def sequence_order(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("case_id", "sighting_id", "sequence_order")
+
+
+@_query(f"""{MOVED_SQL}, n AS (SELECT id AS from_id, lead(id) OVER (ORDER BY id) AS to_id, latitude AS lat1, longitude AS lon1, lead(latitude) OVER (ORDER BY id) AS lat2, lead(longitude) OVER (ORDER BY id) AS lon2 FROM v_cameras),
+tp AS (SELECT from_id, to_id, round({KM_SQL}, 3) AS distance_km FROM n WHERE to_id IS NOT NULL)
+--- SELECT case_id, to_seq, tp.from_id IS NOT NULL AS connected, coalesce(dt BETWEEN round(distance_km / 120 * 3600, 1) AND round(distance_km / 15 * 3600, 1), false) AS in_time, CASE WHEN dt > 0 THEN round(distance_km / (dt / 3600) / 50, 3) END AS speed_ratio FROM g LEFT JOIN tp ON from_id = from_camera_id AND to_id = to_camera_id""")
+def topology_check(spark: SparkSession, d: str) -> DataFrame:
+    t = joins.topology_from(v.cameras(spark, d))
+    return joins.topology_check(routes.route_segments(_route_points(spark, d)), t).select("case_id", "to_seq", "connected", "in_time", "speed_ratio")
+
+
+@_query("SELECT audit_id, user_badge_id, action, timestamp FROM v_audit ORDER BY timestamp DESC, audit_id DESC LIMIT 50")
+def audit_recent(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.audit_recent(v.audit(spark, d)).select("audit_id", "user_badge_id", "action", "timestamp")
+
+
+@_query("SELECT audit_id, user_badge_id, action, timestamp FROM v_audit WHERE user_badge_id = 'B7' ORDER BY timestamp DESC, audit_id DESC LIMIT 100")
+def audit_by_user(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.audit_by_user(v.audit(spark, d), "B7").select("audit_id", "user_badge_id", "action", "timestamp")
+
+
+CUSTODY_SQL = """keys AS (SELECT case_id, fir_number AS key FROM v_cases UNION SELECT case_id, case_id::VARCHAR FROM v_cases UNION SELECT case_id, id::VARCHAR FROM v_matches),
+cu AS (SELECT DISTINCT case_id, a.* FROM keys JOIN v_audit a ON resource_id = key),
+cus AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, audit_id)::INT AS position FROM cu)"""
+
+
+def _custody(spark: SparkSession, d: str) -> DataFrame:
+    return joins.audit_for_case(v.cases(spark, d), v.matches(spark, d), v.audit(spark, d))
+
+
+@_query(f"{CUSTODY_SQL} --- SELECT case_id, audit_id, action, timestamp, position FROM cus WHERE position <= 100")
+def audit_custody(spark: SparkSession, d: str) -> DataFrame:
+    return _custody(spark, d).select("case_id", "audit_id", "action", "timestamp", "position")
+
+
+def _timeline(spark: SparkSession, d: str) -> DataFrame:
+    t = joins.case_timeline(v.cases(spark, d).drop("status"), v.matches(spark, d), v.sightings(spark, d))
+    return joins.with_camera(t, v.cameras(spark, d), "dossier")
+
+
+DIGEST_SQL = "coalesce(sha256_hash, sha256(sighting_id::VARCHAR || '_' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S')))"
+
+
+@_query(f"""{CUSTODY_SQL}, n AS (SELECT case_id, count(*) AS custody FROM cus WHERE position <= 100 GROUP BY case_id),
+l AS (SELECT case_id, fir_number, count(*) AS n_items, string_agg({DIGEST_SQL}, ',' ORDER BY timestamp, sighting_id) AS h FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id) GROUP BY case_id, fir_number)
+--- SELECT case_id, n_items, coalesce(custody, 0) AS custody, sha256(case_id::VARCHAR || '|' || fir_number || '|' || h || '|' || coalesce(custody, 0)::VARCHAR) AS root_hash FROM l LEFT JOIN n USING (case_id)""")
+def evidence_root_hash(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.evidence_root_hash(_timeline(spark, d), _custody(spark, d))
+
+
+@_query(f"""SELECT case_id, sighting_id, timestamp, coalesce(c.name, camera_id) AS camera_name, coalesce(road_name, 'Corridor CCTV') AS road_name, {DIGEST_SQL} AS sha256 FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id) LEFT JOIN v_cameras c ON c.id = camera_id""")
+def dossier_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return _timeline(spark, d).select("case_id", "sighting_id", "timestamp", "camera_name", "road_name", sighting_digest(F.col("sha256_hash"), F.col("sighting_id"), F.col("timestamp")).alias("sha256"))
+
+
+@_query("SELECT doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents")
+def evidence_verify(spark: SparkSession, d: str) -> DataFrame:
+    docs = v.table(spark, d, "documents")
+    stored = docs.select(F.col("doc_id").alias("path"), F.concat(F.lit(" "), F.upper(F.sha2(F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256))).alias("expected"))
+    return evidence.verify_evidence(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), stored)
+
+
+CLEAN_SQL = "regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g')"
+RAW_SQL = "rw AS (SELECT sighting_id, camera_id, plate_text, plate_confidence, lower(plate_text[1:2]) || ' ' || plate_text[3:4] || '-' || plate_text[5:] || '.' AS raw FROM v_sightings WHERE plate_text IS NOT NULL)"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("plate_text")
+    return v.sightings(spark, d).filter("plate_text is not null").withColumn("raw", F.concat(F.lower(F.substring(p, 1, 2)), F.lit(" "), F.substring(p, 3, 2), F.lit("-"), F.substring(p, 5, 100), F.lit(".")))
+
+
+@_query(f"""{RAW_SQL} --- SELECT sighting_id, {CLEAN_SQL} AS plate, regexp_matches({CLEAN_SQL}, '^(DL|MH)[0-9]{{1,2}}[A-Z]{{0,3}}[0-9]{{4}}$') AS is_valid FROM rw""")
+def plate_clean_validate(spark: SparkSession, d: str) -> DataFrame:
+    p = plates.clean_plate(F.col("raw"))
+    return _raw(spark, d).select("sighting_id", p.alias("plate"), plates.is_valid_plate(p).alias("is_valid"))
+
+
+@_query(f"""{RAW_SQL}, o AS (SELECT *, {CLEAN_SQL} AS c FROM rw), r AS (SELECT *, c[3:4] = '88' AS bh, CASE WHEN c[3:4] = '88' THEN '01BH' || translate(c[5:8], 'OIZASGBDQTL', '01245680071') || translate(c[9:], '0124568', 'OIZASGB')
+  ELSE c[1:2] || translate(c[3:4], 'OIB', '018') || translate(c[5:6], '018', 'OIB') || translate(c[7:], 'OIB', '018') END AS plate FROM o)
+--- SELECT sighting_id, plate, 0.95::DOUBLE AS parser_confidence, true AS is_valid, CASE WHEN bh THEN '01 BH ' || plate[5:8] || ' ' || plate[9:] ELSE plate[1:2] || ' ' || plate[3:4] || ' ' || plate[5:6] || ' ' || plate[7:] END AS display FROM r""")
+def plate_repair(spark: SparkSession, d: str) -> DataFrame:
+    return det.normalize_plates(_raw(spark, d)).select("sighting_id", "plate", "parser_confidence", "is_valid", "display")
+
+
+@_query(f"{RAW_SQL} --- SELECT camera_id, count(*) AS plates, 1.0::DOUBLE AS valid_rate, 1.0::DOUBLE AS repaired_rate, round(avg(plate_confidence), 4) AS mean_confidence FROM rw GROUP BY camera_id")
+def plate_quality(spark: SparkSession, d: str) -> DataFrame:
+    return det.plate_quality_report(det.normalize_plates(_raw(spark, d)))
+
+
+@_query("""SELECT sighting_id, camera_id, timestamp, plate_text, CASE WHEN sighting_id % 4 = 0 THEN 0.99::DOUBLE ELSE plate_confidence END AS plate_confidence FROM v_sightings WHERE sighting_id % 3 <> 0 UNION ALL
+SELECT sighting_id, camera_id, timestamp, plate_text, 0.99::DOUBLE FROM v_sightings WHERE sighting_id % 3 = 0 AND sighting_id % 4 = 0""")
+def upsert_sightings(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sightings(spark, d).select("sighting_id", "camera_id", "timestamp", "plate_text", "plate_confidence")
+    return mutations.upsert_sightings(s.filter("sighting_id % 3 != 0"), s.filter("sighting_id % 4 = 0").withColumn("plate_confidence", F.lit(0.99)))
+
+
+@_query("""SELECT plate_text AS plate_number, arg_min(vehicle_type, (timestamp, sighting_id)) AS vehicle_type, arg_min(vehicle_color, (timestamp, sighting_id)) AS color, min(timestamp) AS first_seen, min(timestamp) AS last_seen FROM v_sightings WHERE plate_text IS NOT NULL GROUP BY plate_text""")
+def upsert_vehicles(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sightings(spark, d)
+    empty = spark.createDataFrame([], "plate_number string, vehicle_type string, color string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    return mutations.upsert_vehicles(empty, s)
+
+
+@_query("""SELECT case_id, sighting_id, CASE WHEN sighting_id % 2 = 0 THEN 0.5::DOUBLE ELSE composite_score END AS composite_score, CASE WHEN sighting_id % 3 = 0 THEN 'pending' ELSE verification_status END AS verification_status FROM v_matches WHERE sighting_id % 3 <> 0 OR sighting_id % 2 = 0""")
+def upsert_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = v.matches(spark, d).select("case_id", "sighting_id", "composite_score", "verification_status", *[F.lit(0.1).alias(c) for c in ("plate_score", "visual_score", "attribute_score", "spatio_temporal_score")], F.lit(1).alias("sequence_order"))
+    return mutations.upsert_matches(m.filter("sighting_id % 3 != 0"), m.filter("sighting_id % 2 = 0").withColumn("composite_score", F.lit(0.5))).select("case_id", "sighting_id", "composite_score", "verification_status")
+
+
+@_query("""SELECT case_id, sighting_id, CASE WHEN sighting_id % 2 = 0 THEN 'verified' ELSE verification_status END AS verification_status, CASE WHEN sighting_id % 2 = 0 THEN 'B1' END AS reviewed_by FROM v_matches""")
+def apply_verifications(spark: SparkSession, d: str) -> DataFrame:
+    m = v.matches(spark, d).select("case_id", "sighting_id", "composite_score", "verification_status", *[F.lit(0.1).alias(c) for c in ("plate_score", "visual_score", "attribute_score")], F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"), F.lit(None).cast("string").alias("review_notes"))
+    one = m.filter("sighting_id % 2 = 0").select("case_id", "sighting_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    told = one.select("case_id", "sighting_id", F.when(F.col("n") == 2, " Verified ").otherwise("rejected").alias("status"), F.lit("B1").alias("officer_badge_id"), F.lit("").alias("notes"), F.expr("make_timestamp_ntz(2024, 2, n, 0, 0, 0)").alias("decided_at"))
+    return mutations.apply_verifications(m, told, v.sightings(spark, d))[0].select("case_id", "sighting_id", "verification_status", "reviewed_by")
+
+
+@_query("""SELECT case_id, status AS old_status, CASE WHEN case_id % 300 = 0 THEN 'closed' WHEN status = 'open' AND case_id IN (SELECT case_id FROM v_matches WHERE verification_status = 'verified') THEN 'tracking' ELSE status END AS status FROM v_cases""")
+def case_status(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cases(spark, d).select("case_id", "status")
+    told = c.filter("case_id % 300 = 0").select("case_id", F.lit("closed").alias("new_status"), F.lit("2024-02-01").cast("timestamp_ntz").alias("decided_at"))
+    return mutations.apply_case_status(c, told, v.matches(spark, d).filter("verification_status = 'verified'")).select("case_id", "old_status", "status")
+
+
+@_query("SELECT id, case_id, sighting_id FROM v_matches JOIN v_sightings USING (sighting_id) WHERE camera_id NOT IN ('CAM_001', 'CAM_005') AND case_id % 3 <> 0")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    cams = v.cameras(spark, d).filter(F.col("id").isin("CAM_001", "CAM_005")).select(F.col("id").alias("camera_id"))
+    gone = v.cases(spark, d).filter("case_id % 3 = 0").select("case_id")
+    return mutations.cascade_delete(v.sightings(spark, d), v.matches(spark, d), cameras=cams, cases=gone)[1].select("id", "case_id", "sighting_id")
+
+
+PAIR_SQL = """pr AS (SELECT d.camera_id, d.frame_idx, d.det_id, p.det_id AS prev_id, d.confidence, greatest(0, 120 - abs(d.x1 - p.x1)) * greatest(0, 90 - abs(d.y1 - p.y1)) AS shared FROM v_detections d JOIN v_detections p ON d.camera_id = p.camera_id AND d.frame_idx = p.frame_idx + 1),
+ov AS (SELECT *, CASE WHEN shared <= 0 THEN 0 ELSE shared / (2 * 10800 - shared)::DOUBLE END AS overlap FROM pr),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY camera_id, det_id ORDER BY overlap DESC, prev_id) AS a, row_number() OVER (PARTITION BY camera_id, prev_id ORDER BY overlap DESC, det_id) AS b FROM ov WHERE confidence >= 0.5 AND overlap >= 0.30),
+m1 AS (SELECT * FROM s1 WHERE a = 1 AND b = 1),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY camera_id, det_id ORDER BY overlap DESC, prev_id) AS a, row_number() OVER (PARTITION BY camera_id, prev_id ORDER BY overlap DESC, det_id) AS b FROM ov WHERE confidence >= 0.1 AND confidence < 0.5 AND overlap >= 0.15 AND NOT EXISTS (SELECT 1 FROM m1 WHERE m1.camera_id = ov.camera_id AND m1.prev_id = ov.prev_id))"""
+
+
+@_query(f"{PAIR_SQL} --- SELECT camera_id, frame_idx, det_id, prev_id, round(overlap, 4) AS overlap, 1 AS stage FROM m1 UNION ALL SELECT camera_id, frame_idx, det_id, prev_id, round(overlap, 4), 2 FROM s2 WHERE a = 1 AND b = 1")
+def iou_association(spark: SparkSession, d: str) -> DataFrame:
+    return det.frame_association(v.detections(spark, d))
+
+
+QUALITY_SQL = """ql AS (SELECT *, greatest(0, least(1, 0.35::DOUBLE * least(1, 10800 / 90000.0::DOUBLE) + 0.20::DOUBLE * greatest(0, 1 - sqrt(pow((x1 + x1 + 120) / 2 / 1280 - 0.5, 2) + pow((y1 + y1 + 90) / 2 / 720 - 0.5, 2)) * sqrt(2.0::DOUBLE)) + 0.45::DOUBLE * least(1, lap_var / 250.0::DOUBLE))) AS q FROM v_detections)"""
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return v.detections(spark, d).withColumn("quality", F.round(boxes.snapshot_quality(F.col("bbox"), F.lit(1280), F.lit(720), F.col("lap_var")), 4))
+
+
+@_query(f"{QUALITY_SQL} --- SELECT det_id, round(q, 4) AS quality FROM ql")
+def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).select("det_id", "quality")
+
+
+@_query(f"""{QUALITY_SQL}, r AS (SELECT *, round(q, 4) AS quality FROM ql) --- SELECT camera_id, track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det FROM r GROUP BY camera_id, track_id""")
+def track_summary(spark: SparkSession, d: str) -> DataFrame:
+    return det.track_summary(_quality(spark, d))
+
+
+# streaming operators, run over all rows that are there, must agree with batch SQL
+@_query("SELECT sighting_id FROM v_sightings")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sightings(spark, d).select("sighting_id", "camera_id", "timestamp", "plate_text")
+    return replayed(spark, s.unionByName(s), lambda x: st.ingest_stream(x, "40 days").select("sighting_id"))
+
+
+@_query("SELECT date_trunc('day', timestamp) AS start, camera_id, count(*) AS detections FROM v_sightings GROUP BY ALL")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    return replayed(spark, v.sightings(spark, d).select("camera_id", "timestamp"), lambda x: st.camera_counts_windowed(x, "1 day", "40 days"), "complete")
+
+
+@_query(f"""w AS (SELECT plate_text, sighting_id, timestamp AS t2, latitude AS lat2, longitude AS lon2, lag(sighting_id) OVER x AS prev_id, lag(timestamp) OVER x AS t1, lag(latitude) OVER x AS lat1, lag(longitude) OVER x AS lon1
+  FROM v_sightings JOIN v_cameras c ON c.id = camera_id WHERE plate_text IS NOT NULL WINDOW x AS (PARTITION BY plate_text ORDER BY timestamp, sighting_id)),
+k AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM w WHERE prev_id IS NOT NULL)
+--- SELECT plate_text, prev_id, sighting_id, km, dt, CASE WHEN dt = 0 THEN CASE WHEN km <= 0.05 THEN 0 ELSE 'Infinity'::DOUBLE END ELSE round(km / (dt / 3600), 2) END AS speed, CASE WHEN dt = 0 THEN km <= 0.05 ELSE km / (dt / 3600) <= 120 END AS feasible FROM k""")
+def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    s = v.sightings(spark, d).join(c, "camera_id").select("sighting_id", "timestamp", "plate_text", "latitude", "longitude")
+    return replayed(spark, s, lambda x: st.plate_transition_state(x, None), rocksdb=True)
+
+
+@_query(f"{SCORED_SQL}, km AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM z JOIN (SELECT case_id, status FROM v_cases) USING (case_id)) --- SELECT case_id, sighting_id, comp AS composite_score FROM km WHERE status IN ('open', 'tracking') AND comp >= 0.65 AND conf >= 0.3 AND (lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600))", recursive=True)
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    s = v.sightings(spark, d, vectors=True).join(c, "camera_id", "left").filter("plate_confidence >= 0.3")
+    return replayed(spark, s, lambda x: st.watchlist_alerts(x, v.cases(spark, d, vectors=True)).select("case_id", "sighting_id", "composite_score"))
