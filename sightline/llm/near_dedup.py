@@ -30,16 +30,14 @@ TREES = 10
 #: Branches that a set chooses in a node that is too large: with three, pairs at the threshold get through any number of levels with probability 0.98.
 BRANCHES = 3
 #: Sets of a node that are compared exhaustively.
-SMALL = 512
+SMALL = 4096
 #: Levels of branching; nodes that are still too large then are compared in blocks, all pairs of blocks.
 LEVELS = 4
 SIGNATURE = 128
 #: Share of equal signature positions from which two sets are candidates: 6 standard deviations below the threshold.
 CANDIDATE = 0.5
-#: In a large node: candidates of its pivot, and sets so close to the pivot that whatever links to them is a candidate of the pivot.
-NEAR_PIVOT, ABSORBED = 0.4, 0.92
 #: Texts of a candidate group that are compared in one task, and their shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 4000, 3_000_000
 #: Shingles that are hashed at once.
 CHUNK = 1 << 16
 
@@ -110,22 +108,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, SIGNED)
 
 
-class Forest:
-    """Union-find over 0 to n - 1; the least member is the root."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
 def groups_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pd.DataFrame]:
     """Rows with equal keys, from batches in which they follow each other."""
     held: list[pd.DataFrame] = []
@@ -162,31 +144,47 @@ def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _candidates(node: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """A label per set, equal where candidate links connect. Only sets with other labels are compared, so a group of
+    copies costs about one comparison each."""
+    label, few = np.arange(len(node)), np.ascontiguousarray(sig[:, :32])
+    for i in range(len(node) - 1):
+        at = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        at = at[100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])]
+        at = at[(few[at] == few[i]).sum(1) >= 6]
+        at = at[(agreement(sig[at], sig[i]) >= CANDIDATE) | (node[at] == node[i])]
+        for x in np.unique(label[at]):
+            label[label == x] = label[i]
+    return label
+
+
+def _stars(node: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links from the least node of each label to its others."""
+    pdf = pd.DataFrame({"node": node, "least": pd.Series(node).groupby(label).transform("min").to_numpy()})
+    pdf = pdf[pdf["node"] != pdf["least"]]
+    return pdf["least"].tolist(), pdf["node"].tolist()
+
+
+def _signature(g: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), SIGNATURE)
+
+
 def _exhaustive(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of small nodes: a spanning forest of the pairs whose signatures agree enough."""
+    """Candidate links of small nodes: stars over what signatures connect."""
     a: list[int] = []
     b: list[int] = []
     for g in groups:
         node, n = g["node"].to_numpy(), g["n_shingles"].to_numpy()
-        if len(node) < 2:
+        if len(node) < 2 or len(node) == 2 and 100 * n.min() < PERCENT * n.max():
             continue
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(node), -1)
-        if len(node) == 2:
-            if node[0] != node[1] and 100 * n.min() >= PERCENT * n.max() and (sig[0] == sig[1]).mean() >= CANDIDATE:
-                a.append(int(node[0]))
-                b.append(int(node[1]))
-        else:
-            forest = Forest(len(node))
-            few = np.ascontiguousarray(sig[:, :32])
-            for i in range(len(node) - 1):
-                fits = (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])) & (node[i + 1 :] != node[i])
-                at = np.flatnonzero(fits)
-                at = at[(few[i + 1 + at] == few[i]).sum(1) >= 6]
-                for j in (i + 1 + at[agreement(sig[i + 1 + at], sig[i]) >= CANDIDATE]).tolist():
-                    if forest.root(i) != forest.root(j):
-                        forest.join(i, j)
-                        a.append(int(node[i]))
-                        b.append(int(node[j]))
+        sig = _signature(g)
+        if len(node) > 2:
+            x, y = _stars(node, _candidates(node, n, sig))
+            a += x
+            b += y
+        elif node[0] != node[1] and (sig[0] == sig[1]).mean() >= CANDIDATE:
+            a.append(int(node[0]))
+            b.append(int(node[1]))
         if len(a) >= 20_000:
             yield _edge_batch(a, b)
             a, b = [], []
@@ -210,17 +208,14 @@ def candidate_links(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -
         found = by_group(nodes.filter(F.col("m") <= small).select("key", "node").join(narrow, "node"), ["key"], _exhaustive, "a long, b long")
         large = nodes.filter(F.col("m") > small)
         more = not large.isEmpty()
-        if more:
-            rows = large.join(narrow, "node")
-            if level == levels:
-                found = found.unionByName(_in_blocks(rows, small))
-            else:
-                beside = written(_beside_pivots(rows, small), f"op2-pivots{level}")
-                found = found.unionByName(beside.filter("a is not null").select("a", "b"))
-                pos = lambda j: F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SIGNATURE)).cast("int")
-                token = lambda p: F.substring("sig", 2 * p + 1, F.lit(2))
-                left = beside.filter("b is null").select("key", "node").join(narrow, "node")
-                members = left.select("node", F.explode(F.array(*[F.xxhash64("key", F.lit(j), token(pos(j))) for j in range(BRANCHES)])).alias("key")).select("key", "node").distinct()
+        if more and level == levels:
+            found = found.unionByName(_in_blocks(large.join(narrow, "node"), small))
+        elif more:
+            stars, left = _large(large.join(narrow, "node"), small, level)
+            found = found.unionByName(stars)
+            pos = lambda j: F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SIGNATURE)).cast("int")
+            token = lambda p: F.substring("sig", 2 * p + 1, F.lit(2))
+            members = left.select("node", F.explode(F.array(*[F.xxhash64("key", F.lit(j), token(pos(j))) for j in range(BRANCHES)])).alias("key")).select("key", "node").distinct()
         found = written(found, f"op2-links{level}")
         links = found if links is None else links.unionByName(found)
         if not more:
@@ -228,29 +223,37 @@ def candidate_links(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _beside_pivots(rows: DataFrame, small: int) -> DataFrame:
-    """Rows (key, a, b) for candidates of a large node's pivot, rows (key, node) for sets that are branched further.
+def _large(rows: DataFrame, small: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (a, b) of large nodes, and the rows (key, node, sig) that must be branched further.
 
-    The pivot is the least set of the node. Its row goes to all parts of the node; a part has about ``small`` sets.
+    A node is dealt to parts of about ``small`` sets, and its pivot, the least set, goes to all of them. A node that is
+    one group of near-copies is connected to the pivot but for a few sets, which then visit all other parts: this
+    completes the node. Other nodes are branched.
     """
-    pivots = rows.groupBy("key").agg(F.min("node").alias("node"), F.first("m").alias("m"))
-    parts = F.ceil(F.col("m") / small).cast("int")
-    of = rows.select("key", "node", "n_shingles", "sig", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(0).alias("pivot"))
-    sent = rows.join(pivots.select("key", "node"), ["key", "node"]).select("key", "node", "n_shingles", "sig", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("pivot"))
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"))
+    dealt = rows.join(pivots, "key").withColumn("parts", F.ceil(F.col("m") / small).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = written(dealt, f"op2-parts{level}")
+    cols = ["key", "pivot", "node", "n_shingles", "sig"]
+    elsewhere = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))).alias("part")
 
-    def compare(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def beside(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         for g in groups:
-            p = g[g["pivot"] == 1].iloc[0]
-            g = g[(g["pivot"] == 0) & (g["node"] != p["node"])]
-            near = agreement(np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), SIGNATURE), np.frombuffer(p["sig"], np.uint16))
-            node = g["node"].to_numpy()
-            linked, left = node[near >= NEAR_PIVOT], node[near < ABSORBED]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(linked) + len(left), p["key"], np.int64)), pa.array([*linked.tolist(), *[None] * len(left)], pa.int64()), pa.array([int(p["node"])] * len(linked) + [None] * len(left), pa.int64()), pa.array([*[None] * len(linked), *left.tolist()], pa.int64())],
-                ["key", "a", "b", "node"],
-            )
-
-    return by_group(of.unionByName(sent), ["key", "part"], compare, "key long, a long, b long, node long")
+            node, pivot = g["node"].to_numpy(), int(g["pivot"].iloc[0])
+            label = _candidates(node, g["n_shingles"].to_numpy(), _signature(g))
+            apart = node[label != label[node == pivot][0]]
+            a, b = _stars(node, label)
+            key = np.full(len(a) + len(apart), g["key"].iloc[0], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a + [None] * len(apart), pa.int64()), pa.array(b + [None] * len(apart), pa.int64()), pa.array([None] * len(a) + apart.tolist(), pa.int64())], ["key", "a", "b", "node"])
+
+    homes = dealt.select(*cols, "part")
+    done = written(by_group(homes.unionByName(dealt.filter("node = pivot and parts > 1").select(*cols, elsewhere)), ["key", "part"], beside, "key long, a long, b long, node long"), f"op2-beside{level}")
+    apart = done.filter("node is not null").select("key", "node")
+    n_apart = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n_apart"))
+    judged = dealt.select("key", "m", "parts").distinct().join(n_apart, "key").withColumn("visit", F.col("n_apart") * F.col("parts") <= 4 * F.col("m"))
+    visited = judged.filter("visit").select("key")
+    guests = dealt.join(apart, ["key", "node"], "left_semi").join(visited, "key", "left_semi").select(*cols, elsewhere)
+    across = by_group(homes.join(visited, "key", "left_semi").unionByName(guests), ["key", "part"], _exhaustive, "a long, b long")
+    return done.filter("a is not null").select("a", "b").unionByName(across), dealt.join(judged.filter("not visit").select("key"), "key", "left_semi").select("key", "node", "sig")
 
 
 def _in_blocks(rows: DataFrame, small: int) -> DataFrame:
@@ -265,22 +268,20 @@ def _in_blocks(rows: DataFrame, small: int) -> DataFrame:
 def connected(links: DataFrame, name: str) -> DataFrame:
     """node, label: the least node reachable over links (a, b), for nodes that have a link.
 
-    Rounds of contraction: each node takes its least neighbour, chains of two are shortened, and links are kept between
-    what remains, fewer in each round.
+    Rounds of contraction: each node takes the least of itself and its neighbours, and links are kept between what
+    remains, fewer in each round.
     """
-    links = written(links.filter("a != b").distinct(), f"{name}-links")
+    links = written(links.filter("a != b"), f"{name}-links")
     labels, turn = None, 0
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), f"{name}-up{turn}")
-        over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = written(up.join(over, "up").select("node", F.col("top").alias("label")), f"{name}-jump{turn}")
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-up{turn}")
         if labels is None:
-            labels = jumped
+            labels = up
         else:
-            moved = labels.join(jumped.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            moved = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             labels = written(moved, f"{name}-labels{turn}")
-        at = lambda c: jumped.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))  # noqa: E731, B023
+        at = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))  # noqa: E731, B023
         moved = links.join(at("a"), "a").join(at("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         links = written(moved.filter("a != b").distinct(), f"{name}-links{turn}")
         turn += 1
@@ -312,49 +313,38 @@ def _read_sets(g: pd.DataFrame) -> tuple[list[int], list[np.ndarray], np.ndarray
 def _verify(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
     """Exact links that connect what is linked in a block. Guests (of other blocks) are compared with residents alone.
 
-    Rows come with ``base``, what they are known to be connected to; the closest pairs are tried first.
+    Rows come with ``base``, which is equal for sets that are known to be connected. Pairs that look close are tried first.
     """
     for g in groups:
         g = g.sort_values(["guest", "node"], kind="stable")
         base_of = dict(zip(g["node"], g["base"], strict=True))
         guest_of = dict(zip(g["node"][::-1], g["guest"][::-1], strict=True))
         nodes, sets, sigs = _read_sets(g)
-        place: dict[int, int] = {}
-        bases = [place.setdefault(base_of[x], len(place)) for x in nodes]
-        guests = np.array([guest_of[x] for x in nodes], bool)
-        forest, a, b = Forest(len(place)), [], []
-        tried: list[tuple[np.ndarray, int, np.ndarray]] = []
-        sizes = np.array([len(s) for s in sets])
-        for i in range(len(nodes) - 1):
-            j = np.arange(i + 1, len(nodes))
-            j = j[(100 * np.minimum(sizes[j], sizes[i]) >= PERCENT * np.maximum(sizes[j], sizes[i])) & ~(guests[i] & guests[j])]
-            near = agreement(sigs[j], sigs[i])
-            close = near >= 0.85
-            for x in j[close].tolist():
-                if forest.root(bases[i]) != forest.root(bases[x]) and similar(sets[i], sets[x]):
-                    forest.join(bases[i], bases[x])
-                    a.append(nodes[i])
-                    b.append(nodes[x])
-            rest = (near >= CANDIDATE) & ~close
-            if rest.any():
-                tried.append((near[rest], i, j[rest]))
-        for _, i, js in tried:
-            for x in js.tolist():
-                if forest.root(bases[i]) != forest.root(bases[x]) and similar(sets[i], sets[x]):
-                    forest.join(bases[i], bases[x])
-                    a.append(nodes[i])
-                    b.append(nodes[x])
+        _, label = np.unique([base_of[x] for x in nodes], return_inverse=True)
+        guests, sizes = np.array([guest_of[x] for x in nodes], bool), np.array([len(s) for s in sets])
+        a: list[int] = []
+        b: list[int] = []
+        for least, most in ((0.85, 1.1), (CANDIDATE, 0.85)):
+            for i in range(len(nodes) - 1):
+                at = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                at = at[(100 * np.minimum(sizes[at], sizes[i]) >= PERCENT * np.maximum(sizes[at], sizes[i])) & ~(guests[i] & guests[at])]
+                near = agreement(sigs[at], sigs[i])
+                for x in at[(near >= least) & (near < most)].tolist():
+                    if label[x] != label[i] and similar(sets[i], sets[x]):
+                        label[label == label[x]] = label[i]
+                        a.append(nodes[i])
+                        b.append(nodes[x])
         yield _edge_batch(a, b)
 
 
-def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, block_sets: int = BLOCK_SETS) -> DataFrame:
     """a, b: links on full sets that connect exactly what is linked within each candidate group.
 
     A group that is too large for a task is dealt to blocks, each with the group's least set as a guest. Sets that this
     leaves unconnected to that one then visit all other blocks of the group.
     """
     of = groups.join(sets.select("node", "n_shingles", "doc_id", "text_key", "sig"), "node")
-    sizes = of.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = of.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     keyed = written(of.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "op2-candidates")
     row = ["label", "node", "sig", "text"]
 
@@ -389,7 +379,7 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, small: int = SMALL, levels: int = LEVELS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key, label.
 
     Documents whose sets have a Jaccard similarity of 0.75 or more are linked, components are what links reach, and
@@ -408,8 +398,8 @@ def components(docs: DataFrame) -> DataFrame:
         signed.filter("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("sig").alias("sig")).select("node", "n_shingles", "roots", "sig", "one.doc_id", "one.text_key"),
         "op2-sets",
     )
-    groups = connected(candidate_links(sets), "op2-groups")
-    links = exact_links(docs, sets, groups)
+    groups = connected(candidate_links(sets, small, levels), "op2-groups")
+    links = exact_links(docs, sets, groups, block_sets)
     labels = connected(links, "op2-components")
     ids = sets.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
