@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import fold, python_workers
+from sightline.llm.common import fold, python_workers, written
 
 DIM_BITS = 20
 #: Words whose hashes a task remembers.
@@ -140,9 +140,21 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, docs.select(*keep).schema.add("score", "double"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 12_000) -> DataFrame:
+    """text and label of about ``max_docs`` labelled documents drawn by hash of their ids, written once; equal rows count once.
+
+    The draw is made on the labels, so what is sent to the documents has about ``max_docs`` narrow rows whatever the input.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).distinct()
+    n = known.count()
+    if n > max_docs:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", label)
+    return written(texts.dropDuplicates(), "op6-sample")
+
+
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; fold 0 of 5 is held out of training."""
-    known = labels.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
-    weights = train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality"))
+    weights = train(labelled_sample(docs, labels.filter(fold(F.col("doc_id"), 5) != 0)))
     scored = score(docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text"), weights, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
