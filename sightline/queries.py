@@ -417,6 +417,103 @@ def track_summary(spark: SparkSession, d: str) -> DataFrame:
     return det.track_summary(_quality(spark, d))
 
 
+@_query("SELECT case_id, theft_datetime FROM v_cases ORDER BY theft_datetime DESC, case_id DESC LIMIT 20 OFFSET 20")
+def list_cases(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.list_cases(v.cases(spark, d).withColumn("created_at", F.col("theft_datetime")), 20, 20).select("case_id", "theft_datetime")
+
+
+@_query("SELECT audit_id, resource_type, resource_id, timestamp FROM v_audit WHERE resource_id = '100' OR resource_type = 'case' ORDER BY timestamp DESC, audit_id DESC LIMIT 100")
+def audit_case_view(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.audit_for_case_view(v.audit(spark, d), "100").select("audit_id", "resource_type", "resource_id", "timestamp")
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (plate_text LIKE 'DL0%') AS targets, count(*) - count(*) FILTER (plate_text LIKE 'DL0%') AS others FROM v_sightings")
+def target_split(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.target_split(v.sightings(spark, d), F.col("plate_text").startswith("DL0"))
+
+
+@_query("SELECT case_id, fir_number, CASE WHEN status = 'closed' THEN 'existing' ELSE 'accepted' END AS outcome FROM v_cases")
+def register_cases(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cases(spark, d).select("case_id", "fir_number", "status")
+    new, known = mutations.register_cases(c.filter("status = 'closed'"), c.unionByName(c))
+    return new.select("case_id", "fir_number", F.lit("accepted").alias("outcome")).unionByName(known.select("case_id", "fir_number", F.lit("existing").alias("outcome")))
+
+
+@_query("SELECT id, CASE WHEN status = 'active' THEN 'rejected' ELSE 'accepted' END AS outcome FROM v_cameras")
+def register_cameras(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d)
+    new, known = mutations.register_cameras(c.filter("status = 'active'").select("id"), c)
+    return new.select("id", F.lit("accepted").alias("outcome")).unionByName(known.select("id", F.lit("rejected").alias("outcome")))
+
+
+@_query("""SELECT c_custkey AS id, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'theft_location_name' END, CASE WHEN c_acctbal / 100 NOT BETWEEN -90 AND 90 THEN 'theft_latitude' END, CASE WHEN c_acctbal / 10 NOT BETWEEN -180 AND 180 THEN 'theft_longitude' END) AS violations FROM customer""")
+def validate_cases(spark: SparkSession, d: str) -> DataFrame:
+    same = {c: F.col("c_name") for c in ("fir_number", "reported_plate", "theft_datetime", "vehicle_type", "vehicle_color", "investigating_officer", "police_station")}
+    place = F.when(F.col("c_acctbal") >= 0, F.col("c_name"))
+    c = v.table(spark, d, "customer").withColumns({**same, "theft_location_name": place, "theft_latitude": F.col("c_acctbal") / 100, "theft_longitude": F.col("c_acctbal") / 10})
+    return filters.validate_cases(c).select(F.col("c_custkey").alias("id"), F.array_join("violations", ",").alias("violations"))
+
+
+@_query("SELECT det_id, frame_idx, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(frame_idx * 40000) AS ts FROM v_detections WHERE frame_idx % 5 = 0 AND frame_idx < 400")
+def sample_frames(spark: SparkSession, d: str) -> DataFrame:
+    return filters.sample_frames(v.detections(spark, d), 5, 25.0, "2024-01-01 00:00:00", 400).select("det_id", "frame_idx", "ts")
+
+
+@_query("SELECT det_id FROM v_detections WHERE lap_var >= 100")
+def drop_blurry(spark: SparkSession, d: str) -> DataFrame:
+    return filters.drop_blurry(v.detections(spark, d)).select("det_id")
+
+
+@_query("""SELECT det_id, 120 AS width, 90 AS height, 10800 AS area, round(120 / 90::DOUBLE, 4) AS aspect, x1 + 60.0::DOUBLE AS cx, y1 + 45.0::DOUBLE AS cy FROM v_detections""")
+def box_geometry(spark: SparkSession, d: str) -> DataFrame:
+    g = v.detections(spark, d).select("det_id", boxes.box_geometry(F.col("bbox")).alias("g")).select("det_id", "g.*")
+    return g.withColumn("aspect", F.round("aspect", 4))
+
+
+@_query(f"{MOVED_SQL} --- SELECT case_id, seq::INT AS seq, sighting_id, camera_id, timestamp FROM w")
+def waypoints(spark: SparkSession, d: str) -> DataFrame:
+    return routes.waypoints(_route_points(spark, d)).select("case_id", "seq", "sighting_id", "camera_id", "timestamp")
+
+
+TEXT_SQL = "tx AS (SELECT sighting_id, plate_confidence, CASE WHEN sighting_id % 4 = 0 THEN 'cam ' || plate_text[1:4] WHEN sighting_id % 4 = 1 THEN lower(plate_text[1:2]) || ' ' || plate_text[3:] ELSE plate_text[3:] END AS line FROM v_sightings)"
+
+
+@_query(f"""{TEXT_SQL} --- SELECT sighting_id, coalesce(length(replace(line, ' ', '')) >= 6 AND sighting_id % 4 = 1 AND regexp_matches(upper(line)[4:6], '[0-9]'), false) AS plausible,
+  coalesce(plate_confidence >= 0.3 AND length(line) >= 3 AND regexp_matches(upper(replace(line, ' ', '')), '[A-Z]{{2}}[0-9]{{1,2}}[A-Z]{{1,3}}[0-9]{{1,4}}|[A-Z0-9]{{6,}}'), false) AS candidate FROM tx""")
+def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
+    i, p = F.col("sighting_id"), F.col("plate_text")
+    line = F.when(i % 4 == 0, F.concat(F.lit("cam "), F.substring(p, 1, 4))).when(i % 4 == 1, F.concat(F.lower(F.substring(p, 1, 2)), F.lit(" "), F.substring(p, 3, 100))).otherwise(F.substring(p, 3, 100))
+    return v.sightings(spark, d).select("sighting_id", plates.plausible_plate_text(line, ["cam"]).alias("plausible"), plates.ocr_candidate(line, F.col("plate_confidence")).alias("candidate"))
+
+
+@_query(f"""{RAW_SQL}, o AS (SELECT *, {CLEAN_SQL} AS c FROM rw) --- SELECT sighting_id, CASE WHEN c[3:4] = '88' THEN '01BH' || translate(c[5:8], 'OIZASGBDQTL', '01245680071') || translate(c[9:], '0124568', 'OIZASGB')
+  ELSE c[1:2] || translate(c[3:4], 'OIB', '018') || translate(c[5:6], '018', 'OIB') || translate(c[7:], 'OIB', '018') END AS plate, true AS is_valid FROM o""")
+def plate_two_lines(spark: SparkSession, d: str) -> DataFrame:
+    one, two = F.substring("plate_text", 1, 4), F.substring("plate_text", 5, 100)
+    odd = F.col("sighting_id") % 2 == 1
+    merged = plates.merge_two_line(F.when(odd, two).otherwise(one), F.when(odd, one).otherwise(two))
+    return _raw(spark, d).select("sighting_id", merged.alias("m")).select("sighting_id", F.col("m.plate").alias("plate"), F.col("m.valid").alias("is_valid"))
+
+
+@_query("SELECT sighting_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, len(embedding)::INT AS embedding_dim FROM v_sightings JOIN embeddings USING (vec_id)")
+def to_public(spark: SparkSession, d: str) -> DataFrame:
+    return filters.to_public(v.sightings(spark, d, vectors=True).select("sighting_id", "timestamp", "embedding"))
+
+
+@_query("SELECT sighting_id, round(CASE WHEN plate_text IS NULL THEN 0 ELSE 0.9::DOUBLE * (0.4 * plate_confidence + 0.6 * 0.95::DOUBLE) END, 4) AS confidence FROM v_sightings")
+def combined_confidence(spark: SparkSession, d: str) -> DataFrame:
+    c = scoring.combined_confidence(F.lit(0.9), F.col("plate_confidence"), F.lit(0.95), F.col("plate_text"))
+    return v.sightings(spark, d).select("sighting_id", F.round(c, 4).alias("confidence"))
+
+
+@_query(f"""{CUSTODY_SQL}, n AS (SELECT case_id, count(*) AS custody FROM cus WHERE position <= 100 GROUP BY case_id)
+--- SELECT case_id, 'CERT-65B-' || fir_number || '-20240201000000' AS certificate_id, count(*) AS n_items, max(coalesce(custody, 0)) AS n_custody FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id) LEFT JOIN n USING (case_id) GROUP BY case_id, fir_number""")
+def evidence_dossier(spark: SparkSession, d: str) -> DataFrame:
+    out = evidence.evidence_dossier(_timeline(spark, d), _custody(spark, d), "2024-02-01 00:00:00")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return out.select("case_id", F.col("certificate.certificate_id").alias("certificate_id"), count("timeline").alias("n_items"), count("custody_trail").alias("n_custody"))
+
+
 # streaming operators, run over all rows that are there, must agree with batch SQL
 @_query("SELECT sighting_id FROM v_sightings")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
