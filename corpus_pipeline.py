@@ -18,8 +18,8 @@ LEAST_SCORE = 0.2
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that was learned stay; null texts, texts without letters and ones that no language explains go."""
     model = language.train(docs.filter(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, ["_row"])
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

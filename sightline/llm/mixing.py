@@ -64,9 +64,9 @@ def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
-    """The documents of the mix with their own columns: each row as often as it is taken."""
-    out = copies(docs.select(*docs.columns), cap).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The documents of the mix with their own columns, whatever their names: each row as often as it is taken."""
+    out = copies(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"), cap).filter("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -412,15 +412,16 @@ def components(docs: DataFrame, small: int = SMALL, levels: int = LEVELS, block_
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each component: that of the least doc_id, null last, and of its least text hash.
 
-    Rows without words all stay. Of rows that are equal in doc_id and text one stays.
+    Rows without words all stay. Of rows that are equal in doc_id and text one stays. Columns keep their values, whatever
+    their names.
     """
     found = written(components(docs), "op2-components")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     kept = found.filter("label is not null").groupBy("label").agg(best).select("best.doc_id", "best.text_key")
-    rows = docs.withColumn("_key", F.xxhash64("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_key"))
     no_words = found.filter("label is null").select("doc_id", "text_key")
     stay = written(kept.unionByName(no_words).distinct(), "op2-stay").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_stay"))
     out = rows.join(stay, (F.col("_key") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if _repeats(found):
         out = out.dropDuplicates(["doc_id", "_key"])
-    return out.drop("_key")
+    return out.select("_row.*")
