@@ -2,6 +2,10 @@
 
 Words are summed per source, shares of the whole are set by weight under a cap on repetition, and every
 document is taken floor(rate) times plus one more time with probability equal to the fraction of the rate.
+
+The draws of a source are balanced over sizes: of each size class a number of documents is drawn, those whose hashes
+come first. The numbers carry their remainders from class to class, from one hashed start a source, so every
+document's probability stays the fraction, and few long documents no longer move a source far from its target.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sightline.llm.common import word_count
+from sightline.llm.common import word_count, written
 
 SEED = "mix-1"
 
@@ -39,10 +43,34 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     )
 
 
-def chance(doc_id: Column, text: Column) -> Column:
-    """A number in [0, 1) that the seed, the id and the text decide: 52 bits of an MD5 digest."""
-    key = F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def chance(*key: Column, digits: int = 13) -> Column:
+    """The first hexadecimal digits of an MD5 digest of the seed and the key, as a long."""
+    text = F.concat_ws(":", F.lit(SEED), *(F.coalesce(k.cast("string"), F.lit("")) for k in key))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """Length and leading three bits of a size: sizes of a class differ by a quarter at most."""
+    bits = F.length(F.bin(size))
+    return bits * 8 + F.call_function("shiftright", size, F.greatest(bits - 3, F.lit(0))).cast("int")
+
+
+def _cuts(counts: DataFrame, rates: DataFrame) -> DataFrame:
+    """source, class, source_size, target, rate, last_cell: documents of a class with a cell up to last_cell get the extra copy.
+
+    counts has n, the rows of each source, class and cell. There are 2 ** 16 cells, so a group that is ordered has at
+    most as many rows, whatever the rows of a source.
+    """
+    along = W.partitionBy("source", "class").orderBy("cell")
+    cells = counts.withColumn("middle", F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / F.lit(2.0))
+    down = W.partitionBy("source").orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, 0)
+    rated = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(down)).join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    part, u = F.col("rate") - F.floor("rate"), chance(F.col("source")) / F.lit(float(1 << 52))
+    quota = F.floor(F.col("upto") * part + u) - F.floor((F.col("upto") - F.col("n")) * part + u)
+    quotas = rated.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "source_size", "target", "rate", quota.alias("quota"))
+    met = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).drop("_source", "_class")
+    last = F.max(F.when(F.col("middle") < F.col("quota"), F.col("cell")))
+    return met.groupBy("source", "class", "source_size", "target", "rate").agg(F.coalesce(last, F.lit(-1)).alias("last_cell"))
 
 
 def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -52,15 +80,19 @@ def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     with a rate of r, documents of size 0 are taken like any other. Repeated rows share one draw. Extra columns
     stay, those with names of the result excepted. An empty table gives an empty result.
     """
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text"))).withColumn("_u", chance(F.col("doc_id"), F.col("text")))
-    # one row per source comes back: a few rows a source and task were shuffled
-    targets = source_targets(own, cap=cap).withColumnRenamed("source", "_source")
-    # rows of one source may be a third of all, so the table of sources goes to the rows where it is small
-    # (Spark decides by its size), and otherwise an adaptive join splits the hot side
-    joined = own.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    return joined.withColumn("copies", (whole + F.when(F.col("_u") < rate - whole, 1).otherwise(0)).cast("int")).drop("_u")
+    others = F.struct(*docs.drop("size", "source_size", "target", "copies").columns).alias("_row")
+    own = docs.select(others, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
+    own = own.withColumn("class", size_class(F.col("size"))).withColumn("cell", chance(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), digits=4))
+    # counts are kept, so texts are read once for all of them
+    counts = written(own.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "op9-counts")
+    targets = source_targets(counts, cap=cap)
+    rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    cuts = written(_cuts(counts, rates), "op9-cuts").withColumnsRenamed({"source": "_source", "class": "_class"})
+    # rows of one source may be a third of all, so the table of classes goes to the rows where it is small
+    # (Spark decides by the size of its files), and otherwise an adaptive join splits the hot side
+    joined = own.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left").drop("_source", "_class")
+    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).otherwise(0)
+    return joined.select("_row.*", "size", "source_size", "target", (F.floor("rate") + extra).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -75,10 +107,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 REPORT_SQL = """
-WITH own AS (
+WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 4))::BIGINT AS cell
   FROM documents),
+own AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS class FROM sized),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY source),
 weighed AS (
   SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank,
@@ -89,8 +122,16 @@ levels AS (
     / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 opened AS (SELECT level FROM levels WHERE most >= level * weight ORDER BY most / weight, rank LIMIT 1),
 targets AS (SELECT source, source_size, CASE WHEN most < (SELECT level FROM opened) * weight THEN most ELSE coalesce((SELECT level FROM opened) * weight, 0) END AS target FROM levels),
-rates AS (
-  SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-  FROM own JOIN targets ON own.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rates
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+classes AS (
+  SELECT o.source, class, rate - floor(rate) AS part, sum(count(*)) OVER (PARTITION BY o.source ORDER BY class DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, count(*) AS n,
+    ('0x' || substr(md5('mix-1:' || coalesce(o.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM own o JOIN rates r ON o.source IS NOT DISTINCT FROM r.source GROUP BY o.source, class, rate),
+quotas AS (SELECT source, class, floor(upto * part + u) - floor((upto - n) * part + u) AS quota FROM classes),
+cells AS (SELECT source, class, cell, sum(count(*)) OVER (PARTITION BY source, class ORDER BY cell ROWS UNBOUNDED PRECEDING) - count(*) / 2.0::DOUBLE AS middle FROM own GROUP BY source, class, cell),
+cuts AS (
+  SELECT c.source, c.class, coalesce(max(cell) FILTER (middle < quota), -1) AS last_cell
+  FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source AND c.class = q.class GROUP BY c.source, c.class)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN cell <= last_cell THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM own JOIN rates r ON own.source IS NOT DISTINCT FROM r.source JOIN cuts c ON own.source IS NOT DISTINCT FROM c.source AND own.class = c.class
 """

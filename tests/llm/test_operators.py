@@ -1,9 +1,12 @@
 import random
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
+import pytest
 
-from sightline.llm import chat, fingerprints, hamming, language, mixing, packing, quality, secrets, sharding
+from sightline.llm import chat, fingerprints, hamming, language, mixing, packing, quality, queries, secrets, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int"
 
@@ -118,6 +121,28 @@ def test_mixing_meets_caps(spark):
     assert mixing.report(docs(spark, [])).count() == 0
 
 
+def test_mixing_comes_near_its_targets_and_keeps_columns(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * int(rng.lognormvariate(5, 1)), "en", f"s{i % 7 % 4}") for i in range(1500)]
+    df = docs(spark, rows).selectExpr("*", "'c' AS class", "'l' AS cell", "'r' AS rate", "'n' AS n", "'k' AS last_cell", "'s' AS _source")
+    out = mixing.copies(df).toPandas()
+    assert (out[["class", "cell", "rate", "n", "last_cell", "_source"]] == ["c", "l", "r", "n", "k", "s"]).all(axis=None)
+    for _, g in out.groupby("source"):
+        whole = int(g.target.iloc[0] // g.source_size.iloc[0])
+        assert set(g.copies) <= {whole, whole + 1}
+        assert abs((g["size"] * g.copies).sum() / g.target.iloc[0] - 1) < 0.05
+
+
+@pytest.mark.parametrize("name", ["op4_chat_format", "op8_top_k_search", "op9_mixing"])
+def test_rows_match_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").iterdir():
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want, got = con.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    keys = list(want.columns)
+    assert got[keys].astype(str).sort_values(keys, ignore_index=True).equals(want.astype(str).sort_values(keys, ignore_index=True))
+
+
 def test_fingerprints_estimate_similarity(spark):
     rng = random.Random(7)
     base = [f"w{rng.randrange(9999)}" for _ in range(400)]
