@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 
 from sightline import queries as q
+from sightline.plans import views as v
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     nation, customer = [(n, f"N{n}", n % 5) for n in range(25)], [(k, k % 25, "AUTOMOBILE") for k in range(1, 61)]
     # a weak plate, in the colour, of the type and with the vector of cases 50 and above; one as weak in another colour and without its type
-    events = [(i, i, "view", datetime(2024, 1, 28), 400.0) for i in range(1, 40)] + [(1001, 306, "view", datetime(2024, 1, 28), 10.0), (1002, 307, "signup", datetime(2024, 1, 28), 10.0)]
+    events = [(i, i, "view", datetime(2024, 1, 28), 400.0) for i in range(1, 40)] + [(1001, 306, "view", datetime(2024, 1, 28), 10.0), (1002, 319, "signup", datetime(2024, 1, 28), 10.0), (1003, 650, "error", datetime(2024, 1, 28), 400.0)]
     vectors = [(i, [1.0 if j == i % 64 else 0.0 for j in range(64)]) for i in range(700)]
     for name, rows, schema in (
         ("nation", nation, "n_nationkey long, n_name string, n_regionkey long"), ("customer", customer, "c_custkey long, c_nationkey long, c_mktsegment string"),
@@ -27,3 +28,17 @@ def test_alerts_keep_weak_plates(spark, tables):
     weak = {x: s for x, s in got.items() if x[1] in (1001, 1002)}
     # at 0.05 the plate has no weight: 0.65 of the visual score, 0.20 of the colour, 0.15 of the type
     assert weak and all(s >= 0.65 and i == 1001 for (_, i), s in weak.items())
+
+
+def test_all_customers_are_cases_and_all_vectors_are_reached(spark, tables):
+    cases = v.cases(spark, tables, vectors=True).collect()
+    assert sorted(r["case_id"] for r in cases) == list(range(1, 61)) and all(r["ref_id"] == r["case_id"] for r in cases)
+    assert {r["sighting_id"]: r["vec_id"] for r in v.sightings(spark, tables, vectors=True).collect()} == {**{i: i for i in range(1, 40)}, 1001: 306, 1002: 319, 1003: 650}
+
+
+def test_matches_are_all_pairs_of_equal_plates(spark, tables):
+    cases, seen = v.cases(spark, tables).collect(), v.sightings(spark, tables).collect()
+    want = {(c["case_id"], s["sighting_id"]) for c in cases for s in seen if c["case_id"] % 200 and s["plate_text"] == c["reported_plate"]}
+    assert {(r["case_id"], r["sighting_id"]) for r in v.matches(spark, tables).collect()} == want
+    # plates that were not misread (7) or not read (11)
+    assert {i for _, i in want} == {i for i in range(1, 40) if i % 11 and (i % 7 or not set("018") & set(f"DL{i:02}AB{i:04}"))}
