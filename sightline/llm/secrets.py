@@ -1,6 +1,6 @@
 """Secret scans by grammar inference.
 
-Three plain patterns find credentials and label them. From a bounded sample of those, a prefix tree of character
+Three plain patterns find credentials in all texts and label them. From a bounded sample of those, a prefix tree of character
 classes is built for each kind, and states whose frequencies agree within a Hoeffding bound are merged into a
 probabilistic automaton. Every other long run of token characters is then scored: how likely is its format under an
 automaton, against ordinary text? Likely ones are reported as additional spans.
@@ -15,13 +15,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sightline.llm.common import python_workers
+from sightline.llm.common import python_workers, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -135,52 +136,74 @@ def ordinary(rates: dict[str, float], text: str) -> float:
     return sum(rates.get(c, UNSEEN) - math.log(SIZE.get(c, 1)) for c in symbols(text)) / max(1, len(text))
 
 
-def train(docs: DataFrame, max_docs: int = 30_000, max_strings: int = 2_000, slack: float = 0.25) -> dict:
-    """{"rates": ..., "kinds": {kind: {"automaton", "floor", "least", "most"}}} from a sample of about ``max_docs`` texts.
-
-    Of each kind up to ``max_strings`` distinct credentials are labelled examples. ``floor`` lies ``slack`` below the
-    first percentile of their likelihoods; ``least`` and ``most`` are half and twice their extreme lengths. A kind of
-    which fewer than 20 examples are found gets no automaton. Texts are chosen by hash.
-    """
-    spark = docs.sparkSession
-    python_workers(spark)
-    rows = docs.filter("text is not null").select("text")
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+def examples(docs: DataFrame, max_strings: int) -> DataFrame:
+    """Rows of each task: counts of symbols (kind "", the symbol in string, n), least and most length of the credentials
+    of each kind (string null), and of each kind the ``max_strings`` distinct credentials of least hash."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, lengths = np.zeros(128, np.int64), {}
+        kept: dict[str, dict[str, int]] = {k: {} for k in KINDS}
+
+        def least(strings: dict[str, int]) -> dict[str, int]:
+            return dict(sorted(strings.items(), key=lambda x: (x[1], x[0]))[:max_strings])
+
         for batch in batches:
-            kinds, strings, seen = [], [], Counter()
             for text in batch.column("text").to_pylist():
-                spans, _ = base_spans(text)
-                kinds += [KINDS[k] for _, _, k in spans]
-                strings += [credential(text, s)[:WINDOW] for s in spans]
-                seen.update(symbols("".join(text.split(" ")[::20])))
-            kinds.append("")
-            strings.append(json.dumps({c: k for c, k in sorted(seen.items()) if c in "dhlHU+/=_-"}))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], ["kind", "string"])
-
-    labelled = rows.mapInArrow(label, "kind string, string string")
+                # all symbols are ASCII, and no byte of another character is
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                seen += np.bincount(data, minlength=256)[:128]
+                for span in base_spans(text)[0]:
+                    kind, s = KINDS[span[2]], credential(text, span)
+                    lo, hi = lengths.get(kind, (len(s), len(s)))
+                    lengths[kind] = min(lo, len(s)), max(hi, len(s))
+                    s = s[:WINDOW]
+                    if s not in kept[kind]:
+                        kept[kind][s] = int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), signed=True)
+                        if len(kept[kind]) > 4 * max_strings:
+                            kept[kind] = least(kept[kind])
+        counts = Counter()
+        for i in np.flatnonzero(seen):
+            counts[symbols(chr(i))] += int(seen[i])
+        rows = [("", c, 0, k, None, None) for c, k in sorted(counts.items()) if c in "dhlHU+/=_-"]
+        rows += [(k, None, 0, 0, lo, hi) for k, (lo, hi) in lengths.items()]
+        rows += [(k, s, h, 0, None, None) for k in KINDS for s, h in least(kept[k]).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), *[pa.int64()] * 4), strict=True)], ["kind", "string", "hash", "n", "least", "most"])
+
+    return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, hash long, n long, least long, most long")
+
+
+def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.25) -> dict:
+    """{"rates": ..., "kinds": {kind: {"automaton", "floor", "least", "most"}}} from all texts.
+
+    Of each kind the ``max_strings`` distinct credentials of least hash are labelled examples, however rare the kind is
+    among the texts. ``floor`` lies ``slack`` below the first percentile of their likelihoods; ``least`` and ``most`` are
+    half and twice the extreme lengths of all credentials. A kind of which fewer than 20 distinct examples exist gets no
+    automaton. ``rates`` are those of the symbols of all texts.
+    """
+    python_workers(docs.sparkSession)
+    # used twice, so written: a few thousand short strings a task
+    found = written(examples(docs, max_strings), "op7-examples")
+    facts = found.filter("kind = '' or string is null").groupBy("kind", "string").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).collect()
+    seen = {r["string"]: r["n"] for r in facts if not r["kind"]}
+    lengths = {r["kind"]: (r["least"], r["most"]) for r in facts if r["kind"]}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, strings = pdf["kind"].iloc[0], sorted(pdf["string"])
-        if kind == "":
-            seen = sum((Counter(json.loads(s)) for s in strings), Counter())
-            out = {c: math.log(k / max(1, seen.total())) for c, k in seen.items()}
-        elif len(strings) < 20:
+        if len(strings) < 20:
             out = {}
         else:
             automaton = infer(strings)
             scores = sorted(log_likelihood(automaton, s) for s in strings)
-            lengths = [len(s) for s in strings]
-            out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": min(lengths) // 2, "most": max(lengths) * 2}
+            out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": lengths[kind][0] // 2, "most": lengths[kind][1] * 2}
         return pd.DataFrame({"kind": [kind], "model": [json.dumps(out)]})
 
-    distinct = labelled.distinct()
-    few = distinct.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("string"), "string"))).filter(F.col("rank") <= max_strings)
+    few = found.filter("kind != '' and string is not null").select("kind", "string", "hash").distinct()
+    # first within parts of the hashes, so that the last ranking sees a bounded number of rows
+    for by in (["kind", F.pmod("hash", F.lit(16))], ["kind"]):
+        few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("hash", "string"))).filter(F.col("rank") <= max_strings)
     models = {r["kind"]: json.loads(r["model"]) for r in few.select("kind", "string").groupBy("kind").applyInPandas(learn, "kind string, model string").collect()}
-    return {"rates": models.pop("", {}), "kinds": {k: models[k] for k in KINDS if models.get(k)}}
+    return {"rates": {c: math.log(k / sum(seen.values())) for c, k in seen.items()}, "kinds": {k: models[k] for k in KINDS if models.get(k)}}
 
 
 def added_spans(model: dict, text: str, runs: list[tuple[int, int]], base: list[Span], margin: float = 0.5) -> list[Span]:
