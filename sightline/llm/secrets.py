@@ -2,8 +2,8 @@
 
 Three plain patterns find credentials in all texts and label them. From a bounded sample of those, a prefix tree of character
 classes is built for each kind, and states whose frequencies agree within a Hoeffding bound are merged into a
-probabilistic automaton. Every other long run of token characters is then scored: how likely is its format under an
-automaton, against ordinary text? Likely ones are reported as additional spans.
+probabilistic automaton. All other runs of token characters, and their parts between delimiters, are then scored: how
+likely is their format under an automaton, against ordinary text? Likely ones are reported as additional spans.
 """
 
 from __future__ import annotations
@@ -28,26 +28,30 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Runs that hold all access keys and hex strings of the lengths asked for, and all candidates.
+#: Runs that hold all access keys and hex strings of the lengths asked for.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Natural logarithm of the chance that an automaton gives a step it has not seen.
 UNSEEN = -9.0
-#: Symbols of a string that are scored or learned from at once.
+#: Runs that hold all candidates; these also start after the delimiters and end before them.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+")
+DELIMITERS = "=/."
+#: Longer examples are learned from in windows of so many symbols, each half over the one before; all are scored whole.
 WINDOW = 512
+#: Scored tokens that a task remembers, and their greatest length.
+MEMORY, SHORT = 200_000, 64
 
 Span = tuple[int, int, int]  # start, end, place of the kind
 
 
-def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
-    """Spans of the plain patterns by start and kind, in code points, and all runs of token characters."""
+def base_spans(text: str) -> list[Span]:
+    """Spans of the plain patterns by start and kind, in code points."""
     found: list[Span] = []
     if ":" in text or "=" in text:
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    runs = [m.span() for m in RUN.finditer(text)]
-    for a, b in runs:
+    for a, b in (m.span() for m in RUN.finditer(text)):
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         found += [(m.start(), m.end(), 2) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= 24]
-    return sorted(found, key=lambda s: (s[0], s[2], s[1])), runs
+    return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
 def credential(text: str, span: Span) -> str:
@@ -64,20 +68,30 @@ def symbols(s: str) -> str:
 SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 
 
-def infer(strings: list[str], alpha: float = 0.05) -> dict:
-    """A probabilistic automaton from positive examples: {state: {symbol: [next, log p]}} with the end under ""."""
+def windows(s: str) -> list[tuple[str, bool]]:
+    """The string in overlapping windows, and whether it ends with each."""
+    step = WINDOW // 2
+    return [(s[i : i + WINDOW], i + WINDOW >= len(s)) for i in range(0, max(1, len(s) - step), step)]
+
+
+def infer(strings: list[str], alpha: float = 0.05, ends: list[bool] | None = None) -> dict:
+    """A probabilistic automaton from positive examples: {state: {symbol: [next, log p]}} with the end under "".
+
+    Strings that are not marked in ``ends`` go on after their last symbol.
+    """
     kids: list[dict[str, int]] = [{}]
     passed: list[Counter] = [Counter()]  # uses of each symbol, "" where strings end
-    for s in strings:
+    for s, ended in zip(strings, ends or [True] * len(strings), strict=True):
         at = 0
-        for c in symbols(s[:WINDOW]):
+        for c in symbols(s):
             passed[at][c] += 1
             if c not in kids[at]:
                 kids[at][c] = len(kids)
                 kids.append({})
                 passed.append(Counter())
             at = kids[at][c]
-        passed[at][""] += 1
+        if ended:
+            passed[at][""] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def alike(a: int, b: int) -> bool:
@@ -138,13 +152,13 @@ def ordinary(rates: dict[str, float], text: str) -> float:
 
 def examples(docs: DataFrame, max_strings: int) -> DataFrame:
     """Rows of each task: counts of symbols (kind "", the symbol in string, n), least and most length of the credentials
-    of each kind (string null), and of each kind the ``max_strings`` distinct credentials of least hash."""
+    of each kind (string null), and of each kind the ``max_strings`` distinct credentials, or windows of them, of least hash."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, lengths = np.zeros(128, np.int64), {}
-        kept: dict[str, dict[str, int]] = {k: {} for k in KINDS}
+        kept: dict[str, dict[tuple[str, bool], int]] = {k: {} for k in KINDS}
 
-        def least(strings: dict[str, int]) -> dict[str, int]:
+        def least(strings: dict[tuple[str, bool], int]) -> dict[tuple[str, bool], int]:
             return dict(sorted(strings.items(), key=lambda x: (x[1], x[0]))[:max_strings])
 
         for batch in batches:
@@ -152,25 +166,25 @@ def examples(docs: DataFrame, max_strings: int) -> DataFrame:
                 # all symbols are ASCII, and no byte of another character is
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 seen += np.bincount(data, minlength=256)[:128]
-                for span in base_spans(text)[0]:
+                for span in base_spans(text):
                     kind, s = KINDS[span[2]], credential(text, span)
                     lo, hi = lengths.get(kind, (len(s), len(s)))
                     lengths[kind] = min(lo, len(s)), max(hi, len(s))
-                    s = s[:WINDOW]
-                    if s not in kept[kind]:
-                        kept[kind][s] = int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), signed=True)
-                        if len(kept[kind]) > 4 * max_strings:
-                            kept[kind] = least(kept[kind])
+                    for w in windows(s):
+                        if w not in kept[kind]:
+                            kept[kind][w] = int.from_bytes(hashlib.blake2b(f"{w}".encode(), digest_size=8).digest(), signed=True)
+                    if len(kept[kind]) > 4 * max_strings:
+                        kept[kind] = least(kept[kind])
         counts = Counter()
         for i in np.flatnonzero(seen):
             counts[symbols(chr(i))] += int(seen[i])
-        rows = [("", c, 0, k, None, None) for c, k in sorted(counts.items()) if c in "dhlHU+/=_-"]
-        rows += [(k, None, 0, 0, lo, hi) for k, (lo, hi) in lengths.items()]
-        rows += [(k, s, h, 0, None, None) for k in KINDS for s, h in least(kept[k]).items()]
+        rows = [("", c, None, 0, k, None, None) for c, k in sorted(counts.items()) if c in "dhlHU+/=_.-"]
+        rows += [(k, None, None, 0, 0, lo, hi) for k, (lo, hi) in lengths.items()]
+        rows += [(k, s, ended, h, 0, None, None) for k in KINDS for (s, ended), h in least(kept[k]).items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), *[pa.int64()] * 4), strict=True)], ["kind", "string", "hash", "n", "least", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4), strict=True)], ["kind", "string", "ended", "hash", "n", "least", "most"])
 
-    return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, hash long, n long, least long, most long")
+    return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, ended boolean, hash long, n long, least long, most long")
 
 
 def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.25) -> dict:
@@ -189,37 +203,84 @@ def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.25) -> dic
     lengths = {r["kind"]: (r["least"], r["most"]) for r in facts if r["kind"]}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, strings = pdf["kind"].iloc[0], sorted(pdf["string"])
+        kind, (strings, ends) = pdf["kind"].iloc[0], zip(*sorted(zip(pdf["string"], pdf["ended"], strict=True)), strict=True)
         if len(strings) < 20:
             out = {}
         else:
-            automaton = infer(strings)
+            automaton = infer(list(strings), ends=list(ends))
             scores = sorted(log_likelihood(automaton, s) for s in strings)
             out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": lengths[kind][0] // 2, "most": lengths[kind][1] * 2}
         return pd.DataFrame({"kind": [kind], "model": [json.dumps(out)]})
 
-    few = found.filter("kind != '' and string is not null").select("kind", "string", "hash").distinct()
+    few = found.filter("kind != '' and string is not null").select("kind", "string", "ended", "hash").distinct()
     # first within parts of the hashes, so that the last ranking sees a bounded number of rows
     for by in (["kind", F.pmod("hash", F.lit(16))], ["kind"]):
-        few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("hash", "string"))).filter(F.col("rank") <= max_strings)
-    models = {r["kind"]: json.loads(r["model"]) for r in few.select("kind", "string").groupBy("kind").applyInPandas(learn, "kind string, model string").collect()}
+        few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("hash", "string", "ended"))).filter(F.col("rank") <= max_strings)
+    models = {r["kind"]: json.loads(r["model"]) for r in few.select("kind", "string", "ended").groupBy("kind").applyInPandas(learn, "kind string, model string").collect()}
     return {"rates": {c: math.log(k / sum(seen.values())) for c, k in seen.items()}, "kinds": {k: models[k] for k in KINDS if models.get(k)}}
 
 
-def added_spans(model: dict, text: str, runs: list[tuple[int, int]], base: list[Span], margin: float = 0.5) -> list[Span]:
-    """Runs that no base span meets and whose format an automaton explains: its likelihood reaches the floor and
-    exceeds that of ordinary text by ``margin`` a character."""
+def free(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The runs of token characters, or what base spans leave of them."""
+    at = 0
+    for a, b in [*sorted(s[:2] for s in base), (len(text), len(text))]:
+        if a > at:
+            yield from (m.span() for m in TOKEN.finditer(text, at, a))
+        at = max(at, b)
+
+
+def likely(model: dict, token: str, margin: float = 0.5) -> list[Span]:
+    """Parts of a run whose format an automaton explains: the mean likelihood reaches the floor and exceeds that of
+    ordinary text by ``margin`` a character. A part starts with the run or after a delimiter and ends with the run or
+    before one; of parts that overlap the one with the most evidence against ordinary text is taken."""
+    classes, n = symbols(token), len(token)
+    starts = [0, *(i + 1 for i in range(n - 1) if token[i] in DELIMITERS and token[i + 1] != token[i])]
+    stops = {n, *(i for i in range(1, n) if token[i] in DELIMITERS and token[i - 1] != token[i])}
+    size = [math.log(SIZE.get(c, 1)) for c in classes]
+    plain = [0.0]
+    for c, z in zip(classes, size, strict=True):
+        plain.append(plain[-1] + model["rates"].get(c, UNSEEN) - z)
+    found = []
+    for k, m in model["kinds"].items():
+        automaton, shortest = m["automaton"], max(1, m["least"])
+        for a in starts:
+            if n - a < shortest:
+                break
+            at, total = "0", 0.0
+            for b in range(a, min(n, a + m["most"]) + 1):
+                if b in stops and b - a >= shortest:
+                    whole, usual = total + automaton[at].get("", (0, UNSEEN))[1], plain[b] - plain[a]
+                    if whole / (b - a + 1) >= max(m["floor"], usual / (b - a) + margin):
+                        found.append((usual - whole, a, b, KINDS.index(k)))
+                if b < n:
+                    to, p = automaton[at].get(classes[b], (0, UNSEEN))
+                    total += p - size[b]
+                    at = str(to)
+    taken: list[Span] = []
+    for _, a, b, k in sorted(found):
+        if all(b <= s or e <= a for s, e, _ in taken):
+            taken.append((a, b, len(KINDS) + k))
+    return sorted(taken)
+
+
+def added_spans(model: dict, text: str, base: list[Span], known: dict[str, list[Span]]) -> list[Span]:
+    """The likely parts of what base spans leave of a text. ``known`` remembers short tokens."""
     found = []
-    for a, b in runs:
-        if any(s < b and a < e for s, e, _ in base):
+    if not model["kinds"]:
+        return found
+    shortest = min(m["least"] for m in model["kinds"].values())
+    for a, b in free(text, base):
+        if b - a < shortest:
             continue
-        run = text[a:b]
-        plain, best = ordinary(model["rates"], run), None
-        for kind, m in model["kinds"].items():
-            if m["least"] <= b - a <= m["most"] and (p := log_likelihood(m["automaton"], run)) >= max(m["floor"], plain + margin):
-                best = max(best or (p, 0), (p, -KINDS.index(kind)))
-        if best:
-            found.append((a, b, len(KINDS) - best[1]))
+        token = text[a:b]
+        spans = known.get(token)
+        if spans is None:
+            spans = likely(model, token)
+            if b - a <= SHORT:
+                if len(known) >= MEMORY:
+                    known.clear()
+                known[token] = spans
+        found += [(a + s, a + e, k) for s, e, k in spans]
     return found
 
 
@@ -240,14 +301,15 @@ def report(docs: DataFrame, model: dict | None = None) -> DataFrame:
     python_workers(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[Span]] = {}
         for batch in batches:
             counts, digests, spans = [[], [], []], [], []
             for text in batch.column("text").to_pylist():
-                base, runs = base_spans(text or "")
+                base = base_spans(text or "")
                 for k in range(3):
                     counts[k].append(sum(s[2] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(base + added_spans(model, text or "", runs, base)))
+                spans.append(joined(base + added_spans(model, text or "", base, known)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -258,21 +320,22 @@ def redact(docs: DataFrame, model: dict | None = None, mask: str = "[SECRET]") -
     model = train(docs) if model is None else model
     python_workers(docs.sparkSession)
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, known: dict[str, list[Span]]) -> str | None:
         if not text:
             return text
-        base, runs = base_spans(text)
+        base = base_spans(text)
         out, at = [], 0
-        for a, b, _ in sorted(base + added_spans(model, text, runs, base)):
+        for a, b, _ in sorted(base + added_spans(model, text, base, known)):
             if a >= at:
                 out += [text[at:a], mask]
             at = max(at, b)
         return "".join([*out, text[at:]])
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[Span]] = {}
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(map(clean, batch.column("text").to_pylist()), batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t, known) for t in batch.column("text").to_pylist()], batch.schema.field(at).type))
 
     out = docs.mapInArrow(masked, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

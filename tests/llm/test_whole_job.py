@@ -24,3 +24,31 @@ def test_rare_kinds_and_rates_come_from_all_texts(spark):
     assert model["kinds"]["access"]["least"] == 10 and model["kinds"]["access"]["most"] == 40
     n = df.select(F.sum(F.length(F.regexp_replace("text", r"[^A-Za-z0-9+/=_-]", "")))).first()[0]
     assert math.isclose(math.exp(model["rates"]["+"]), 5 / n, rel_tol=1e-9)
+
+
+def test_all_candidates_are_scored(spark):
+    rng = random.Random(9)
+    key = lambda: drawn(rng, 6, "0123456789ABCDEF") + "-" + drawn(rng, 5, "0123456789")
+    access = lambda: f"AKIA{drawn(rng, 20)}"
+    rows = [(i, f"then token = {key()}; and {access()} of plain words that say nothing at all") for i in range(300)]
+    a, b = key(), access()[4:]
+    made = {1000: f"see {a} there", 1001: f"auth={a}", 1002: f"at host/{a}.", 1003: f"{access()}/{a}", 1004: f"go to:{a}", 1005: f"the information of yesterday, {b[:4].lower()} and more"}
+    model = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(list(made.items()), "doc_id long, text string"), model).collect()}
+    for i in range(1000, 1005):
+        at = made[i].index(a)
+        assert f"like_assign:{at}:{at + len(a)}" in got[i].split(","), (i, got[i])
+    assert got[1005] == ""
+    clean = secrets.redact(spark.createDataFrame(list(made.items()), "doc_id long, text string"), model).collect()
+    assert not any(a in r["text"] for r in clean)
+
+
+def test_long_strings_are_learned_and_scored_whole(spark):
+    rng = random.Random(10)
+    long = lambda n: drawn(rng, n, "0123456789ABCDEF")
+    rows = [(i, f"then secret = {long(3000)}") for i in range(60)]
+    model = secrets.train(spark.createDataFrame(rows + [(i, "plain words that say nothing at all " * 100) for i in range(100, 200)], "doc_id long, text string"))
+    assert model["kinds"]["assign"]["most"] == 6000
+    assert secrets.windows("x" * 512) == [("x" * 512, True)] and [(len(w), e) for w, e in secrets.windows("x" * 1000)] == [(512, False), (512, False), (488, True)]
+    x = long(2999)
+    assert secrets.added_spans(model, f"see {x} there", [], {}) == [(4, 3003, 3)]
