@@ -1,8 +1,9 @@
 """Language identification by n-gram filters that share one bit-sliced Bloom filter.
 
-Every slot of the filter holds a mask with one bit per language. The slots of an n-gram are combined by "and", which
-gives all languages whose profile has the n-gram at once. A text is decided by counting, per language, the n-grams
-that have its bit, after taking off the share that its filter would let through by chance.
+Every slot of the filter holds a mask with one bit per language; each 63 languages have masks of their own. The slots
+of an n-gram are combined by "and", which gives all languages whose profile has the n-gram at once. A text is decided
+by counting, per language, the n-grams that have its bit, after taking off the share that its filter would let through
+by chance.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ UNKNOWN = "und"
 #: Lengths of n-grams over letters; word edges count as one character.
 SIZES = (2, 3, 4)
 PROBES, SLOT_BITS = 3, 20
+#: Languages that share a mask.
+BITS = 63
 #: Characters that are handled at once, to bound the memory of a task.
 CHUNK = 1 << 18
 
@@ -85,15 +88,26 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 @dataclass
 class Model:
-    """languages by bit, one mask per slot, and the chance of each language's filter to let an n-gram through."""
+    """languages by bit, masks per slot (a row for each 63), and the chance of each language's filter to let an n-gram through."""
 
     languages: list[str]
     slots: np.ndarray
     chance: np.ndarray
 
 
-def train(labelled: DataFrame, max_docs: int = 20_000, profile: int = 30_000, least: int = 3, share: float = 0.6) -> Model:
-    """Learns from text and lang of ``labelled``, from a sample of about ``max_docs`` rows drawn by hash.
+def sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """Of each lang the ``per_language`` distinct texts of least hash, or all where there are fewer."""
+    hashed = rows.withColumn("h", F.xxhash64("text", "lang"))
+    few = hashed.select("lang", "h").distinct()
+    # first within parts of the hashes, so that the last ranking sees a bounded number of rows
+    for by in (["lang", F.pmod("h", F.lit(16))], ["lang"]):
+        few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("h"))).filter(F.col("rank") <= per_language)
+    last = few.groupBy("lang").agg(F.max("h").alias("last")).withColumnRenamed("lang", "_lang")
+    return hashed.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("last"))).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def train(labelled: DataFrame, per_language: int = 5_000, profile: int = 30_000, least: int = 3, share: float = 0.6) -> Model:
+    """Learns from text and lang of ``labelled``: from up to ``per_language`` distinct texts of every language there is.
 
     A language's profile has the n-grams that occur at least ``least`` times in it and are at least ``share`` times as
     frequent there as in the language that uses them most: at most the ``profile`` most frequent ones. Rows without
@@ -102,12 +116,8 @@ def train(labelled: DataFrame, max_docs: int = 20_000, profile: int = 30_000, le
     spark = labelled.sparkSession
     python_workers(spark)
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang")
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    if len(languages) > 63:
-        raise ValueError("a mask has room for 63 languages")
+    rows = sample(rows, per_language)
     bit = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +147,7 @@ def train(labelled: DataFrame, max_docs: int = 20_000, profile: int = 30_000, le
     counted = rows.mapInArrow(count, "gram long, bit int, n long").groupBy("gram").pivot("bit", list(range(len(languages)))).agg(F.sum("n")).na.fill(0)
     counted = written(counted.withColumnsRenamed({str(i): f"n{i}" for i in range(len(languages))}), "op5-grams")
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+        return Model([], np.zeros((0, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     totals = counted.agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(languages))]).first()
     rates = [F.col(f"n{i}") / F.lit(float(max(1, totals[i] or 0))) for i in range(len(languages))]
     most = F.greatest(*rates) if len(rates) > 1 else rates[0]
@@ -145,11 +155,11 @@ def train(labelled: DataFrame, max_docs: int = 20_000, profile: int = 30_000, le
     entries = counted.select("gram", F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("e")).select("gram", "e.*")
     top = entries.withColumn("rank", F.row_number().over(W.partitionBy("bit").orderBy(F.desc("rate"), "gram"))).filter(F.col("rank") <= profile)
     slot = F.explode(F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * i).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for i in range(PROBES)]))
-    filled = top.select(F.expr("shiftleft(1L, bit)").alias("mask"), slot.alias("slot")).groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
+    filled = top.select(F.expr(f"shiftleft(1L, bit % {BITS})").alias("mask"), F.expr(f"bit div {BITS}").alias("part"), slot.alias("slot")).groupBy("part", "slot").agg(F.bit_or("mask").alias("mask"))
+    slots = np.zeros((-(-len(languages) // BITS), 1 << SLOT_BITS), np.uint64)
     for r in filled.collect():
-        slots[r["slot"]] = r["mask"]
-    full = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        slots[r["part"], r["slot"]] = r["mask"]
+    full = np.array([((slots[i // BITS] >> np.uint64(i % BITS)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, slots, full**PROBES)
 
 
@@ -160,12 +170,12 @@ def votes(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     for start, some in _chunks(texts):
         h, owner, has = ngrams(some)
         letters[start : start + len(some)] = has
-        mask = model.slots[h & low]
+        masks = model.slots[:, h & low]
         for i in range(1, PROBES):
-            mask &= model.slots[(h >> np.uint64(SLOT_BITS * i)) & low]
+            masks &= model.slots[:, (h >> np.uint64(SLOT_BITS * i)) & low]
         n = np.bincount(owner, minlength=len(some))
         for b in range(len(model.languages)):
-            hits = np.bincount(owner, ((mask >> np.uint64(b)) & np.uint64(1)).astype(np.float64), len(some))
+            hits = np.bincount(owner, ((masks[b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)).astype(np.float64), len(some))
             shares[start : start + len(some), b] = (hits / np.maximum(n, 1) - model.chance[b]) / max(1e-9, 1 - model.chance[b])
     return np.clip(shares, 0, 1), letters
 
@@ -179,7 +189,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     spark = docs.sparkSession
     python_workers(spark)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
-    shared = spark.sparkContext.broadcast(model)  # 8 bytes a slot, 8 MB whatever the input
+    shared = spark.sparkContext.broadcast(model)  # 8 bytes a slot, 8 MB for each 63 languages whatever the input
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

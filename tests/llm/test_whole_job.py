@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sightline.llm import secrets
+from sightline.llm import language, secrets
 
 UPPER = "ABCDEFGHJKMNPQRSTUVWXYZ23456789"
 
@@ -52,3 +52,20 @@ def test_long_strings_are_learned_and_scored_whole(spark):
     assert secrets.windows("x" * 512) == [("x" * 512, True)] and [(len(w), e) for w, e in secrets.windows("x" * 1000)] == [(512, False), (512, False), (488, True)]
     x = long(2999)
     assert secrets.added_spans(model, f"see {x} there", [], {}) == [(4, 3003, 3)]
+
+
+def test_rare_and_many_languages_are_learned(spark):
+    """One language has 5 of 60,005 rows and two thirds of the others are one text; 69 more fill over one mask."""
+    words = lambda seed, n: (lambda r: [drawn(r, 6, "abcdefghijklmnopqrstuvwxyz") for _ in range(n)])(random.Random(seed))
+    rng, few = random.Random(11), words("rare", 8)
+    rare = [(" ".join(rng.choices(few, k=60)), "zz") for _ in range(5)]
+    some = [(" ".join(rng.choices(words(i, 8), k=60)), f"l{i:02}") for i in range(69) for _ in range(2)]
+    common = [(f"{' '.join(rng.choices(words('common', 40), k=8))} {i}", "en") for i in range(200)]
+    df = spark.createDataFrame([*rare, *some], "text string, lang string")
+    df = df.union(spark.createDataFrame(common, "text string, lang string").crossJoin(spark.range(300)).selectExpr("case when id < 200 then 'one copied text' else concat(text, ' x', id) end", "lang"))
+    assert language.sample(df, 100).groupBy("lang").count().filter("lang in ('en', 'zz')").sort("lang").collect() == [("en", 100), ("zz", 5)]
+    model = language.train(df)
+    assert len(model.languages) == 71 and model.slots.shape[0] == 2
+    tests = [(" ".join(rng.choices(few, k=30)), "zz")] + [(" ".join(rng.choices(words(i, 8), k=30)), f"l{i:02}") for i in (0, 68)]
+    got = language.identify(spark.createDataFrame(tests, "text string, lang string"), model).collect()
+    assert [(r["lang_pred"], r["score"] > 0.2) for r in got] == [(r["lang"], True) for r in got]
