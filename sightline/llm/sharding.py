@@ -85,20 +85,47 @@ def load_map(spark: SparkSession, version: int, path: str) -> DataFrame:
     return spark.read.schema("vslot int, owner int").parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The greatest version of the map that is stored under ``path``; 0 where there is none."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    # a version that was not written to its end has no _SUCCESS
+    done = [x.getName() for x in names if x.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return max((int(x.split("=")[1]) for x in done), default=0)
+
+
+def next_map(spark: SparkSession, loads: dict[int, int], shards: int, path: str, slots: int = SLOTS) -> DataFrame:
+    """The map for these loads, stored under ``path``: version 1, or the latest one there edited as the next version.
+
+    A map that needs no edit stays the version it is.
+    """
+    version = latest_version(spark, path)
+    if not version:
+        return save_map(spark, first_map(loads, shards, slots), 1, path)
+    stored = load_map(spark, version, path)
+    old = [r["owner"] for r in stored.sort("vslot").collect()]
+    if len(old) != slots:
+        raise ValueError(f"the map under {path} has {len(old)} slots, not {slots}")
+    new = rebalanced(old, loads, shards)
+    return stored if new == old else save_map(spark, new, version + 1, path)
+
+
 def assign(docs: DataFrame, shards: int = 40, path: str | None = None, slots: int = SLOTS) -> DataFrame:
     """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
     The law is ``bytes``. ``slot`` numbers the records of a shard from 0 without gaps: virtual slots follow each other
     in the shard, and so do the parts of a slot. Repeated rows are records of their own; an empty table gives an
-    empty result. The map is stored as version 1 under ``path`` (the shared folder unless given).
+    empty result. A map under ``path`` is edited and stored as the next version;
+    where there is none, or no path is given, a new one is stored as version 1 (in the shared folder unless given).
     """
     spark = docs.sparkSession
     records = sized(docs, slots).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
     # the parts must not be drawn twice, so the narrow rows are written before they are counted and numbered
     records = written(records, "op3-records")
-    owner = first_map(slot_bytes(records), shards, slots)
     path = path or f"{shared_dir(spark)}/op3-map-{uuid.uuid4().hex}"
-    current = save_map(spark, owner, 1, path)
+    current = next_map(spark, slot_bytes(records), shards, path, slots)
     # at most slots * PARTS rows
     counts = records.groupBy("vslot", "part").count().join(F.broadcast(current), "vslot")
     base = F.sum("count").over(W.partitionBy("owner").orderBy("vslot", "part").rowsBetween(W.unboundedPreceding, -1))

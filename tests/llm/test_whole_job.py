@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sightline.llm import language, secrets
+from sightline.llm import language, secrets, sharding
 
 UPPER = "ABCDEFGHJKMNPQRSTUVWXYZ23456789"
 
@@ -69,3 +69,22 @@ def test_rare_and_many_languages_are_learned(spark):
     tests = [(" ".join(rng.choices(few, k=30)), "zz")] + [(" ".join(rng.choices(words(i, 8), k=30)), f"l{i:02}") for i in (0, 68)]
     got = language.identify(spark.createDataFrame(tests, "text string, lang string"), model).collect()
     assert [(r["lang_pred"], r["score"] > 0.2) for r in got] == [(r["lang"], True) for r in got]
+
+
+def test_a_second_run_edits_the_stored_map(spark, tmp_path):
+    path, slots = f"file://{tmp_path}/map", 256
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    owners = lambda n: [r["owner"] for r in sharding.load_map(spark, n, path).sort("vslot").collect()]
+    assert {r["map_version"] for r in sharding.assign(rows, 8, path, slots).collect()} == {1}
+    assert {r["map_version"] for r in sharding.assign(rows, 8, path, slots).collect()} == {1}
+    old = owners(1)
+    grown = rows.union(spark.range(5000, 5400).select("id", F.repeat(F.lit("y"), 40)))
+    out = sharding.assign(grown, 9, path, slots).collect()
+    new = owners(2)
+    assert owners(1) == old and {r["map_version"] for r in out} == {2} and all(r["shard"] == new[r["vslot"]] for r in out)
+    # only what shards have above the mean moves: each keeps the mean or more
+    moved, load = [i for i in range(slots) if old[i] != new[i]], [0] * 9
+    for r in out:
+        load[old[r["vslot"]]] += r["size"] * (old[r["vslot"]] == new[r["vslot"]])
+    mean = sum(r["size"] for r in out) / 9
+    assert moved and len(moved) < slots // 4 and all(old[i] < 8 for i in moved) and all(x >= mean for i, x in enumerate(load[:8]) if i in {old[m] for m in moved})
