@@ -96,13 +96,13 @@ v_base AS (SELECT *, 'DL' || lpad((user_id % 100)::VARCHAR, 2, '0') || 'AB' || l
 v_sightings AS (SELECT event_id AS sighting_id, 'CAM_' || lpad((CASE WHEN event_id % 97 = 0 THEN 99 ELSE event_id % 25 END)::VARCHAR, 3, '0') AS camera_id, ts AS timestamp,
   CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN translate(base, '018', 'OIB') ELSE base END AS plate_text, least(floor(value / 2), 100)::DOUBLE / 100 AS plate_confidence,
   CASE event_type WHEN 'view' THEN 'car' WHEN 'click' THEN 'truck' WHEN 'signup' THEN 'bus' WHEN 'error' THEN 'motorcycle' ELSE 'van' END AS vehicle_type, (['white', 'black', 'silver', 'grey', 'red'])[user_id % 5 + 1] AS vehicle_color,
-  user_id, user_id % 500 AS vec_id, CASE WHEN event_id % 3 = 0 THEN sha256(event_id::VARCHAR) END AS sha256_hash FROM v_base),
+  user_id, user_id % greatest(1, (SELECT count(*) FROM embeddings)) AS vec_id, CASE WHEN event_id % 3 = 0 THEN sha256(event_id::VARCHAR) END AS sha256_hash FROM v_base),
 v_cases AS (SELECT c_custkey AS case_id, 'FIR-' || lpad(c_custkey::VARCHAR, 6, '0') AS fir_number, 'DL' || lpad((c_custkey % 150 % 100)::VARCHAR, 2, '0') || 'AB' || lpad((c_custkey % 150)::VARCHAR, 4, '0') AS reported_plate,
   TIMESTAMP '2024-01-01 00:00:00' + to_days((c_custkey % 20)::INT) AS theft_datetime, 28.4::DOUBLE + 0.013::DOUBLE * n_nationkey AS theft_latitude, 77.1::DOUBLE + 0.05::DOUBLE * n_regionkey AS theft_longitude,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'car' WHEN 'BUILDING' THEN 'truck' WHEN 'FURNITURE' THEN 'bus' WHEN 'HOUSEHOLD' THEN 'van' ELSE 'motorcycle' END AS case_type, (['white', 'black', 'silver', 'grey', 'red'])[c_custkey // 50 % 5 + 1] AS case_color,
-  (['open', 'tracking', 'recovered', 'closed'])[c_custkey // 50 % 4 + 1] AS status, c_custkey % 500 AS ref_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
+  (['open', 'tracking', 'recovered', 'closed'])[c_custkey // 50 % 4 + 1] AS status, c_custkey % greatest(1, (SELECT count(*) FROM embeddings)) AS ref_id FROM customer JOIN nation ON c_nationkey = n_nationkey),
 v_matches AS (SELECT case_id * 1000000 + sighting_id AS id, case_id, sighting_id, plate_confidence AS composite_score, (['pending', 'verified', 'rejected', 'flagged'])[sighting_id // 5 % 4 + 1] AS verification_status, timestamp AS created_at
-  FROM v_cases JOIN v_sightings ON reported_plate = plate_text WHERE case_id % 200 <> 0 AND sighting_id % 5 = 0),
+  FROM v_cases JOIN v_sightings ON reported_plate = plate_text WHERE case_id % 200 <> 0),
 v_audit AS (SELECT o_orderkey AS audit_id, 'B' || (o_custkey % 20)::VARCHAR AS user_badge_id, upper(o_orderpriority) AS action, CASE o_orderstatus WHEN 'O' THEN 'case' WHEN 'F' THEN 'match' ELSE 'camera' END AS resource_type, o_custkey::VARCHAR AS resource_id, o_orderdate AS timestamp FROM orders),
 v_detections AS (SELECT 'CAM_' || lpad((l_suppkey % 25)::VARCHAR, 3, '0') AS camera_id, l_orderkey % 500 AS frame_idx, (l_orderkey * 1000000 + l_partkey) * 100000 + l_suppkey * 10 + l_linenumber AS det_id, (l_partkey % 300)::INT AS x1, (min(l_quantity) * 4)::INT AS y1,
   least(1.0::DOUBLE, round(min(l_discount) * 10, 1)) AS confidence, lower(min(l_returnflag)) AS class_name, (l_partkey % 400)::DOUBLE AS lap_var, l_suppkey % 40 AS track_id FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber)

@@ -536,7 +536,7 @@ def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, s, lambda x: st.plate_transition_state(x, None), rocksdb=True)
 
 
-@_query(f"{SCORED_SQL}, km AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM z JOIN (SELECT case_id, status FROM v_cases) USING (case_id)) --- SELECT case_id, sighting_id, comp AS composite_score FROM km WHERE status IN ('open', 'tracking') AND comp >= 0.65 AND conf >= 0.3 AND (lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600))", recursive=True)
+@_query(f"{SCORED_SQL}, km AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM z JOIN (SELECT case_id, status FROM v_cases) USING (case_id)) --- SELECT case_id, sighting_id, comp AS composite_score FROM km WHERE status IN ('open', 'tracking') AND comp >= 0.65 AND (lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600))", recursive=True)
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
     s = v.sightings(spark, d, vectors=True).join(c, "camera_id", "left")
