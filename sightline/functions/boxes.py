@@ -17,8 +17,8 @@ def absolute_box(inner: Column, outer: Column) -> Column:
     return F.array(inner[0] + outer[0], inner[1] + outer[1], inner[2] + outer[0], inner[3] + outer[1])
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Intersection over union; 0 for disjoint boxes."""
+def iou(a: Column | list[Column], b: Column | list[Column]) -> Column:
+    """Intersection over union; 0 for disjoint boxes. A box is an array or its four columns."""
     side = lambda lo, hi: F.greatest(F.lit(0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
     both = side(0, 2) * side(1, 3)
     area = lambda c: (c[2] - c[0]) * (c[3] - c[1])

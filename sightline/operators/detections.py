@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,22 +10,29 @@ from sightline.functions.boxes import iou
 from sightline.functions.plates import format_plate, repair_plate
 
 
-def _mutual(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the best of both their sides; ties by least id."""
-    a = F.row_number().over(W.partitionBy("camera_id", "det_id").orderBy(F.desc("overlap"), "prev_id"))
-    b = F.row_number().over(W.partitionBy("camera_id", "prev_id").orderBy(F.desc("overlap"), "det_id"))
-    return pairs.withColumn("_a", a).withColumn("_b", b).filter("_a = 1 and _b = 1").drop("_a", "_b")
-
-
 def frame_association(d: DataFrame) -> DataFrame:
     """Links of detections with those one frame before: sure ones first at an overlap of 0.30 or more, then weak ones
-    (confidence 0.10 to 0.50) at 0.15 or more with what is left. One to one by mutually best overlap."""
-    prev = d.select("camera_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("det_id").alias("prev_id"), F.col("bbox").alias("prev_box"))
-    pairs = d.join(prev, ["camera_id", "frame_idx"]).withColumn("overlap", iou(F.col("bbox"), F.col("prev_box")))
-    one = _mutual(pairs.filter("confidence >= 0.5 and overlap >= 0.30"))
-    rest = pairs.filter("confidence >= 0.1 and confidence < 0.5 and overlap >= 0.15").join(one.select("camera_id", "prev_id"), ["camera_id", "prev_id"], "left_anti")
-    out = lambda df, n: df.select("camera_id", "frame_idx", "det_id", "prev_id", F.round("overlap", 4).alias("overlap"), F.lit(n).alias("stage"))
-    return out(one, 1).unionByName(out(_mutual(rest), 2))
+    (confidence 0.10 to 0.50) at 0.15 or more with what is left. One to one by mutually best overlap, ties by least id.
+
+    Pairs are made once, and only those that overlap enough. All windows are within a camera and frame, as the join
+    is, so they need no further shuffle.
+    """
+    frame = ["camera_id", "frame_idx"]
+    corners = lambda b, p: [F.col(b)[i].alias(f"{p}{i}") for i in range(4)]
+    now = d.filter("confidence >= 0.1").select(*frame, "det_id", (F.col("confidence") >= 0.5).alias("sure"), *corners("bbox", "a"))
+    prev = d.select("camera_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners("bbox", "b"))
+    overlap = iou([F.col(f"a{i}") for i in range(4)], [F.col(f"b{i}") for i in range(4)])
+    pairs = now.join(prev, frame).withColumn("overlap", overlap).filter(F.col("overlap") >= F.when(F.col("sure"), 0.30).otherwise(0.15))
+    pairs = pairs.select(*frame, "det_id", "prev_id", "sure", "overlap")
+
+    def mutual(rows: DataFrame, among: str) -> Column:
+        best = lambda one, other: F.row_number().over(W.partitionBy(*frame, one, among).orderBy(F.desc("overlap"), other))
+        return (best("det_id", "prev_id") == 1) & (best("prev_id", "det_id") == 1)
+
+    first = pairs.withColumn("_first", mutual(pairs, "sure") & F.col("sure"))
+    left = first.withColumn("_left", ~F.col("sure") & ~F.bool_or("_first").over(W.partitionBy(*frame, "prev_id"))).filter("_first or _left")
+    second = left.withColumn("stage", F.when(F.col("_first"), 1).when(mutual(left, "_left"), 2)).filter("stage is not null")
+    return second.select(*frame, "det_id", "prev_id", F.round("overlap", 4).alias("overlap"), "stage")
 
 
 def track_summary(d: DataFrame) -> DataFrame:

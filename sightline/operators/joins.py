@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.geo import haversine_km
+from sightline.functions.plates import baseline_plate_similarity
 
 
 def with_camera(s: DataFrame, cameras: DataFrame, mode: str = "search") -> DataFrame:
@@ -30,7 +31,9 @@ def best_match(matches: DataFrame) -> DataFrame:
 
 def with_best_match(s: DataFrame, matches: DataFrame) -> DataFrame:
     """Sightings with match_score (the plate confidence where there is no score or 0) and verification_status."""
-    joined = s.join(best_match(matches), "sighting_id", "left")
+    # a page of sightings needs the matches of these alone
+    of = matches.join(s.select("sighting_id"), "sighting_id", "left_semi")
+    joined = s.join(best_match(of), "sighting_id", "left")
     return joined.withColumn("match_score", F.coalesce(F.nullif("best_score", F.lit(0.0)), "plate_confidence", F.lit(0.0))).withColumn("verification_status", F.coalesce("best_status", F.lit("pending"))).drop("best_score", "best_status")
 
 
@@ -46,13 +49,30 @@ def plate_fallback(cases: DataFrame, matches: DataFrame, s: DataFrame) -> DataFr
     return none.join(s.filter("plate_text is not null"), F.col("reported_plate") == F.col("plate_text"))
 
 
-def baseline_candidates(cases: DataFrame, s: DataFrame) -> DataFrame:
-    """Pairs with an equal plate, a plate that holds the first six characters of the reported one, or an equal colour."""
-    six = F.substring(F.regexp_replace(F.upper("reported_plate"), "[^A-Z0-9]", ""), 1, 6)
-    c = cases.withColumn("six", six)
-    by_color = c.join(s, F.lower("case_color") == F.lower("vehicle_color"))
-    by_plate = c.join(s, F.col("plate_text").contains(F.col("six")))
-    return by_color.unionByName(by_plate).drop("six").dropDuplicates(["case_id", "sighting_id"])
+def baseline_candidates(cases: DataFrame, s: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs with an equal plate, a plate that holds the first six characters of the reported one, or an equal colour.
+
+    Pairs whose simple score cannot reach ``least`` need not be made: without an equal colour and a type that fits,
+    the plates must be alike, which is decided once for each pair of distinct texts.
+    """
+    held = lambda a, b: F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
+    types = cases.select(F.col("case_type").alias("_ct")).distinct().join(s.select(F.col("vehicle_type").alias("_vt")).distinct(), held("_ct", "_vt"))
+    same_color = F.lower("case_color") == F.lower("vehicle_color")
+    by_looks = cases.join(types, F.col("case_type") == F.col("_ct")).join(s, (F.col("_vt") == F.col("vehicle_type")) & same_color).drop("_ct", "_vt")
+    fits = F.coalesce(held("case_type", "vehicle_type"), F.lit(False))
+    if least <= 0.25:
+        by_color = cases.join(s, same_color & ~fits)
+    six = F.substring(F.regexp_replace(F.upper("_r"), "[^A-Z0-9]", ""), 1, 6)
+    plates = s.filter("plate_text is not null").select(F.col("plate_text").alias("_p")).distinct().repartition("_p")
+    # with one of type and colour the plate adds what is missing, half its similarity at most
+    alike = baseline_plate_similarity(F.col("_r"), F.col("_p")) * 0.5 >= least - 0.25 - 1e-6
+    holds = F.col("_p").contains(six)
+    texts = plates.join(cases.select(F.col("reported_plate").alias("_r")).distinct(), (holds | alike) if least > 0.25 else holds).withColumn("_six", holds)
+    by_plate = texts.join(cases, F.col("_r") == F.col("reported_plate")).join(s, F.col("_p") == F.col("plate_text"))
+    met = F.coalesce(same_color, F.lit(False))
+    # colours that are equal have been met by colour where all of those are made, and otherwise where the type fits
+    by_plate = by_plate.filter((F.col("_six") & ~met) if least <= 0.25 else ((F.col("_six") | met) & ~(met & fits))).drop("_r", "_p", "_six")
+    return by_looks.unionByName(by_plate) if least > 0.25 else by_looks.unionByName(by_color).unionByName(by_plate)
 
 
 def audit_for_case(cases: DataFrame, matches: DataFrame, audit: DataFrame, n: int = 100, strict: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from sightline.functions.integrity import sighting_digest
 from sightline.operators import detections as det
 from sightline.operators import evidence, filters, joins, mutations, ranking, rollups, routes
 from sightline.plans import views as v
-from sightline.plans.streams import replayed
+from sightline.plans.streams import replayed, replayed_batches
 from sightline.streaming import sightings as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,7 +229,7 @@ SCORED_SQL = f"""{SIM_SQL}, {VEC_SQL},
 j AS (SELECT c.case_id, s.sighting_id, timestamp, theft_datetime, theft_latitude AS lat1, theft_longitude AS lon1, k.latitude AS lat2, k.longitude AS lon2, theft_datetime AS t1, timestamp AS t2, plate_text, plate_confidence AS conf, coalesce(similarity, 0) AS ps, visual,
   (case_type = vehicle_type)::INT::DOUBLE AS ty, {COLOR_SQL} AS co FROM v_cases c CROSS JOIN v_sightings s JOIN vs ON vs.case_id = c.case_id AND vs.vec_id = s.vec_id LEFT JOIN sim ON x = reported_plate AND y = plate_text LEFT JOIN v_cameras k ON k.id = s.camera_id),
 q AS (SELECT *, ps * CASE WHEN conf > 0 THEN least(1, conf) ELSE 1 END AS pl, plate_text IS NOT NULL AND conf >= 0.5 AND ps >= 0.4 AS sure FROM j),
-z AS (SELECT *, round(greatest(0, least(1, CASE WHEN sure THEN 0.5 * pl + 0.35 * visual + 0.15 * (0.5 * ty + 0.5 * co) ELSE 0.65 * visual + 0.2 * co + 0.15 * ty END)), 4) AS comp FROM (SELECT * REPLACE (pl::DOUBLE AS pl) FROM q))"""
+z AS (SELECT *, round(greatest(0, least(1, CASE WHEN sure THEN 0.5 * pl + 0.35 * visual + 0.15 * (0.5 * ty + 0.5 * co) ELSE 0.65 * visual + 0.2 * co + 0.15 * ty END))::DECIMAL(18, 10), 4)::DOUBLE AS comp FROM (SELECT * REPLACE (pl::DOUBLE AS pl) FROM q))"""
 
 
 @_query(f"{SCORED_SQL} --- SELECT case_id, sighting_id, comp AS composite_score, round(pl, 4) AS plate_score, round(ps, 4) AS plate_similarity, visual AS visual_score, 0.5 * ty + 0.5 * co AS attribute_score, ty AS type_score, co AS color_score, NOT sure AS plate_occluded FROM z JOIN v_matches USING (case_id, sighting_id)", recursive=True)
@@ -540,4 +540,6 @@ def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
     s = v.sightings(spark, d, vectors=True).join(c, "camera_id", "left")
-    return replayed(spark, s, lambda x: st.watchlist_alerts(x, v.cases(spark, d, vectors=True)).select("case_id", "sighting_id", "composite_score"))
+    watched = v.cases(spark, d, vectors=True)
+    alerts = replayed_batches(spark, s, lambda x: st.watchlist_alerts(x, watched), "case_id long, sighting_id long, camera_id string, timestamp timestamp_ntz, composite_score double")
+    return alerts.select("case_id", "sighting_id", "composite_score")
