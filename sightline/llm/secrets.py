@@ -1,9 +1,12 @@
 """Secret scans by grammar inference.
 
-Three plain patterns find credentials in all texts and label them. From a bounded sample of those, a prefix tree of character
-classes is built for each kind, and states whose frequencies agree within a Hoeffding bound are merged into a
-probabilistic automaton. All other runs of token characters, and their parts between delimiters, are then scored: how
-likely is their format under an automaton, against ordinary text? Likely ones are reported as additional spans.
+Three plain patterns find credentials in all texts and label them. From a bounded sample of those, a prefix tree is built
+for each kind, and states whose frequencies agree within a Hoeffding bound, and whose strings may go on equally long, are
+merged into a probabilistic automaton. Its symbols are character sets: every character of a segment, the stretch between
+punctuation, has the set that the whole segment is drawn from, so random strings of one format share a path; a transition
+also has the frequencies of the characters seen there. All other runs of token characters, and their parts between
+delimiters, are then scored: how likely is their format under an automaton, against ordinary text? Likely ones are
+reported as additional spans.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Runs that hold all access keys and hex strings of the lengths asked for.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Natural logarithm of the chance that an automaton gives a step it has not seen.
-UNSEEN = -9.0
+#: Natural logarithm of the chance that an automaton gives a step it has not seen, and that of a symbol that texts lack.
+UNSEEN = -14.0
 #: Runs that hold all candidates; these also start after the delimiters and end before them.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 DELIMITERS = "=/."
@@ -68,6 +71,31 @@ def symbols(s: str) -> str:
 SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 
 
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+#: Characters of each set, by digits, small letters and capitals: none, those of hexadecimal digits, all.
+PARTS = ("", "0123456789"), ("", "abcdef", "abcdefghijklmnopqrstuvwxyz"), ("", "ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def charset(segment: str) -> str:
+    """The least set that the characters of a segment are drawn from, as three digits: of digits, small letters, capitals."""
+    seen = set(segment)
+    return "".join(str(next(i for i, p in enumerate(part) if not (seen & set(part[-1])) - set(p))) for part in PARTS)
+
+
+def letters(symbol: str) -> int:
+    """The number of characters that a symbol stands for."""
+    return 1 if len(symbol) < 3 else sum(len(part[int(i)]) for part, i in zip(PARTS, symbol, strict=True))
+
+
+def shapes(s: str) -> list[str]:
+    """The symbol of each character: punctuation itself, others the character set of their segment."""
+    out, at = [], 0
+    for m in SEGMENT.finditer(s):
+        out += [*s[at : m.start()], *[charset(m[0])] * (m.end() - m.start())]
+        at = m.end()
+    return [*out, *s[at:]]
+
+
 def windows(s: str) -> list[tuple[str, bool]]:
     """The string in overlapping windows, and whether it ends with each."""
     step = WINDOW // 2
@@ -75,35 +103,51 @@ def windows(s: str) -> list[tuple[str, bool]]:
 
 
 def infer(strings: list[str], alpha: float = 0.05, ends: list[bool] | None = None) -> dict:
-    """A probabilistic automaton from positive examples: {state: {symbol: [next, log p]}} with the end under "".
+    """A probabilistic automaton from positive examples: {state: {symbol: [next, log p, log p of characters seen, of others]}}, the end under "".
 
-    Strings that are not marked in ``ends`` go on after their last symbol.
+    Strings that are not marked in ``ends`` go on after their last symbol, nobody knows how long.
     """
     kids: list[dict[str, int]] = [{}]
     passed: list[Counter] = [Counter()]  # uses of each symbol, "" where strings end
+    chars: list[dict[str, Counter]] = [{}]  # characters of each symbol
+    rest: list[tuple[float, float]] = [(math.inf, 0.0)]  # least and most characters that follow
     for s, ended in zip(strings, ends or [True] * len(strings), strict=True):
         at = 0
-        for c in symbols(s):
+        for i, (c, x) in enumerate(zip(shapes(s), s, strict=True)):
+            more = len(s) - i
+            rest[at] = min(rest[at][0], more), max(rest[at][1], more if ended else math.inf)
             passed[at][c] += 1
+            chars[at].setdefault(c, Counter())[x] += 1
             if c not in kids[at]:
                 kids[at][c] = len(kids)
                 kids.append({})
                 passed.append(Counter())
+                chars.append({})
+                rest.append((math.inf, 0.0))
             at = kids[at][c]
         if ended:
             passed[at][""] += 1
+        rest[at] = 0.0, max(rest[at][1], 0.0 if ended else math.inf)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def alike(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, met = [(a, b)], set()
         while todo:
             a, b = todo.pop()
             n, m = passed[a].total(), passed[b].total()
-            if not n or not m:
+            if not n or not m or (a, b) in met:
                 continue
+            met.add((a, b))
             slack = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if slack < 1 and any(abs(passed[a][c] / n - passed[b][c] / m) > slack for c in passed[a].keys() | passed[b].keys()):
-                return False
+            if slack < 1:
+                if rest[a][1] < rest[b][0] or rest[b][1] < rest[a][0]:
+                    return False
+                if any(abs(passed[a][c] / n - passed[b][c] / m) > slack for c in passed[a].keys() | passed[b].keys()):
+                    return False
+                for c in chars[a].keys() & chars[b].keys():
+                    x, y = chars[a][c], chars[b][c]
+                    if any(abs(x[k] / n - y[k] / m) > slack for k in x.keys() | y.keys()):
+                        return False
             todo += [(kids[a][c], kids[b][c]) for c in kids[a].keys() & kids[b].keys() if kids[a][c] != kids[b][c] and m > 1]
         return True
 
@@ -113,6 +157,9 @@ def infer(strings: list[str], alpha: float = 0.05, ends: list[bool] | None = Non
         while todo:
             a, b = todo.pop()
             passed[a].update(passed[b])
+            rest[a] = min(rest[a][0], rest[b][0]), max(rest[a][1], rest[b][1])
+            for c, x in chars[b].items():
+                chars[a].setdefault(c, Counter()).update(x)
             for c, t in kids[b].items():
                 if c in kids[a]:
                     todo.append((kids[a][c], t))
@@ -132,15 +179,27 @@ def infer(strings: list[str], alpha: float = 0.05, ends: list[bool] | None = Non
             kids[parent][c] = to
             fold(to, b)
         blue = [(r, x) for r in red for x in sorted(kids[r]) if kids[r][x] not in red]
-    return {str(r): {c: [kids[r].get(c, -1), math.log(k / passed[r].total())] for c, k in passed[r].items()} for r in red}
+
+    def step(r: int, c: str, k: int) -> list:
+        size, uses = letters(c), chars[r].get(c, {})
+        # frequencies that could be those of even draws say nothing
+        told = size > 1 and any(j / k - 1 / size > bound / math.sqrt(k) for j in uses.values())
+        seen = {x: math.log((j + 1) / (k + size)) for x, j in sorted(uses.items())} if told else {}
+        return [kids[r].get(c, -1), math.log(k / passed[r].total()), seen, -math.log(k + size) if told else -math.log(size)]
+
+    return {str(r): {c: step(r, c, k) for c, k in passed[r].items()} for r in red}
+
+
+#: A step that an automaton has not seen leads to its start.
+NO_STEP = (0, UNSEEN, {}, 0.0)
 
 
 def log_likelihood(automaton: dict, text: str) -> float:
     """Mean natural logarithm of the probability of a string's characters, its end included."""
     at, total = "0", 0.0
-    for c in [*symbols(text), ""]:
-        to, p = automaton[at].get(c, (0, UNSEEN))
-        total += p - math.log(SIZE.get(c, 1))
+    for c, x in [*zip(shapes(text), text, strict=True), ("", "")]:
+        to, p, seen, other = automaton[at].get(c, NO_STEP)
+        total += p + seen.get(x, other)
         at = str(to)
     return total / (len(text) + 1)
 
@@ -187,13 +246,13 @@ def examples(docs: DataFrame, max_strings: int) -> DataFrame:
     return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, ended boolean, hash long, n long, least long, most long")
 
 
-def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.25) -> dict:
+def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.1) -> dict:
     """{"rates": ..., "kinds": {kind: {"automaton", "floor", "least", "most"}}} from all texts.
 
     Of each kind the ``max_strings`` distinct credentials of least hash are labelled examples, however rare the kind is
     among the texts. ``floor`` lies ``slack`` below the first percentile of their likelihoods; ``least`` and ``most`` are
-    half and twice the extreme lengths of all credentials. A kind of which fewer than 20 distinct examples exist gets no
-    automaton. ``rates`` are those of the symbols of all texts.
+    half and twice the extreme lengths of all credentials. A kind without examples gets no automaton. ``rates`` are those
+    of the character classes of all texts.
     """
     python_workers(docs.sparkSession)
     # used twice, so written: a few thousand short strings a task
@@ -204,12 +263,9 @@ def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.25) -> dic
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, (strings, ends) = pdf["kind"].iloc[0], zip(*sorted(zip(pdf["string"], pdf["ended"], strict=True)), strict=True)
-        if len(strings) < 20:
-            out = {}
-        else:
-            automaton = infer(list(strings), ends=list(ends))
-            scores = sorted(log_likelihood(automaton, s) for s in strings)
-            out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": lengths[kind][0] // 2, "most": lengths[kind][1] * 2}
+        automaton = infer(list(strings), ends=list(ends))
+        scores = sorted(log_likelihood(automaton, s) for s in strings)
+        out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": lengths[kind][0] // 2, "most": lengths[kind][1] * 2}
         return pd.DataFrame({"kind": [kind], "model": [json.dumps(out)]})
 
     few = found.filter("kind != '' and string is not null").select("kind", "string", "ended", "hash").distinct()
@@ -233,13 +289,12 @@ def likely(model: dict, token: str, margin: float = 0.5) -> list[Span]:
     """Parts of a run whose format an automaton explains: the mean likelihood reaches the floor and exceeds that of
     ordinary text by ``margin`` a character. A part starts with the run or after a delimiter and ends with the run or
     before one; of parts that overlap the one with the most evidence against ordinary text is taken."""
-    classes, n = symbols(token), len(token)
+    classes, sets, n = symbols(token), shapes(token), len(token)
     starts = [0, *(i + 1 for i in range(n - 1) if token[i] in DELIMITERS and token[i + 1] != token[i])]
     stops = {n, *(i for i in range(1, n) if token[i] in DELIMITERS and token[i - 1] != token[i])}
-    size = [math.log(SIZE.get(c, 1)) for c in classes]
     plain = [0.0]
-    for c, z in zip(classes, size, strict=True):
-        plain.append(plain[-1] + model["rates"].get(c, UNSEEN) - z)
+    for c in classes:
+        plain.append(plain[-1] + model["rates"].get(c, UNSEEN) - math.log(SIZE.get(c, 1)))
     found = []
     for k, m in model["kinds"].items():
         automaton, shortest = m["automaton"], max(1, m["least"])
@@ -249,12 +304,12 @@ def likely(model: dict, token: str, margin: float = 0.5) -> list[Span]:
             at, total = "0", 0.0
             for b in range(a, min(n, a + m["most"]) + 1):
                 if b in stops and b - a >= shortest:
-                    whole, usual = total + automaton[at].get("", (0, UNSEEN))[1], plain[b] - plain[a]
+                    whole, usual = total + automaton[at].get("", NO_STEP)[1], plain[b] - plain[a]
                     if whole / (b - a + 1) >= max(m["floor"], usual / (b - a) + margin):
                         found.append((usual - whole, a, b, KINDS.index(k)))
                 if b < n:
-                    to, p = automaton[at].get(classes[b], (0, UNSEEN))
-                    total += p - size[b]
+                    to, p, seen, other = automaton[at].get(sets[b], NO_STEP)
+                    total += p + seen.get(token[b], other)
                     at = str(to)
     taken: list[Span] = []
     for _, a, b, k in sorted(found):
