@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.storage import shared_dir, written
+
+__all__ = ["WORD", "fold", "python_workers", "shared_dir", "table", "word_count", "written"]
+
 #: Words are runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again.
-
-    Cuts lineage: what follows is recomputed from files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def python_workers(spark: SparkSession, batch_rows: int = 500) -> None:
     """Bounds the rows of an Arrow batch, as one text may have megabytes, and lets Python workers import this package."""
     root = str(Path(__file__).resolve().parents[2])

@@ -90,43 +90,75 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def _block(docs: DataFrame, rows: int, most: int) -> Column:
-    """The number of a row's range of ids, along descending doc_id; null ids share the last one.
+#: Order of rows: descending doc_id (its complement ascends and cannot overflow), nulls last, then by a hash of the text.
+KEY = ("none", "nid", "h")
 
-    Ranges hold ``rows`` rows on average, or more where that would make over ``most`` ranges.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"none": F.col("doc_id").isNull(), "nid": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "h": F.xxhash64("text")})
+
+
+def _with_block(rows: DataFrame, rows_per_block: int, most: int) -> DataFrame:
+    """Rows with block, the number of their range along the order; ranges hold about ``rows_per_block`` rows, or more
+    where that would make over ``most`` of them.
+
+    Ranges are cut at quantiles of a sample by hash, about 20 rows a range: at most 20 * ``most`` keys reach the driver.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if lo is None:
-        return F.lit(0).cast("long")
-    width = max(1, -(-(hi - lo + 1) // max(1, min(most, -(-n // rows)))))
-    return F.when(F.col("doc_id").isNull(), (hi - lo) // width + 1).otherwise(F.floor((F.lit(hi) - F.col("doc_id")) / width)).cast("long")
+    n = rows.count()
+    blocks = max(1, min(most, -(-n // rows_per_block)))
+    every = max(1, n // (blocks * 20))
+    drawn = sorted(tuple(r) for r in rows.filter(F.pmod(F.xxhash64("nid", "h", F.lit("cut")), F.lit(every)) == 0).select(*KEY).collect()) if blocks > 1 else []
+    cuts = sorted({drawn[len(drawn) * i // blocks] for i in range(1, blocks)}) if drawn else []
+    table = rows.sparkSession.createDataFrame([(cuts,)], "cuts array<struct<none:boolean,nid:long,h:long>>").coalesce(1)
+    key, whole = F.struct(*KEY), F.struct(F.lit(0).alias("lo"), F.size("cuts").alias("hi"))
+
+    def halved(found: Column, _: Column) -> Column:
+        mid = F.floor((found["lo"] + found["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), found["hi"].alias("hi"))
+        left = F.struct(found["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(found["lo"] >= found["hi"], found).when(F.get("cuts", mid) <= key, right).otherwise(left)
+
+    # the number of cuts up to a key, by halving; one row with all cuts goes to every task
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length() + 1)))
+    return rows.join(F.broadcast(table)).withColumn("block", F.aggregate(steps, whole, halved)["lo"]).drop("cuts")
 
 
 def fingerprints(docs: DataFrame, rows_per_block: int = 1000, most_blocks: int = 50_000) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one after it along descending doc_id (null ids last; equal ids in the order of their
-    texts); after the last comes the first. To find it without a sort of all rows, rows are dealt to ranges of ids, and
-    each range also gets a copy of the row that opens the following range. A null text counts as empty. A single
-    document is its own next one. An empty table gives an empty result.
+    The next document is the one after it along descending doc_id (null ids last; equal ids in the order of a hash of
+    their texts); after the last comes the first. To find it without a sort of all rows, rows are dealt to ranges of
+    that order, cut at quantiles whatever the ids are, and each range also gets a copy of the row that opens the following range. A null text
+    counts as empty. Of rows that are equal in id and text each but the last has a row like itself as its next one; they are
+    counted first and handled once. A single document is its own next one. An empty table gives an empty result; other columns are ignored.
     """
-    block = _block(docs, rows_per_block, most_blocks)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
-    # at most most_blocks + 2 rows: a table of bounded size
-    tops = written(docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("top")), "op10-blocks")
+    own = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    repeated = not own.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    if repeated:
+        own = own.groupBy("doc_id", "text", *KEY).agg(F.count(F.lit(1)).alias("times"))
+    else:
+        own = own.withColumn("times", F.lit(1).cast("long"))
+    own = _with_block(own, rows_per_block, most_blocks)
+    # at most most_blocks rows: a table of bounded size
+    tops = written(own.groupBy("block").agg(F.min(F.struct(*KEY)).alias("top")), "op10-blocks")
     every = W.orderBy("block")
     before = tops.withColumn("to", F.coalesce(F.lag("block").over(every), F.last("block").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).withColumnsRenamed({"block": "_block", "top": "_top"})
-    sent = own.join(F.broadcast(before), (F.col("block") == F.col("_block")) & F.col("doc_id").eqNullSafe(F.col("_top")), "left")
+    sent = own.join(F.broadcast(before), (F.col("block") == F.col("_block")) & (F.struct(*KEY) == F.col("_top")), "left")
     sent = sent.withColumn("fp", packed(F.col("text")))
     stays, goes = F.struct(F.col("block").alias("block"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("block"), F.lit(1).alias("guest"))
-    dealt = sent.select("doc_id", "text", "fp", F.explode(F.when(F.col("to").isNull(), F.array(stays)).otherwise(F.array(stays, goes))).alias("at")).select("doc_id", "text", "fp", "at.*")
-    along = W.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = sent.select("doc_id", "text", *KEY, "times", "fp", F.explode(F.when(F.col("to").isNull(), F.array(stays)).otherwise(F.array(stays, goes))).alias("at")).select("doc_id", "text", *KEY, "times", "fp", "at.*")
+    along = W.partitionBy("block").orderBy("guest", *KEY, "text")
     paired = dealt.withColumn("next", F.lead(F.struct("text", "fp")).over(along)).filter("guest = 0")
+    if repeated:
+        one = F.struct(F.col("next"), F.lit(1).cast("long").alias("times"))
+        others = F.struct(F.struct("text", "fp").alias("next"), (F.col("times") - 1).alias("times"))
+        paired = paired.select("doc_id", "text", "fp", F.explode(F.when(F.col("times") > 1, F.array(one, others)).otherwise(F.array(one))).alias("p")).select("doc_id", "text", "fp", "p.*")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = paired.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next.text"), F.lit(1), half)))
     done = edited.withColumn("edited_fp", packed(F.col("edited")))
-    return done.select(
+    rows = done.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next.fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next.fp")).alias("near_next"), *(["times"] if repeated else []),
     )
+    return rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times") if repeated else rows

@@ -9,7 +9,8 @@ in one of its m segments. Each radius verifies the codes that it newly covers, a
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from math import comb
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,18 +18,30 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import written
 
-BITS, SEGMENT = 64, 16
-SEGMENTS = BITS // SEGMENT
+WORD, SEGMENT = 64, 16
+#: Segments of a word.
+PER_WORD = WORD // SEGMENT
 
 
-def code(embedding: Column) -> Column:
-    """The first 64 dimensions as a long, the first in the highest bit; missing and null ones count as 0; null for a null vector."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(F.get(embedding, i) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return F.when(embedding.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
+def code(embedding: Column, words: int = 1) -> Column:
+    """The dimensions as a struct of longs w0, w1, ...: 64 in each, the first in the highest bit.
+
+    A bit is set where a dimension is over 0; missing and null ones count as 0; the code of a null vector is null.
+    """
+
+    def word(w: int) -> Column:
+        bits = F.transform(F.sequence(F.lit(w * WORD), F.lit(w * WORD + WORD - 1)), lambda i: F.when(F.get(embedding, i) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)).alias(f"w{w}")
+
+    return F.when(embedding.isNotNull(), F.struct(*map(word, range(words))))
 
 
 def _segment(c: Column, s: int) -> Column:
-    return F.shiftrightunsigned(c, s * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int")
+    return F.shiftrightunsigned(c[f"w{s // PER_WORD}"], s % PER_WORD * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int")
+
+
+def _distance(a: Column, b: Column, words: int) -> Column:
+    return reduce(add, [F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(words)])
 
 
 def _masks(spark: SparkSession, radius: int) -> DataFrame:
@@ -45,29 +58,51 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     Order is by Hamming distance, then vec_id, and a query meets itself; fewer rows than k give them all. Rows with a
     null id or vector are left out. Repeated rows count one by one. Equal codes are one entry of the index, with the
-    k least ids: more of them can't be among k results. An empty table gives an empty result.
+    k least ids: more of them can't be among k results. Codes have all dimensions; shorter vectors are filled with unset
+    bits. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    coded = written(vectors.select("vec_id", code(F.col("embedding")).alias("code")).filter("vec_id is not null and code is not null"), "op8-codes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = max(1, -(-(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1) // WORD))
+    segments = words * PER_WORD
+    coded = written(vectors.select("vec_id", code(F.col("embedding"), words).alias("code")).filter("vec_id is not null and code is not null"), "op8-codes")
     # a partial limit by code runs before the shuffle, so a code that a third of the rows have moves k rows a task
     few = _least(coded, k, "code", by=["vec_id"]).select("code", "vec_id", "rank")
     entries = written(few, "op8-ids")
-    index = written(entries.filter("rank = 1").select("code", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("segment", "value")), "op8-index")
+    codes = entries.filter("rank = 1").select("code")
+    n = codes.count()
+    index = written(codes.select("code", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(segments)])).alias("segment", "value")), "op8-index")
     asked = written(coded.filter(F.col("vec_id") % every == 0).select(F.col("code").alias("query")).distinct(), "op8-queries")
     found = None
     for radius in range(SEGMENT + 1):
-        covered = SEGMENTS * (radius + 1) - 1
-        own = asked.select("query", F.lit(radius).alias("radius"), F.posexplode(F.array(*[_segment(F.col("query"), s) for s in range(SEGMENTS)])).alias("segment", "own"))
-        probes = own.join(F.broadcast(_masks(spark, radius)), "radius").select("query", F.col("segment").alias("at"), F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
-        x = F.col("query").bitwiseXOR(F.col("code"))
-        # the codes that this radius newly covers, each in the first segment that meets it
-        first = reduce(and_, [(F.col("at") <= s) | (F.bit_count(_segment(x, s)) > radius) for s in range(SEGMENTS)])
-        same = (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value"))
-        met = probes.join(index, same & F.bit_count(x).between(covered - SEGMENTS + 1, covered) & first).select("query", "code", F.bit_count(x).alias("distance"))
+        # dealt before the probes are made, as each query makes many
+        dealt = asked.repartition(tasks, "query")
+        # from a radius that makes more probes than there are codes, the queries that are left meet all codes instead
+        scan = segments * sum(comb(SEGMENT, i) for i in range(radius + 1)) >= n
+        distance = _distance(F.col("query"), F.col("code"), words)
+        if scan:
+            blocks = max(1, min(tasks, n))
+            block = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block")
+            met = codes.select("code", block).join(dealt.select("query", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), "block")
+            # codes at the distance of the k-th may hold lesser ids, so ties stay
+            rank = F.rank().over(W.partitionBy("query", "block").orderBy("distance"))
+            met = met.select("query", "code", "block", distance.alias("distance")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "code", "distance")
+        else:
+            covered = segments * (radius + 1) - 1
+            own = dealt.select("query", F.lit(radius).alias("radius"), F.posexplode(F.array(*[_segment(F.col("query"), s) for s in range(segments)])).alias("segment", "own"))
+            probes = own.join(F.broadcast(_masks(spark, radius)), "radius").select("query", F.col("segment").alias("at"), F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
+            apart = lambda s: F.bit_count(_segment(F.col("query"), s).bitwiseXOR(_segment(F.col("code"), s)))
+            # the codes that this radius newly covers, each in the first segment that meets it
+            first = reduce(and_, [(F.col("at") <= s) | (apart(s) > radius) for s in range(segments)])
+            same = (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value"))
+            met = probes.join(index, same & distance.between(covered - segments + 1, covered) & first).select("query", "code", distance.alias("distance"))
         rows = met.join(entries.select("code", "vec_id"), "code").select("query", "vec_id", "distance")
         if found is not None:
-            rows = rows.unionByName(found.select("query", "vec_id", "distance"))
+            # what the scan meets includes what earlier radii met
+            rows = found.join(asked, "query", "left_anti").select("query", "vec_id", "distance").unionByName(rows) if scan else rows.unionByName(found.select("query", "vec_id", "distance"))
         found = written(_least(rows, k, "query", by=["distance", "vec_id"]), f"op8-found{radius}")
+        if scan:
+            break
         done = found.filter(F.col("rank") == k).select("query")
         asked = written(asked.join(done, "query", "left_anti"), f"op8-left{radius}")
         if asked.isEmpty():

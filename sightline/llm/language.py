@@ -110,7 +110,7 @@ def train(labelled: DataFrame, per_language: int = 5_000, profile: int = 30_000,
     """Learns from text and lang of ``labelled``: from up to ``per_language`` distinct texts of every language there is.
 
     A language's profile has the n-grams that occur at least ``least`` times in it and are at least ``share`` times as
-    frequent there as in the language that uses them most: at most the ``profile`` most frequent ones. Rows without
+    frequent there as in the language that uses them most, down to the rate at which they are about ``profile``. Rows without
     lang or text teach nothing. Counts are summed by Spark; what reaches the driver are the slots of the filter.
     """
     spark = labelled.sparkSession
@@ -153,7 +153,16 @@ def train(labelled: DataFrame, per_language: int = 5_000, profile: int = 30_000,
     most = F.greatest(*rates) if len(rates) > 1 else rates[0]
     chosen = [F.when((F.col(f"n{i}") >= least) & (rates[i] >= share * most), F.struct(F.lit(i).alias("bit"), rates[i].alias("rate"))) for i in range(len(languages))]
     entries = counted.select("gram", F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("e")).select("gram", "e.*")
-    top = entries.withColumn("rank", F.row_number().over(W.partitionBy("bit").orderBy(F.desc("rate"), "gram"))).filter(F.col("rank") <= profile)
+    # least rate of each language, from a histogram with an eighth of an octave a step: no language is ranked in one task
+    step = F.floor(-8 * F.log2("rate")).cast("int")
+    floors: dict[int, float] = {}
+    held: dict[int, int] = {}
+    for r in sorted(entries.groupBy("bit", step.alias("step")).count().collect(), key=lambda r: (r["bit"], r["step"])):
+        held[r["bit"]] = held.get(r["bit"], 0) + r["count"]
+        if held[r["bit"]] <= profile or r["bit"] not in floors:
+            floors[r["bit"]] = r["step"]
+    last = F.element_at(F.create_map(*[F.lit(x) for pair in floors.items() for x in pair]), F.col("bit")) if floors else F.lit(0)
+    top = entries.filter(step <= last)
     slot = F.explode(F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * i).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for i in range(PROBES)]))
     filled = top.select(F.expr(f"shiftleft(1L, bit % {BITS})").alias("mask"), F.expr(f"bit div {BITS}").alias("part"), slot.alias("slot")).groupBy("part", "slot").agg(F.bit_or("mask").alias("mask"))
     slots = np.zeros((-(-len(languages) // BITS), 1 << SLOT_BITS), np.uint64)

@@ -56,7 +56,8 @@ def size_class(size: Column) -> Column:
 
 
 def _cuts(counts: DataFrame, rates: DataFrame) -> DataFrame:
-    """source, class, source_size, target, rate, last_cell: documents of a class with a cell up to last_cell get the extra copy.
+    """source, class, source_size, target, rate, last_cell, part_cell, part_share: documents of a class with a cell up
+    to last_cell get the extra copy, and of those in part_cell a share.
 
     counts has n, the rows of each source, class and cell. There are 2 ** 16 cells, so a group that is ordered has at
     most as many rows, whatever the rows of a source.
@@ -69,20 +70,26 @@ def _cuts(counts: DataFrame, rates: DataFrame) -> DataFrame:
     quota = F.floor(F.col("upto") * part + u) - F.floor((F.col("upto") - F.col("n")) * part + u)
     quotas = rated.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "source_size", "target", "rate", quota.alias("quota"))
     met = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).drop("_source", "_class")
-    last = F.max(F.when(F.col("middle") < F.col("quota"), F.col("cell")))
-    return met.groupBy("source", "class", "source_size", "target", "rate").agg(F.coalesce(last, F.lit(-1)).alias("last_cell"))
+    upto, before = F.col("middle") + F.col("n") / F.lit(2.0), F.col("middle") - F.col("n") / F.lit(2.0)
+    last = F.max(F.when(upto <= F.col("quota"), F.col("cell")))
+    # the cell in which the quota ends, where it has several rows, and the share of them that it takes
+    cut = (before < F.col("quota")) & (upto > F.col("quota"))
+    part_cell, part_share = F.max(F.when(cut, F.col("cell"))), F.max(F.when(cut, (F.col("quota") - before) / F.col("n")))
+    return met.groupBy("source", "class", "source_size", "target", "rate").agg(F.coalesce(last, F.lit(-1)).alias("last_cell"), F.coalesce(part_cell, F.lit(-1)).alias("part_cell"), F.coalesce(part_share, F.lit(0.0)).alias("part_share"))
 
 
 def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """The rows of docs with size, source_size, target and copies (how often the mix takes the document).
 
     Null texts and texts without words have size 0. A source without words has target 0 and is not taken; in a source
-    with a rate of r, documents of size 0 are taken like any other. Repeated rows share one draw. Extra columns
+    with a rate of r, documents of size 0 are taken like any other. Rows that are equal in id and text share a
+    cell; where a quota ends in it, they draw by their places in the input. Extra columns
     stay, those with names of the result excepted. An empty table gives an empty result.
     """
     others = F.struct(*docs.drop("size", "source_size", "target", "copies").columns).alias("_row")
     own = docs.select(others, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
     own = own.withColumn("class", size_class(F.col("size"))).withColumn("cell", chance(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), digits=4))
+    own = own.withColumn("_place", F.monotonically_increasing_id())
     # counts are kept, so texts are read once for all of them
     counts = written(own.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "op9-counts")
     targets = source_targets(counts, cap=cap)
@@ -91,7 +98,8 @@ def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     # rows of one source may be a third of all, so the table of classes goes to the rows where it is small
     # (Spark decides by the size of its files), and otherwise an adaptive join splits the hot side
     joined = own.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left").drop("_source", "_class")
-    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).otherwise(0)
+    drawn = F.pmod(F.xxhash64("cell", "_place"), F.lit(1 << 20)) < F.col("part_share") * F.lit(float(1 << 20))
+    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).when((F.col("cell") == F.col("part_cell")) & drawn, 1).otherwise(0)
     return joined.select("_row.*", "size", "source_size", "target", (F.floor("rate") + extra).cast("int").alias("copies"))
 
 

@@ -412,7 +412,7 @@ def components(docs: DataFrame, small: int = SMALL, levels: int = LEVELS, block_
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each component: that of the least doc_id, null last, and of its least text hash.
 
-    Rows without words all stay. Of rows that are equal in doc_id and text one stays. Columns keep their values, whatever
+    Rows without words all stay. Of rows that are equal in doc_id and text one stays, that of the least hash. Columns keep their values, whatever
     their names.
     """
     found = written(components(docs), "op2-components")
@@ -423,5 +423,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stay = written(kept.unionByName(no_words).distinct(), "op2-stay").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_stay"))
     out = rows.join(stay, (F.col("_key") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if _repeats(found):
-        out = out.dropDuplicates(["doc_id", "_key"])
+        # of rows that differ in other columns alone the one with the least hash
+        out = out.groupBy("doc_id", "_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return out.select("_row.*")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import python_workers, word_count
+from sightline.llm.common import WORD, python_workers, word_count
 
 LENGTHS = (256, 512, 1024, 2048)
 #: Cost of a sequence besides its tokens, in tokens.
@@ -52,38 +52,58 @@ def best_plan(lengths: Sequence[int], sizes: Sequence[int], overhead: int = OVER
     return bins, shrunk
 
 
-def pieces(docs: DataFrame, longest: int, length: str | None = None) -> DataFrame:
-    """doc_id, piece, start, n_tokens: whole texts in pieces of at most ``longest`` tokens.
+#: A word with the white space after it.
+SPACED = WORD + r"[\x20\x09-\x0D]*"
+
+
+def pieces(docs: DataFrame, longest: int, length: str | None = None, texts: bool = False) -> DataFrame:
+    """doc_id, piece, start, n_tokens: whole texts in pieces of at most ``longest`` tokens; and text, with ``texts``.
 
     A text without tokens, or a null one, is one piece of 0 tokens. Tokens are words unless ``length`` names a column
-    with the number of tokens.
+    with the number of tokens. The texts of a document's pieces, joined, are its text; they need tokens to be words.
     """
-    counted = docs.select("doc_id", (F.coalesce(F.col(length).cast("long"), F.lit(0)) if length else word_count(F.col("text"))).alias("n"))
+    n_tokens = F.coalesce(F.col(length).cast("long"), F.lit(0)) if length else word_count(F.col("text"))
+    counted = docs.select("doc_id", n_tokens.alias("n"), *(["text"] if texts else []))
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))
-    cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     start = F.col("piece") * longest
-    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"))
+    out = ["doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens")]
+    if not texts:
+        return counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(*out)
+    # white space before the first word is a piece of its own in the list, kept with the first piece
+    words = F.regexp_extract_all("text", F.lit(f"({SPACED})"), F.lit(1))
+    lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
+    part = lambda w, i: F.concat(F.when(i == 0, lead).otherwise(""), F.array_join(F.slice(w, (i * longest + 1).cast("int"), longest), ""))
+    cut = F.flatten(F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: part(w, i))))
+    parts = F.when(F.col("n") <= longest, F.array("text")).otherwise(cut)
+    return counted.select("doc_id", "n", F.posexplode(parts).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long")).select(*out, "text")
 
 
 PACKED = "doc_id long, piece long, start long, n_tokens long, bin_group int, bin int, bin_size int, bin_start int"
+#: Bytes of texts that a task holds beyond which it packs what it has.
+MOST_BYTES = 64 << 20
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length: str | None = None, group: int = 20_000, groups: int | None = None, overhead: int = OVERHEAD) -> DataFrame:
-    """One row per piece: doc_id, piece, start, n_tokens, bin_group, bin, bin_size, bin_start.
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length: str | None = None, group: int = 20_000, groups: int | None = None, overhead: int = OVERHEAD, texts: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, n_tokens, bin_group, bin, bin_size, bin_start; and text, with ``texts``.
 
     (bin_group, bin) names a bin, bin_size its permitted length after shrinking and bin_start where the piece starts in
     it. Pieces of 0 tokens have no bin: bin, bin_size and bin_start are null. Repeated rows are packed one by one. Pieces
-    are dealt evenly, whatever their ids, to partitions that pack ``group`` at a time on their own; a task holds the
-    lengths of one such batch and no text. ``groups`` sets the number of partitions, by default that of the session's
-    shuffles. An empty table gives an empty result.
+    are dealt evenly, whatever their ids, to partitions that pack ``group`` at a time on their own, in the order of
+    their ids, so a rerun packs alike; a task holds the rows of one such batch, or fewer where their texts exceed ``MOST_BYTES``.
+    ``groups`` sets the number of partitions, by default that of the session's shuffles. An empty table gives an empty
+    result; other columns are ignored.
     """
     sizes = sorted(lengths)
     python_workers(docs.sparkSession)
     parts = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces(docs, sizes[-1], length).repartition(parts)
+    kept = ["doc_id", "piece", "start", "n_tokens", *(["text"] if texts else [])]
+    # Spark deals sorted rows round robin, so equal input is dealt alike; they arrive in any order
+    dealt = pieces(docs, sizes[-1], length, texts).repartition(parts).sortWithinPartitions(*kept)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, part, waiting, held = 0, TaskContext.get().partitionId(), [], 0
+        number, part = 0, TaskContext.get().partitionId()
+        waiting: list[pa.RecordBatch] = []
+        held = size = 0
 
         def out() -> pa.RecordBatch:
             nonlocal number
@@ -98,16 +118,22 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length: str | None =
             none = [None] * (len(tokens) - len(real))
             added = ([part] * len(tokens), [b + number for b in bins] + none, [shrunk[b] for b in bins] + none, starts + none)
             number += len(shrunk)
-            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "n_tokens")), *(pa.array(a, pa.int32()) for a in added)], ["doc_id", "piece", "start", "n_tokens", "bin_group", "bin", "bin_size", "bin_start"])
+            own = dict(zip(kept, (rows.column(c).combine_chunks() for c in kept), strict=True))
+            own |= {c: pa.array(a, pa.int32()) for c, a in zip(("bin_group", "bin", "bin_size", "bin_start"), added, strict=True)}
+            return pa.RecordBatch.from_arrays([own[c] for c in names], names)
 
         for batch in batches:
-            if batch.num_rows:
-                waiting.append(batch)
-                held += batch.num_rows
-            if held >= group:
-                yield out()
-                waiting, held = [], 0
+            # rows in parts that never pass the end of a group, so that batches of any size make the same groups
+            at = 0
+            while at < batch.num_rows:
+                step = batch.slice(at, min(group - held, 256))
+                waiting.append(step)
+                held, size, at = held + step.num_rows, size + step.nbytes, at + step.num_rows
+                if held >= group or size >= MOST_BYTES:
+                    yield out()
+                    waiting, held, size = [], 0, 0
         if held:
             yield out()
 
-    return dealt.mapInArrow(packed, PACKED)
+    names = [*[c.split()[0] for c in PACKED.split(", ")], *(["text"] if texts else [])]
+    return dealt.mapInArrow(packed, PACKED + (", text string" if texts else ""))

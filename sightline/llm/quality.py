@@ -29,7 +29,7 @@ _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if (w := m[0]).isupper() and
 def shape(word: str) -> str:
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 class Hasher:
