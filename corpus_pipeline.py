@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents with their texts and their places in the packed sequences."""
+    return packing.pack(docs, texts=True)
 
 
 STAGES = [("language", identify), ("near_duplicates", deduplicate), ("secrets", redact), ("mixture", mix), ("packing", pack)]
