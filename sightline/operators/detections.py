@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.boxes import iou
-from sightline.functions.plates import format_plate, repair_plate
+from sightline.functions.plates import clean_plate, format_plate, repair_plate
+from sightline.storage import written
 
 
 def frame_association(d: DataFrame) -> DataFrame:
@@ -35,11 +36,29 @@ def frame_association(d: DataFrame) -> DataFrame:
     return second.select(*frame, "det_id", "prev_id", F.round("overlap", 4).alias("overlap"), "stage")
 
 
+def chained_tracks(links: DataFrame, d: DataFrame) -> DataFrame:
+    """camera_id, det_id, track: detections of frames that follow each other, chained by their links to the first one.
+
+    Sure detections (confidence 0.50 or more) without a link to an earlier frame start tracks, named by their ids; so
+    do linked ones with none before. Heads are found by doubling: each round a detection takes over the head of its
+    head, so a chain of n links takes about log2(n) rounds of one join.
+    """
+    heads, turn = written(links.select("camera_id", "det_id", F.col("prev_id").alias("track")), "tracks"), 0
+    while True:
+        up = heads.select("camera_id", F.col("det_id").alias("track"), F.col("track").alias("_up"))
+        moved = heads.join(up, ["camera_id", "track"], "left")
+        if moved.filter("_up is not null").isEmpty():
+            break
+        heads, turn = written(moved.select("camera_id", "det_id", F.coalesce("_up", "track").alias("track")), f"tracks{turn}"), turn + 1
+    starts = heads.select("camera_id", F.col("track").alias("det_id")).unionByName(d.filter("confidence >= 0.5").select("camera_id", "det_id")).distinct().join(heads, ["camera_id", "det_id"], "left_anti")
+    return heads.select("camera_id", "det_id", "track").unionByName(starts.select("camera_id", "det_id", F.col("det_id").alias("track")))
+
+
 def track_summary(d: DataFrame) -> DataFrame:
-    """Per camera and track: best snapshot and its class, best quality, mean confidence, frames, latest box."""
+    """Per camera and track: best snapshot with its box and class, best quality, mean confidence, frames, latest box."""
     best = F.struct("quality", F.col("det_id"))
     return d.groupBy("camera_id", "track_id").agg(
-        F.max_by("det_id", best).alias("best_det"), F.max_by("class_name", best).alias("best_class"), F.max("quality").alias("best_quality"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count(F.lit(1)).alias("n_frames"), F.max_by("det_id", F.struct("frame_idx", "det_id")).alias("latest_det"),
+        F.max_by("det_id", best).alias("best_det"), F.max_by("bbox", best).alias("best_bbox"), F.max_by("bbox", F.struct("frame_idx", "det_id")).alias("latest_bbox"), F.max_by("class_name", best).alias("best_class"), F.max("quality").alias("best_quality"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count(F.lit(1)).alias("n_frames"), F.max_by("det_id", F.struct("frame_idx", "det_id")).alias("latest_det"),
     )
 
 
@@ -50,5 +69,5 @@ def normalize_plates(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def plate_quality_report(plates: DataFrame) -> DataFrame:
-    """Per camera: plates, shares that are valid and that were repaired, mean confidence."""
-    return plates.groupBy("camera_id").agg(F.count(F.lit(1)).alias("plates"), F.round(F.avg(F.col("is_valid").cast("double")), 4).alias("valid_rate"), F.round(F.avg((F.col("plate") != F.col("raw")).cast("double")), 4).alias("repaired_rate"), F.round(F.avg("plate_confidence"), 4).alias("mean_confidence"))
+    """Per camera: plates, shares that are valid and that repair changed after cleaning, mean confidence."""
+    return plates.groupBy("camera_id").agg(F.count(F.lit(1)).alias("plates"), F.round(F.avg(F.col("is_valid").cast("double")), 4).alias("valid_rate"), F.round(F.avg((F.col("plate") != clean_plate(F.col("raw"))).cast("double")), 4).alias("repaired_rate"), F.round(F.avg("plate_confidence"), 4).alias("mean_confidence"))

@@ -15,23 +15,29 @@ def timeline_list(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("case_id", "fir_number").agg(F.array_sort(F.collect_list(item)).alias("timeline"))
 
 
+def _rooted(timeline: DataFrame, custody: DataFrame) -> DataFrame:
+    """Per case its timeline, the number of custody rows and the root hash; the timeline is gathered once."""
+    n = custody.groupBy("case_id").agg(F.count(F.lit(1)).alias("custody"))
+    lists = timeline_list(timeline).join(n, "case_id", "left").withColumn("custody", F.coalesce("custody", F.lit(0)))
+    canonical = F.concat_ws("|", F.col("case_id").cast("string"), "fir_number", F.array_join(F.col("timeline.sha256"), ","), F.col("custody").cast("string"))
+    return lists.withColumn("root_hash", F.sha2(canonical, 256))
+
+
 def evidence_root_hash(timeline: DataFrame, custody: DataFrame) -> DataFrame:
     """Per case the digest of its summary, its ordered evidence digests and the number of custody rows.
 
     The canonical text is "case_id|fir_number|digest,digest,...|custody".
     """
-    n = custody.groupBy("case_id").agg(F.count(F.lit(1)).alias("custody"))
-    lists = timeline_list(timeline).join(n, "case_id", "left").withColumn("custody", F.coalesce("custody", F.lit(0)))
-    canonical = F.concat_ws("|", F.col("case_id").cast("string"), "fir_number", F.array_join(F.col("timeline.sha256"), ","), F.col("custody").cast("string"))
-    return lists.select("case_id", F.size("timeline").cast("long").alias("n_items"), F.col("custody"), F.sha2(canonical, 256).alias("root_hash"))
+    return _rooted(timeline, custody).select("case_id", F.size("timeline").cast("long").alias("n_items"), "custody", "root_hash")
 
 
-def evidence_dossier(timeline: DataFrame, custody: DataFrame, at: str) -> DataFrame:
+def evidence_dossier(timeline: DataFrame, custody: DataFrame, at: str, **officer: str) -> DataFrame:
     """One row per case: certificate, timeline, custody trail, root hash."""
     rows = F.array_sort(F.collect_list(F.struct("timestamp", "audit_id", "action", "user_badge_id")))
     trail = custody.groupBy("case_id").agg(rows.alias("custody_trail"))
     when = F.lit(at).cast("timestamp_ntz")
-    return timeline_list(timeline).join(trail, "case_id", "left").join(evidence_root_hash(timeline, custody), "case_id").withColumn("certificate", certificate_fields(F.col("fir_number"), when)).withColumn("exported_at", iso(when))
+    certificate = certificate_fields(F.col("case_id"), F.col("fir_number"), F.col("root_hash"), when, **officer)
+    return _rooted(timeline, custody).join(trail, "case_id", "left").withColumn("certificate", certificate).withColumn("exported_at", iso(when))
 
 
 def verify_evidence(files: DataFrame, stored: DataFrame) -> DataFrame:

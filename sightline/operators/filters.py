@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ def search_filter(plate: str | None = None, vehicle_type: str | None = None, col
     return out & (F.col("plate_confidence") >= min_confidence) if min_confidence > 0 else out
 
 
+def concat_streams(batches: list[DataFrame]) -> DataFrame:
+    """Batches of several cameras as one table; columns that a batch lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
+
+
 def min_visual_similarity(s: DataFrame, reference: Column, least: float) -> DataFrame:
     return s.filter(cosine01(reference, F.col("embedding")) >= least)
 
@@ -105,11 +112,15 @@ def to_public(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
+#: Further columns of a search row, where a sighting has them.
+DETAILS = ("track_id", "plate_box", "vehicle_box", "make", "model", "image_path", "crop_path", "plate_crop_path", "sha256_hash", "direction_travel", "speed_estimate_kmh", "created_at")
+
+
 def sighting_view(s: DataFrame) -> DataFrame:
     """Search rows: a sighting with its camera and best match, confidence 0 and scores to 4 decimals by default."""
     return s.select(
         "sighting_id", "camera_id", "camera_name", "latitude", "longitude", "road_name", "timestamp", "plate_text", F.coalesce("plate_confidence", F.lit(0.0)).alias("plate_confidence"), "vehicle_type", "vehicle_color",
-        F.round("match_score", 4).alias("match_score"), "verification_status",
+        F.round("match_score", 4).alias("match_score"), "verification_status", *[c for c in DETAILS if c in s.columns],
     )
 
 

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 ACTIVE = ("open", "tracking")
 
 
+def total_count(df: DataFrame) -> DataFrame:
+    """One row: the number of rows before paging."""
+    return df.agg(F.count(F.lit(1)).alias("total"))
+
+
+def with_total(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """A page of df with the number of all its rows on each."""
+    return rows.crossJoin(F.broadcast(total_count(df)))
+
+
 def dashboard_kpis(cameras: DataFrame, cases: DataFrame, s: DataFrame, matches: DataFrame, midnight: str) -> DataFrame:
     """One row of counts; detections and matches count from ``midnight`` on."""
     since = lambda c: F.count_if(F.col(c) >= F.lit(midnight).cast("timestamp_ntz"))
@@ -69,3 +79,14 @@ def audit_by_user(audit: DataFrame, badge: str, n: int = 100) -> DataFrame:
 
 def audit_for_case_view(audit: DataFrame, case_id: str, n: int = 100) -> DataFrame:
     return audit_recent(audit.filter((F.col("resource_id") == case_id) | (F.col("resource_type") == "case")), n)
+
+
+def case_detail(cases: DataFrame, matches: DataFrame, case_id: int) -> DataFrame:
+    """One case with the numbers of its candidates and verified matches; no row for an unknown one."""
+    n = matches.filter(F.col("case_id") == case_id).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("verification_status") == "verified").alias("verified"))
+    return cases.filter(F.col("case_id") == case_id).crossJoin(n)
+
+
+def camera_detail(cameras: DataFrame, s: DataFrame, camera_id: str) -> DataFrame:
+    """One camera with the number of its sightings; no row for an unknown one."""
+    return cameras.filter(F.col("id") == camera_id).crossJoin(s.filter(F.col("camera_id") == camera_id).agg(F.count(F.lit(1)).alias("detections")))

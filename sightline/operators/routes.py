@@ -52,3 +52,15 @@ def case_routes(points: DataFrame, max_speed: float = 120.0) -> DataFrame:
     running = F.round(F.sum("raw_km").over(W.partitionBy("case_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)), 3)
     shown = lambda c: F.when(F.col("seq") > 1, F.col(f"t.{c}"))
     return moved.select("case_id", "seq", "sighting_id", F.col("p_camera_id").alias("from_camera_id"), "camera_id", "timestamp", shown("km").alias("km"), shown("dt").alias("dt"), shown("speed").alias("speed"), F.col("t.feasible").alias("feasible"), running.alias("running_km"))
+
+
+def case_route_totals(routes: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case, those without sightings included: length from the place of the theft, minutes since the theft, status, where and when the route ends."""
+    last = F.max_by(F.struct("running_km", "camera_id", "timestamp"), "seq")
+    ends = routes.groupBy("case_id").agg(last.alias("last"), F.count(F.lit(1)).alias("waypoints"))
+    joined = cases.select("case_id", "fir_number", "theft_datetime").join(ends, "case_id", "left")
+    minutes = F.round(seconds_between(F.col("theft_datetime"), F.col("last.timestamp")) / 60, 1)
+    return joined.select(
+        "case_id", "fir_number", F.coalesce("waypoints", F.lit(0)).alias("waypoints"), F.coalesce("last.running_km", F.lit(0.0)).alias("total_km"), F.greatest(F.lit(0.0), F.coalesce(minutes, F.lit(0.0))).alias("duration_min"),
+        F.when(F.col("last").isNull(), "No Detections").otherwise("Active Lead").alias("route_status"), F.col("last.camera_id").alias("last_camera"), F.col("last.timestamp").alias("last_seen"),
+    )

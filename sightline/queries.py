@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import boxes, geo, plates, scoring
-from sightline.functions.integrity import sighting_digest
+from sightline.functions.integrity import ADMISSIBILITY, AFFIRMATION, ALGORITHM, STATUTE, iso, parse_iso_ts, register_sql_functions, sighting_digest
 from sightline.operators import detections as det
 from sightline.operators import evidence, filters, joins, mutations, ranking, rollups, routes
 from sightline.plans import views as v
@@ -89,13 +89,16 @@ def bearing(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).select("a", "b", geo.haversine_km(*four).alias("km"), geo.bearing_deg(*four).alias("bearing"))
 
 
-@_query(f"""s AS (SELECT case_id, theft_latitude, theft_longitude, theft_datetime, sighting_id, timestamp, camera_id FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id)
+ORIGIN_SQL = f"""s AS (SELECT case_id, theft_latitude, theft_longitude, theft_datetime, sighting_id, timestamp, camera_id FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id)
   UNION ALL SELECT case_id, theft_latitude, theft_longitude, theft_datetime, sighting_id, timestamp, camera_id FROM v_cases JOIN v_sightings ON plate_text = reported_plate WHERE case_id NOT IN (SELECT case_id FROM v_matches)),
 pts AS (SELECT s.case_id, s.sighting_id, s.timestamp, s.camera_id, coalesce(c.latitude, theft_latitude) AS lat2, coalesce(c.longitude, theft_longitude) AS lon2, 1 AS leg FROM s LEFT JOIN v_cameras c ON c.id = s.camera_id
   UNION ALL SELECT DISTINCT case_id, NULL, theft_datetime, 'THEFT_ORIGIN', theft_latitude, theft_longitude, 0 FROM s),
 w AS (SELECT *, timestamp AS t2, row_number() OVER x - 1 AS seq, lag(lat2) OVER x AS lat1, lag(lon2) OVER x AS lon1, lag(timestamp) OVER x AS t1, lag(camera_id) OVER x AS from_camera_id FROM pts WINDOW x AS (PARTITION BY case_id ORDER BY leg, timestamp, sighting_id)),
 k AS (SELECT *, 12742.0::DOUBLE * atan2(sqrt({A_SQL}), sqrt(1 - ({A_SQL}))) AS raw, {SECONDS_SQL} AS sec FROM w WHERE leg = 1),
-o AS (SELECT *, sec < 0 OR (sec = 0 AND raw > 0.05) AS odd, CASE WHEN sec > 0 THEN raw / (sec / 3600) ELSE 0 END AS sp FROM k)
+o AS (SELECT *, sec < 0 OR (sec = 0 AND raw > 0.05) AS odd, CASE WHEN sec > 0 THEN raw / (sec / 3600) ELSE 0 END AS sp FROM k)"""
+
+
+@_query(f"""{ORIGIN_SQL}
 --- SELECT case_id, seq::INT AS seq, sighting_id, from_camera_id, camera_id, timestamp, CASE WHEN seq > 1 THEN round(raw, 3) END AS km, CASE WHEN seq > 1 THEN round(sec, 1) END AS dt, CASE WHEN seq > 1 THEN CASE WHEN odd THEN 999 ELSE round(sp, 1) END END AS speed,
   NOT odd AND sp <= 120 AS feasible, round(sum(raw) OVER (PARTITION BY case_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS running_km FROM o""")
 def case_route_origin(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +108,13 @@ def case_route_origin(spark: SparkSession, d: str) -> DataFrame:
     return routes.case_routes(joins.with_camera(seen, v.cameras(spark, d), "route"))
 
 
+@_query(f"""{ORIGIN_SQL}, e AS (SELECT case_id, count(*) AS waypoints, round(sum(raw), 3) AS total_km, arg_max(camera_id, seq) AS last_camera, max(timestamp) AS last_seen FROM o GROUP BY case_id)
+--- SELECT case_id, fir_number, coalesce(waypoints, 0) AS waypoints, coalesce(total_km, 0) AS total_km, greatest(0, coalesce(round((epoch_us(last_seen) - epoch_us(theft_datetime)) / 60000000.0::DOUBLE, 1), 0)) AS duration_min,
+  CASE WHEN waypoints IS NULL THEN 'No Detections' ELSE 'Active Lead' END AS route_status, last_camera, last_seen FROM v_cases LEFT JOIN e USING (case_id)""")
+def case_route_totals(spark: SparkSession, d: str) -> DataFrame:
+    return routes.case_route_totals(case_route_origin(spark, d), v.cases(spark, d))
+
+
 @_query("SELECT case_id, sighting_id, timestamp FROM v_cases JOIN v_sightings ON plate_text = reported_plate WHERE case_id NOT IN (SELECT case_id FROM v_matches)")
 def plate_fallback(spark: SparkSession, d: str) -> DataFrame:
     return joins.plate_fallback(v.cases(spark, d), v.matches(spark, d), v.sightings(spark, d)).select("case_id", "sighting_id", "timestamp")
@@ -121,7 +131,7 @@ def search_filters(spark: SparkSession, d: str) -> DataFrame:
 
 BEST_SQL = "b AS (SELECT sighting_id, arg_max(composite_score, (coalesce(composite_score, 0), -id)) AS best, arg_max(verification_status, (coalesce(composite_score, 0), -id)) AS st FROM v_matches GROUP BY sighting_id)"
 VIEW_SQL = """SELECT s.sighting_id, s.camera_id, coalesce(c.name, s.camera_id) AS camera_name, coalesce(c.latitude, 0) AS latitude, coalesce(c.longitude, 0) AS longitude, coalesce(c.road_name, 'Corridor Location') AS road_name, timestamp, plate_text,
-  coalesce(plate_confidence, 0) AS plate_confidence, vehicle_type, vehicle_color, round(coalesce(nullif(best, 0), plate_confidence, 0), 4) AS match_score, coalesce(st, 'pending') AS verification_status FROM f s LEFT JOIN v_cameras c ON c.id = s.camera_id LEFT JOIN b USING (sighting_id)"""
+  coalesce(plate_confidence, 0) AS plate_confidence, vehicle_type, vehicle_color, round(coalesce(nullif(best, 0), plate_confidence, 0), 4) AS match_score, coalesce(st, 'pending') AS verification_status, sha256_hash FROM f s LEFT JOIN v_cameras c ON c.id = s.camera_id LEFT JOIN b USING (sighting_id)"""
 
 
 @_query(f"{BEST_SQL}, f AS (SELECT * FROM v_sightings WHERE {SEARCH_SQL} ORDER BY timestamp DESC, sighting_id DESC LIMIT 20 OFFSET 20) --- {VIEW_SQL}")
@@ -334,14 +344,17 @@ def plate_clean_validate(spark: SparkSession, d: str) -> DataFrame:
     return _raw(spark, d).select("sighting_id", p.alias("plate"), plates.is_valid_plate(p).alias("is_valid"))
 
 
-@_query(f"""{RAW_SQL}, o AS (SELECT *, {CLEAN_SQL} AS c FROM rw), r AS (SELECT *, c[3:4] = '88' AS bh, CASE WHEN c[3:4] = '88' THEN '01BH' || translate(c[5:8], 'OIZASGBDQTL', '01245680071') || translate(c[9:], '0124568', 'OIZASGB')
-  ELSE c[1:2] || translate(c[3:4], 'OIB', '018') || translate(c[5:6], '018', 'OIB') || translate(c[7:], 'OIB', '018') END AS plate FROM o)
+REPAIR_SQL = f"""{RAW_SQL}, o AS (SELECT *, {CLEAN_SQL} AS c FROM rw), r AS (SELECT *, c[3:4] = '88' AS bh, CASE WHEN c[3:4] = '88' THEN '01BH' || translate(c[5:8], 'OIZASGBDQTL', '01245680071') || translate(c[9:], '0124568', 'OIZASGB')
+  ELSE c[1:2] || translate(c[3:4], 'OIB', '018') || translate(c[5:6], '018', 'OIB') || translate(c[7:], 'OIB', '018') END AS plate FROM o)"""
+
+
+@_query(f"""{REPAIR_SQL}
 --- SELECT sighting_id, plate, 0.95::DOUBLE AS parser_confidence, true AS is_valid, CASE WHEN bh THEN '01 BH ' || plate[5:8] || ' ' || plate[9:] ELSE plate[1:2] || ' ' || plate[3:4] || ' ' || plate[5:6] || ' ' || plate[7:] END AS display FROM r""")
 def plate_repair(spark: SparkSession, d: str) -> DataFrame:
     return det.normalize_plates(_raw(spark, d)).select("sighting_id", "plate", "parser_confidence", "is_valid", "display")
 
 
-@_query(f"{RAW_SQL} --- SELECT camera_id, count(*) AS plates, 1.0::DOUBLE AS valid_rate, 1.0::DOUBLE AS repaired_rate, round(avg(plate_confidence), 4) AS mean_confidence FROM rw GROUP BY camera_id")
+@_query(f"{REPAIR_SQL} --- SELECT camera_id, count(*) AS plates, round(avg(regexp_matches(plate, '^[A-Z]{{2}}[0-9]{{1,2}}[A-Z]{{0,3}}[0-9]{{4}}$|^[0-9]{{2}}BH[0-9]{{4}}[A-Z]{{1,2}}$')::INT), 4) AS valid_rate, round(avg((plate <> c)::INT), 4) AS repaired_rate, round(avg(plate_confidence), 4) AS mean_confidence FROM r GROUP BY camera_id")
 def plate_quality(spark: SparkSession, d: str) -> DataFrame:
     return det.plate_quality_report(det.normalize_plates(_raw(spark, d)))
 
@@ -412,9 +425,10 @@ def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).select("det_id", "quality")
 
 
-@_query(f"""{QUALITY_SQL}, r AS (SELECT *, round(q, 4) AS quality FROM ql) --- SELECT camera_id, track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det FROM r GROUP BY camera_id, track_id""")
+@_query(f"""{QUALITY_SQL}, r AS (SELECT *, round(q, 4) AS quality FROM ql) --- SELECT camera_id, track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det, arg_max(x1, (quality, det_id)) AS best_x1, arg_max(y1, (quality, det_id)) AS best_y1, arg_max(x1, (frame_idx, det_id)) AS latest_x1, arg_max(y1, (frame_idx, det_id)) AS latest_y1 FROM r GROUP BY camera_id, track_id""")
 def track_summary(spark: SparkSession, d: str) -> DataFrame:
-    return det.track_summary(_quality(spark, d))
+    corners = {f"{w}_{c}": F.col(f"{w}_bbox")[i] for w in ("best", "latest") for i, c in enumerate(("x1", "y1"))}
+    return det.track_summary(_quality(spark, d)).withColumns(corners).drop("best_bbox", "latest_bbox")
 
 
 @_query("SELECT case_id, theft_datetime FROM v_cases ORDER BY theft_datetime DESC, case_id DESC LIMIT 20 OFFSET 20")
@@ -543,3 +557,108 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     watched = v.cases(spark, d, vectors=True)
     alerts = replayed_batches(spark, s, lambda x: st.watchlist_alerts(x, watched), "case_id long, sighting_id long, camera_id string, timestamp timestamp_ntz, composite_score double")
     return alerts.select("case_id", "sighting_id", "composite_score")
+
+
+@_query(f"SELECT count(*) AS total FROM v_sightings WHERE {SEARCH_SQL}")
+def search_total(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.total_count(v.sightings(spark, d).filter(filters.search_filter(**SEARCH)))
+
+
+@_query(f"""{BEST_SQL}, a AS (SELECT * FROM v_sightings WHERE camera_id = 'CAM_003' AND plate_confidence >= 0.2), f AS (SELECT * FROM a ORDER BY timestamp DESC, sighting_id DESC LIMIT 20) --- SELECT *, (SELECT count(*) FROM a) AS total FROM ({VIEW_SQL})""")
+def feed_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """The feed of one camera: its latest rows with camera, best match and the number of all."""
+    s = v.sightings(spark, d).filter(filters.search_filter(camera=" CAM_003 ", min_confidence=0.2))
+    rows = joins.with_best_match(joins.with_camera(rollups.feed(s, 20), v.cameras(spark, d)), v.matches(spark, d))
+    return rollups.with_total(filters.sighting_view(rows), s)
+
+
+@_query("SELECT sighting_id FROM v_sightings JOIN embeddings e USING (vec_id), (SELECT embedding AS r FROM embeddings WHERE vec_id = 3) WHERE round(greatest(0, list_dot_product(embedding::DOUBLE[], r::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(r::DOUBLE[], r::DOUBLE[]))), 4) >= 0.15")
+def search_visual(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings that look like the vehicle of one reference vector."""
+    one = v.table(spark, d, "embeddings").filter("vec_id = 3").select(F.col("embedding").alias("reference"))
+    s = v.sightings(spark, d, vectors=True).crossJoin(F.broadcast(one.limit(1)))
+    return filters.min_visual_similarity(s, F.col("reference"), 0.15).select("sighting_id")
+
+
+@_query("SELECT case_id, fir_number, reported_plate, status, (SELECT count(*) FROM v_matches WHERE case_id = 7) AS candidates, (SELECT count(*) FROM v_matches WHERE case_id = 7 AND verification_status = 'verified') AS verified FROM v_cases WHERE case_id = 7")
+def case_detail(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.case_detail(v.cases(spark, d), v.matches(spark, d), 7).select("case_id", "fir_number", "reported_plate", "status", "candidates", "verified")
+
+
+@_query("SELECT id, name, latitude, longitude, road_name, status, (SELECT count(*) FROM v_sightings WHERE camera_id = 'CAM_003') AS detections FROM v_cameras WHERE id = 'CAM_003'")
+def camera_detail(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.camera_detail(v.cameras(spark, d), v.sightings(spark, d), "CAM_003").drop("camera_type")
+
+
+@_query(f"""{CUSTODY_SQL}, n AS (SELECT case_id, count(*) AS custody FROM cus WHERE position <= 100 GROUP BY case_id),
+l AS (SELECT case_id, fir_number, string_agg({DIGEST_SQL}, ',' ORDER BY timestamp, sighting_id) AS h FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id) GROUP BY case_id, fir_number)
+--- SELECT 'CERT-65B-' || fir_number || '-20240201000000' AS certificate_id, '{STATUTE}' AS statute, 'sightline' AS system_name, case_id, fir_number, sha256(case_id::VARCHAR || '|' || fir_number || '|' || h || '|' || coalesce(custody, 0)::VARCHAR) AS evidence_root_hash,
+  '{ALGORITHM}' AS hash_algorithm, 'Investigating Officer' AS certifying_officer, 'B7' AS officer_badge_id, 'Central Police Command' AS police_station, '2024-02-01T00:00:00' AS certification_timestamp, '{AFFIRMATION}' AS affirmation_text, '{ADMISSIBILITY}' AS admissibility_status FROM l LEFT JOIN n USING (case_id)""")
+def evidence_certificate(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.evidence_dossier(_timeline(spark, d), _custody(spark, d), "2024-02-01 00:00:00", badge="B7").select("certificate.*")
+
+
+@_query(f"""{PAIR_SQL}, links AS (SELECT camera_id, det_id, prev_id FROM m1 UNION ALL SELECT camera_id, det_id, prev_id FROM s2 WHERE a = 1 AND b = 1),
+heads AS (SELECT camera_id, prev_id AS det_id FROM links UNION SELECT camera_id, det_id FROM v_detections WHERE confidence >= 0.5),
+chain AS (SELECT camera_id, det_id, det_id AS track FROM heads h WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.camera_id = h.camera_id AND l.det_id = h.det_id)
+  UNION ALL SELECT c.camera_id, l.det_id, c.track FROM chain c JOIN links l ON l.camera_id = c.camera_id AND l.prev_id = c.det_id)
+--- SELECT * FROM chain""", recursive=True)
+def track_chains(spark: SparkSession, d: str) -> DataFrame:
+    detections = v.detections(spark, d)
+    return det.chained_tracks(det.frame_association(detections), detections)
+
+
+@_query("SELECT sighting_id, camera_id, timestamp FROM v_sightings")
+def concat_streams(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sightings(spark, d).select("sighting_id", "camera_id", "timestamp")
+    n = F.substring("camera_id", 5, 3).cast("int")
+    return filters.concat_streams([s.filter(n < 8), s.filter((n >= 8) & (n < 16)), s.filter(n >= 16)])
+
+
+@_query("SELECT case_id, reported_plate, case_type AS vehicle_type, case_color AS vehicle_color FROM v_cases")
+def normalize_case_input(spark: SparkSession, d: str) -> DataFrame:
+    raw = v.cases(spark, d).select("case_id", F.concat(F.lit(" "), F.lower("reported_plate")).alias("reported_plate"), F.concat(F.initcap("case_type"), F.lit(" ")).alias("vehicle_type"), F.upper("case_color").alias("vehicle_color"))
+    return filters.normalize_case_input(raw)
+
+
+@_query("SELECT sighting_id, coalesce(c.id, 'UNKNOWN_CAM') AS camera_id, 'Camera ' || coalesce(c.id, 'UNKNOWN_CAM') AS camera_name, coalesce(latitude, 0) AS latitude, coalesce(longitude, 0) AS longitude, timestamp, 1.0::DOUBLE AS composite_score FROM v_sightings LEFT JOIN v_cameras c ON c.id = camera_id")
+def normalize_route_input(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d).select(F.col("id").alias("known"), "latitude", "longitude")
+    rows = v.sightings(spark, d).join(c, F.col("camera_id") == F.col("known"), "left").select(F.col("sighting_id").alias("id"), F.col("known").alias("camera_id"), "latitude", "longitude", "timestamp")
+    return filters.normalize_route_input(rows)
+
+
+@_query("SELECT id, concat_ws(',', CASE WHEN id = 'CAM_003' THEN 'name' END, CASE WHEN latitude * 3.2 > 90 THEN 'latitude' END, CASE WHEN longitude * 2.33 > 180 THEN 'longitude' END, CASE WHEN (latitude - 28) * 600 > 360 THEN 'direction_bearing' END) AS violations FROM v_cameras")
+def validate_cameras(spark: SparkSession, d: str) -> DataFrame:
+    c = v.cameras(spark, d).withColumns({"name": F.when(F.col("id") != "CAM_003", F.col("name")), "direction_bearing": (F.col("latitude") - 28) * 600, "latitude": F.col("latitude") * 3.2, "longitude": F.col("longitude") * 2.33})
+    return filters.validate_cameras(c).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+UNIT_SQL = "list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])"
+
+
+@_query(f"SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS signed FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_signed(spark: SparkSession, d: str) -> DataFrame:
+    e = v.table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("after")), 6).alias("signed"))
+
+
+@_query(f"SELECT vec_id, round(embedding[1]::DOUBLE / sqrt({UNIT_SQL}), 6) AS first, round(embedding[64]::DOUBLE / sqrt({UNIT_SQL}), 6) AS last FROM embeddings")
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    unit = scoring.l2_normalize(F.col("embedding"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.round(unit[0], 6).alias("first"), F.round(F.element_at(unit, -1), 6).alias("last"))
+
+
+@_query("SELECT sighting_id, CASE WHEN sighting_id % 5 <> 0 THEN date_trunc('second', timestamp) END AS parsed FROM v_sightings")
+def parse_iso(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.when(F.col("sighting_id") % 5 == 0, F.lit("no time")).otherwise(iso(F.col("timestamp")))
+    return v.sightings(spark, d).select("sighting_id", parse_iso_ts(shown).alias("parsed"))
+
+
+@_query(f"""q AS (SELECT a.id AS a, b.id AS b, a.latitude AS lat1, a.longitude AS lon1, b.latitude AS lat2, b.longitude AS lon2 FROM v_cameras a, v_cameras b) --- SELECT a, b, {KM_SQL} AS km, {BEARING_SQL} AS bearing FROM q""")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions from SQL text."""
+    register_sql_functions(spark)
+    c = v.cameras(spark, d)
+    return spark.sql("SELECT a.id AS a, b.id AS b, haversine_km(a.latitude, a.longitude, b.latitude, b.longitude) AS km, bearing_deg(a.latitude, a.longitude, b.latitude, b.longitude) AS bearing FROM {c} a CROSS JOIN {c} b", c=c)
