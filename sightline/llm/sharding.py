@@ -75,9 +75,9 @@ def rebalanced(owner: list[int], loads: dict[int, int], shards: int) -> list[int
 
 
 def save_map(spark: SparkSession, owner: list[int], version: int, path: str) -> DataFrame:
-    """Stores one version of the map under ``path`` and returns its rows: version, vslot, owner."""
+    """Stores one version of the map under ``path`` and returns its rows: version, vslot, owner. A version that is there is never overwritten."""
     rows = spark.createDataFrame([(v, s) for v, s in enumerate(owner)], "vslot int, owner int").coalesce(1)
-    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows.write.parquet(f"{path}/version={version}")
     return load_map(spark, version, path)
 
 
