@@ -29,7 +29,7 @@ def decode_json(df: DataFrame, arrays: dict[str, str] | None = None, maps: list[
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Media files with what their names say and the digest of their bytes."""
+    """Media files with what their names say and the digest of their bytes; Spark does not list empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", "true").load(path)
     part = lambda i: F.regexp_extract("path", MEDIA, i)
     return files.select("path", part(1).alias("camera_id"), part(2).cast("int").alias("track_id"), part(3).alias("taken"), part(4).alias("kind"), "length", F.sha2("content", 256).alias("sha256"))
