@@ -43,10 +43,10 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     )
 
 
-def chance(*key: Column, digits: int = 13) -> Column:
-    """The first hexadecimal digits of an MD5 digest of the seed and the key, as a long."""
+def chance(*key: Column, digits: int = 13, start: int = 1) -> Column:
+    """Hexadecimal digits from ``start`` on of an MD5 digest of the seed and the key, as a long."""
     text = F.concat_ws(":", F.lit(SEED), *(F.coalesce(k.cast("string"), F.lit("")) for k in key))
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("long")
 
 
 def size_class(size: Column) -> Column:
@@ -55,51 +55,66 @@ def size_class(size: Column) -> Column:
     return bits * 8 + F.call_function("shiftright", size, F.greatest(bits - 3, F.lit(0))).cast("int")
 
 
-def _cuts(counts: DataFrame, rates: DataFrame) -> DataFrame:
-    """source, class, source_size, target, rate, last_cell, part_cell, part_share: documents of a class with a cell up
-    to last_cell get the extra copy, and of those in part_cell a share.
+def _ends(upto: Column, n: Column, quota: Column, at: Column, name: str) -> list[Column]:
+    """Of groups in order, each with n rows and upto with those before it: the last one that lies within the quota, the
+    one in which the quota ends, and how many of its rows it takes. -1 where there is none."""
+    cut = (upto - n < quota) & (upto > quota)
+    last, part = F.max(F.when(upto <= quota, at)), F.max(F.when(cut, at))
+    return [F.coalesce(last, F.lit(-1)).alias(f"last_{name}"), F.coalesce(part, F.lit(-1)).alias(f"part_{name}"), F.coalesce(F.max(F.when(cut, quota - (upto - n))), F.lit(0)).alias(f"need_{name}")]
 
-    counts has n, the rows of each source, class and cell. There are 2 ** 16 cells, so a group that is ordered has at
-    most as many rows, whatever the rows of a source.
+
+def _cuts(sizes: DataFrame, counts: DataFrame, rates: DataFrame) -> DataFrame:
+    """source, class, source_size, target, rate, last_cell, part_cell, last_mark, part_mark, part_share.
+
+    Documents of a class with a cell up to last_cell get the extra copy; of those in part_cell the ones with a mark up
+    to last_mark; and of the rows with part_mark, which are equal, a share. counts has n, the rows of each source, class
+    and cell. There are 2 ** 16 cells, so a group that is ordered has at most as many rows, whatever the rows of a
+    source; marks are ordered within one cell of a class.
     """
-    along = W.partitionBy("source", "class").orderBy("cell")
-    cells = counts.withColumn("middle", F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / F.lit(2.0))
+    along = W.partitionBy("source", "class").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    cells = counts.withColumn("upto", F.sum("n").over(along))
     down = W.partitionBy("source").orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, 0)
     rated = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(down)).join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     part, u = F.col("rate") - F.floor("rate"), chance(F.col("source")) / F.lit(float(1 << 52))
     quota = F.floor(F.col("upto") * part + u) - F.floor((F.col("upto") - F.col("n")) * part + u)
     quotas = rated.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "source_size", "target", "rate", quota.alias("quota"))
-    met = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).drop("_source", "_class")
-    upto, before = F.col("middle") + F.col("n") / F.lit(2.0), F.col("middle") - F.col("n") / F.lit(2.0)
-    last = F.max(F.when(upto <= F.col("quota"), F.col("cell")))
-    # the cell in which the quota ends, where it has several rows, and the share of them that it takes
-    cut = (before < F.col("quota")) & (upto > F.col("quota"))
-    part_cell, part_share = F.max(F.when(cut, F.col("cell"))), F.max(F.when(cut, (F.col("quota") - before) / F.col("n")))
-    return met.groupBy("source", "class", "source_size", "target", "rate").agg(F.coalesce(last, F.lit(-1)).alias("last_cell"), F.coalesce(part_cell, F.lit(-1)).alias("part_cell"), F.coalesce(part_share, F.lit(0.0)).alias("part_share"))
+    own = F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))
+    met = cells.join(quotas, own).groupBy("_source", "_class", "source_size", "target", "rate")
+    by_cell = written(met.agg(*_ends(F.col("upto"), F.col("n"), F.col("quota"), F.col("cell"), "cell")), "op9-cells")
+    open_cells = by_cell.filter("part_cell >= 0").select("_source", "_class", "part_cell", "need_cell")
+    marks = sizes.join(open_cells, own & (F.col("cell") == F.col("part_cell"))).groupBy("_source", "_class", "need_cell", "mark").agg(F.count(F.lit(1)).alias("n"))
+    marks = marks.withColumn("upto", F.sum("n").over(W.partitionBy("_source", "_class").orderBy("mark").rowsBetween(W.unboundedPreceding, 0)))
+    share = F.max(F.when(F.col("upto") > F.col("need_cell"), F.col("need_cell") - (F.col("upto") - F.col("n"))) / F.col("n"))
+    by_mark = marks.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class")).agg(*_ends(F.col("upto"), F.col("n"), F.col("need_cell"), F.col("mark"), "mark")[:2], F.greatest(share, F.lit(0.0)).alias("part_share"))
+    joined = by_cell.join(by_mark, own, "left").drop("source", "class")
+    return joined.select(F.col("_source").alias("source"), F.col("_class").alias("class"), "source_size", "target", "rate", "last_cell", "part_cell", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("last_mark", "part_mark")], F.coalesce("part_share", F.lit(0.0)).alias("part_share"))
 
 
 def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """The rows of docs with size, source_size, target and copies (how often the mix takes the document).
 
     Null texts and texts without words have size 0. A source without words has target 0 and is not taken; in a source
-    with a rate of r, documents of size 0 are taken like any other. Rows that are equal in id and text share a
-    cell; where a quota ends in it, they draw by their places in the input. Extra columns
-    stay, those with names of the result excepted. An empty table gives an empty result.
+    with a rate of r, documents of size 0 are taken like any other. Who is drawn depends on id and text alone, however
+    rows are partitioned; only rows that are equal in both, where a quota ends in them, draw by their places in the
+    input. Extra columns stay, those with names of the result excepted. An empty table gives an empty result.
     """
     others = F.struct(*docs.drop("size", "source_size", "target", "copies").columns).alias("_row")
     own = docs.select(others, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
-    own = own.withColumn("class", size_class(F.col("size"))).withColumn("cell", chance(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), digits=4))
+    key = F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))
+    own = own.withColumns({"class": size_class(F.col("size")), "cell": chance(*key, digits=4), "mark": chance(*key, start=5)})
     own = own.withColumn("_place", F.monotonically_increasing_id())
-    # counts are kept, so texts are read once for all of them
-    counts = written(own.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "op9-counts")
+    # a narrow row a document is kept, so texts are read once for all counts
+    sizes = written(own.select("source", "class", "cell", "mark", "size"), "op9-sizes")
+    counts = written(sizes.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "op9-counts")
     targets = source_targets(counts, cap=cap)
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    cuts = written(_cuts(counts, rates), "op9-cuts").withColumnsRenamed({"source": "_source", "class": "_class"})
+    cuts = written(_cuts(sizes, counts, rates), "op9-cuts").withColumnsRenamed({"source": "_source", "class": "_class"})
     # rows of one source may be a third of all, so the table of classes goes to the rows where it is small
     # (Spark decides by the size of its files), and otherwise an adaptive join splits the hot side
     joined = own.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left").drop("_source", "_class")
     drawn = F.pmod(F.xxhash64("cell", "_place"), F.lit(1 << 20)) < F.col("part_share") * F.lit(float(1 << 20))
-    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).when((F.col("cell") == F.col("part_cell")) & drawn, 1).otherwise(0)
+    in_cell = (F.col("mark") <= F.col("last_mark")) | ((F.col("mark") == F.col("part_mark")) & drawn)
+    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).when((F.col("cell") == F.col("part_cell")) & in_cell, 1).otherwise(0)
     return joined.select("_row.*", "size", "source_size", "target", (F.floor("rate") + extra).cast("int").alias("copies"))
 
 
@@ -117,7 +132,8 @@ def report(docs: DataFrame) -> DataFrame:
 REPORT_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 4))::BIGINT AS cell
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 4))::BIGINT AS cell,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 5, 13))::BIGINT AS mark
   FROM documents),
 own AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS class FROM sized),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY source),
@@ -136,10 +152,7 @@ classes AS (
     ('0x' || substr(md5('mix-1:' || coalesce(o.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM own o JOIN rates r ON o.source IS NOT DISTINCT FROM r.source GROUP BY o.source, class, rate),
 quotas AS (SELECT source, class, floor(upto * part + u) - floor((upto - n) * part + u) AS quota FROM classes),
-cells AS (SELECT source, class, cell, sum(count(*)) OVER (PARTITION BY source, class ORDER BY cell ROWS UNBOUNDED PRECEDING) - count(*) / 2.0::DOUBLE AS middle FROM own GROUP BY source, class, cell),
-cuts AS (
-  SELECT c.source, c.class, coalesce(max(cell) FILTER (middle < quota), -1) AS last_cell
-  FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source AND c.class = q.class GROUP BY c.source, c.class)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN cell <= last_cell THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM own JOIN rates r ON own.source IS NOT DISTINCT FROM r.source JOIN cuts c ON own.source IS NOT DISTINCT FROM c.source AND own.class = c.class
+drawn AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY cell, mark) AS nth FROM own)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN nth <= quota THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source AND d.class = q.class
 """

@@ -1,5 +1,6 @@
 """Operators against brute force on whole tables of documents, and cases that caps or single draws would miss."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -59,6 +60,21 @@ def test_equal_rows_meet_the_target(spark):
     assert Counter(map(tuple, out.values.tolist())) == Counter(map(tuple, again.values.tolist()))
 
 
+def test_mixing_draws_alike_however_rows_are_dealt(spark):
+    digest = lambda i: hashlib.md5(f"mix-1:{i}:{hashlib.md5(b'w w w').hexdigest()}".encode()).hexdigest()
+    # documents of one size class whose hashes begin alike, so all of them are in a few cells
+    ids = [i for i in range(120_000) if digest(i)[:3] == "000"]
+    assert len(ids) > 20 and len({digest(i)[:4] for i in ids}) < len(ids)
+    rows = [(i, "w w w", s) for s in ("a", "b") for i in ids] + [(i, "w w w", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(tuple, mixing.copies(d).select("source", "doc_id", "copies").collect())) for d in (df.coalesce(1), df.repartition(9).orderBy(F.desc("doc_id"))))
+    assert one == other
+    for s in ("a", "b"):
+        drawn = {i: c for t, i, c in one if t == s}
+        order = [drawn[i] for i in sorted(ids, key=digest)]
+        assert order == sorted(order, reverse=True)
+
+
 @pytest.mark.parametrize("dims", [20, 64, 150])
 def test_search_equals_brute_force_for_any_dimensions(spark, dims):
     rng = np.random.default_rng(dims)
