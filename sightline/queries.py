@@ -189,7 +189,7 @@ sim AS (SELECT x, y, round(greatest(0, 1 - r[-1] / greatest(len(x), len(y))), 4)
 
 @_query(f"{SIM_SQL} --- SELECT x AS reported_plate, y AS plate_text, similarity FROM sim", recursive=True)
 def plate_similarity(spark: SparkSession, d: str) -> DataFrame:
-    seen = v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct()
+    seen = ranking.dealt(v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct(), "plate_text")
     return v.cases(spark, d).select("reported_plate").distinct().crossJoin(seen).withColumn("similarity", plates.plate_similarity(F.col("reported_plate"), F.col("plate_text")))
 
 
