@@ -310,8 +310,9 @@ def _read_sets(g: pd.DataFrame) -> tuple[list[int], list[np.ndarray], np.ndarray
     return nodes, sets, np.array(sigs, np.uint16).reshape(len(sigs), -1)
 
 
-def _verify(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-    """Exact links that connect what is linked in a block. Guests (of other blocks) are compared with residents alone.
+def _verify(groups: Iterator[pd.DataFrame], visits: bool = False) -> Iterator[pa.RecordBatch]:
+    """Exact links that connect what is linked in a block. Guests (of other blocks) are compared with residents alone;
+    with ``visits`` residents meet guests alone, as they have met each other before.
 
     Rows come with ``base``, which is equal for sets that are known to be connected. Pairs that look close are tried first.
     """
@@ -327,7 +328,7 @@ def _verify(groups: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         for least, most in ((0.85, 1.1), (CANDIDATE, 0.85)):
             for i in range(len(nodes) - 1):
                 at = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-                at = at[(100 * np.minimum(sizes[at], sizes[i]) >= PERCENT * np.maximum(sizes[at], sizes[i])) & ~(guests[i] & guests[at])]
+                at = at[(100 * np.minimum(sizes[at], sizes[i]) >= PERCENT * np.maximum(sizes[at], sizes[i])) & (guests[i] != guests[at] if visits else ~(guests[i] & guests[at]))]
                 near = agreement(sigs[at], sigs[i])
                 for x in at[(near >= least) & (near < most)].tolist():
                     if label[x] != label[i] and similar(sets[i], sets[x]):
@@ -341,10 +342,12 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, block_sets:
     """a, b: links on full sets that connect exactly what is linked within each candidate group.
 
     A group that is too large for a task is dealt to blocks, each with the group's least set as a guest. Sets that this
-    leaves unconnected to that one then visit all other blocks of the group.
+    leaves unconnected to that one then visit all other blocks of the group, in parties that are bounded as blocks are:
+    a task holds one block and one party.
     """
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     of = groups.join(sets.select("node", "n_shingles", "doc_id", "text_key", "sig"), "node")
-    sizes = of.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = of.groupBy("label").agg(need.alias("blocks"))
     keyed = written(of.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "op2-candidates")
     row = ["label", "node", "sig", "text"]
 
@@ -353,14 +356,17 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, block_sets:
         return some.join(texts, (some["text_key"] == texts["_key"]) & some["doc_id"].eqNullSafe(texts["_id"])).drop("_id", "_key")
 
     def sent(some: DataFrame, guests: DataFrame) -> DataFrame:
-        """Every set to its own block, and guests to all other blocks of their groups."""
+        """Every set to its own block, once for each party of guests, and guests to all other blocks of their groups."""
         to = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("block")
-        visits = guests.filter("blocks > 1").select("label", "node", "sig", "doc_id", "text_key", "base", to, F.lit(1).alias("guest"))
-        home = some.select("label", "node", "sig", "doc_id", "text_key", "base", "block", F.lit(0).alias("guest"))
-        return with_text(home.unionByName(visits)).select(*row, "base", "block", "guest")
-
-    alone = keyed.withColumn("base", F.col("node"))
-    first = written(by_group(sent(alone, alone.filter("node = label")), ["label", "block"], _verify, "a long, b long"), "op2-exact")
+        party = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parties")).cast("int").alias("party")
+        visits = guests.filter("blocks > 1").select("label", "node", "sig", "doc_id", "text_key", "base", to, party, F.lit(1).alias("guest"))
+        met = F.explode(F.sequence(F.lit(0), F.col("parties") - 1)).alias("party")
+        home = some.select("label", "node", "sig", "doc_id", "text_key", "base", "block", met, F.lit(0).alias("guest"))
+        return with_text(home.unionByName(visits)).select(*row, "base", "block", "party", "guest")
+
+    keys = ["label", "block", "party"]
+    alone = keyed.withColumn("base", F.col("node")).withColumn("parties", F.lit(1))
+    first = written(by_group(sent(alone, alone.filter("node = label")), keys, _verify, "a long, b long"), "op2-exact")
     split = keyed.filter("blocks > 1")
     if split.isEmpty():
         return first
@@ -370,7 +376,8 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, block_sets:
     apart = written(based.join(pivot, "label").filter("base != main").drop("main"), "op2-apart")
     if apart.isEmpty():
         return first
-    second = by_group(sent(based.join(apart.select("label").distinct(), "label", "left_semi"), apart), ["label", "block"], _verify, "a long, b long")
+    parties = apart.groupBy("label").agg(need.alias("parties"))
+    second = by_group(sent(based.join(parties, "label"), apart.join(parties, "label")), keys, lambda groups: _verify(groups, visits=True), "a long, b long")
     return first.unionByName(written(second, "op2-across"))
 
 

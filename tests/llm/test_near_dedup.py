@@ -64,6 +64,22 @@ def test_large_nodes_blocks_and_branches_lose_nothing(spark):
     assert found(spark, rows, small=3, levels=1, block_sets=1000) == want
 
 
+def test_sets_that_stay_apart_visit_in_parties(spark):
+    """A shared passage makes one candidate group of texts that mostly don't link, over many blocks and parties."""
+    rng, rows = random.Random(11), []
+    passage = [f"p{i}" for i in range(80)]
+    for b in range(40):
+        base = passage + [f"b{b}x{i}" for i in range(24)]
+        for _ in range(3):
+            words = list(base)
+            words[rng.randrange(len(words))] = f"n{rng.random()}"
+            rows.append([len(rows), " ".join(words), 1, 7])
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert 1 < len({r[2] for r in want}) < len(rows)
+    assert found(spark, rows, block_sets=5) == want
+
+
 def test_nulls_empty_short_and_repeated_rows(spark):
     long = " ".join(f"x{i}" for i in range(40))
     rows = [[1, None, 1, 1], [2, "", 1, 1], [3, " \n", 1, 1], [4, "a b", 1, 1], [5, "A  b", 1, 1], [6, "a b c", 1, 1], [9, long, 1, 1], [9, long, 1, 1], [None, long, 1, 1], [7, "é É", 1, 1], [8, "É É", 1, 1]]
