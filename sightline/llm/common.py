@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.storage import shared_dir, written
 
-__all__ = ["WORD", "fold", "python_workers", "shared_dir", "table", "word_count", "written"]
+__all__ = ["WORD", "fold", "importable", "python_workers", "shared_dir", "table", "word_count", "written"]
 
 #: Words are runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,12 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_workers(spark: SparkSession, batch_rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, as one text may have megabytes, and lets Python workers import this package."""
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package."""
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
+def python_workers(spark: SparkSession, batch_rows: int = 500) -> None:
+    """Bounds the rows of an Arrow batch, as one text may have megabytes, and lets Python workers import this package."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > batch_rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import chat, fingerprints, hamming, language, mixing, near_dedup, packing, quality, secrets, sharding
+from sightline.llm import audit, chat, collocations, fingerprints, hamming, language, licenses, mixing, near_dedup, packing, quality, secrets, sharding
 from sightline.llm.common import table
 
 
@@ -22,8 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k_search": lambda s, d: hamming.top_k(table(s, d, "embeddings")),
         "op9_mixing": lambda s, d: mixing.report(table(s, d, "documents")),
         "op10_fingerprints": lambda s, d: fingerprints.fingerprints(table(s, d, "documents")),
+        "op11_license_scan": lambda s, d: licenses.scan(table(s, d, "documents")),
+        "op12_filter_audit": lambda s, d: audit.audit(table(s, d, "documents"), table(s, d, "labels")),
+        "op13_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.RENDER_SQL, "op8_top_k_search": hamming.TOP_K_SQL, "op9_mixing": mixing.REPORT_SQL}
+    return {
+        "op4_chat_format": chat.RENDER_SQL, "op8_top_k_search": hamming.TOP_K_SQL, "op9_mixing": mixing.REPORT_SQL,
+        "op11_license_scan": licenses.SCAN_SQL, "op12_filter_audit": audit.AUDIT_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL,
+    }

@@ -133,7 +133,7 @@ def test_mixing_comes_near_its_targets_and_keeps_columns(spark):
         assert abs((g["size"] * g.copies).sum() / g.target.iloc[0] - 1) < 0.05
 
 
-@pytest.mark.parametrize("name", ["op4_chat_format", "op8_top_k_search", "op9_mixing"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_rows_match_sql(spark, name):
     con = duckdb.connect()
     for p in Path("/root/testdata/sf0.001").iterdir():
