@@ -1,26 +1,47 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit per dimension, set where the value is over 0. Codes are cut into segments, and an index maps
-(segment, value) to the codes. A query probes its own segment values, then all values one bit away, then two bits,
-and so on. With radius r every code within Hamming distance m * (r + 1) - 1 is met, as it differs by at most r bits
-in one of its m segments. Each radius verifies the codes that it newly covers, and a query is done when it has k.
+A vector's code has a bit per dimension, set where the value is over 0. Codes are cut into segments of about log2 of the
+number of codes, so that a segment value has about one code, and an index maps (segment, value) to the codes. A query
+probes its own segment values, then all values one bit away, then two bits, and so on. With radius r every code within
+Hamming distance m * (r + 1) - 1 is met, as it differs by at most r bits in one of its m segments. A query is done
+when its k-th distance lies within that, and at the latest when the radius is the width of a segment and all are met.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import comb
+from math import log2
 from operator import add, and_
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm.common import written
 
-WORD, SEGMENT = 64, 16
-#: Segments of a word.
-PER_WORD = WORD // SEGMENT
+WORD = 64
+
+
+class Segment(NamedTuple):
+    """Bits of a code: the word they are in, how far from its low end, and how many."""
+
+    word: int
+    shift: int
+    width: int
+
+
+def segments_of(dims: int, n: int) -> list[Segment]:
+    """Segments of codes of ``dims`` bits, each about log2(n) wide."""
+    wide = max(1.0, log2(max(2, n)))
+    out = []
+    for word in range(-(-dims // WORD)):
+        used = min(WORD, dims - word * WORD)
+        parts = max(1, round(used / wide))
+        cuts = [used * i // parts for i in range(parts + 1)]
+        # the first dimension is in the highest bit
+        out += [Segment(word, WORD - end, end - start) for start, end in zip(cuts, cuts[1:], strict=False)]
+    return out
 
 
 def code(embedding: Column, words: int = 1) -> Column:
@@ -36,79 +57,72 @@ def code(embedding: Column, words: int = 1) -> Column:
     return F.when(embedding.isNotNull(), F.struct(*map(word, range(words))))
 
 
-def _segment(c: Column, s: int) -> Column:
-    return F.shiftrightunsigned(c[f"w{s // PER_WORD}"], s % PER_WORD * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int")
+def _value(c: Column, s: Segment) -> Column:
+    return F.shiftrightunsigned(c[f"w{s.word}"], s.shift).bitwiseAND(F.lit((1 << s.width) - 1))
 
 
 def _distance(a: Column, b: Column, words: int) -> Column:
     return reduce(add, [F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(words)])
 
 
-def _masks(spark: SparkSession, radius: int) -> DataFrame:
-    """All values of a segment with at most ``radius`` bits set: a fixed table."""
-    return spark.range(1 << SEGMENT).select(F.col("id").cast("int").alias("mask"), F.lit(radius).alias("radius")).filter(F.bit_count("mask") <= radius)
-
-
 def _least(rows: DataFrame, k: int, *keys: str, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """query_id, rank, vec_id, distance: the k nearest rows of every row whose vec_id is divisible by ``every``.
-
-    Order is by Hamming distance, then vec_id, and a query meets itself; fewer rows than k give them all. Rows with a
-    null id or vector are left out. Repeated rows count one by one. Equal codes are one entry of the index, with the
-    k least ids: more of them can't be among k results. Codes have all dimensions; shorter vectors are filled with unset
-    bits. An empty table gives an empty result; other columns are ignored.
-    """
+def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+    """The rows of ``top_k`` with ``radius``, the one that covered the query's k-th distance, and ``width``, of the widest segment."""
     spark = vectors.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = max(1, -(-(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1) // WORD))
-    segments = words * PER_WORD
+    dims = max(1, vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    words = -(-dims // WORD)
     coded = written(vectors.select("vec_id", code(F.col("embedding"), words).alias("code")).filter("vec_id is not null and code is not null"), "op8-codes")
     # a partial limit by code runs before the shuffle, so a code that a third of the rows have moves k rows a task
     few = _least(coded, k, "code", by=["vec_id"]).select("code", "vec_id", "rank")
     entries = written(few, "op8-ids")
     codes = entries.filter("rank = 1").select("code")
-    n = codes.count()
-    index = written(codes.select("code", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(segments)])).alias("segment", "value")), "op8-index")
+    segments = segments_of(dims, codes.count())
+    width = max(s.width for s in segments)
+    values = lambda c: F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(s.width).alias("width"), _value(c, s).alias("value")) for i, s in enumerate(segments)])
+    index = written(codes.select("code", F.explode(values(F.col("code"))).alias("s")).select("code", "s.segment", "s.value"), "op8-index")
     asked = written(coded.filter(F.col("vec_id") % every == 0).select(F.col("code").alias("query")).distinct(), "op8-queries")
-    found = None
-    for radius in range(SEGMENT + 1):
-        # dealt before the probes are made, as each query makes many
-        dealt = asked.repartition(tasks, "query")
-        # from a radius that makes more probes than there are codes, the queries that are left meet all codes instead
-        scan = segments * sum(comb(SEGMENT, i) for i in range(radius + 1)) >= n
-        distance = _distance(F.col("query"), F.col("code"), words)
-        if scan:
-            blocks = max(1, min(tasks, n))
-            block = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block")
-            met = codes.select("code", block).join(dealt.select("query", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), "block")
-            # codes at the distance of the k-th may hold lesser ids, so ties stay
-            rank = F.rank().over(W.partitionBy("query", "block").orderBy("distance"))
-            met = met.select("query", "code", "block", distance.alias("distance")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "code", "distance")
-        else:
-            covered = segments * (radius + 1) - 1
-            own = dealt.select("query", F.lit(radius).alias("radius"), F.posexplode(F.array(*[_segment(F.col("query"), s) for s in range(segments)])).alias("segment", "own"))
-            probes = own.join(F.broadcast(_masks(spark, radius)), "radius").select("query", F.col("segment").alias("at"), F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
-            apart = lambda s: F.bit_count(_segment(F.col("query"), s).bitwiseXOR(_segment(F.col("code"), s)))
-            # the codes that this radius newly covers, each in the first segment that meets it
-            first = reduce(and_, [(F.col("at") <= s) | (apart(s) > radius) for s in range(segments)])
-            same = (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value"))
-            met = probes.join(index, same & distance.between(covered - segments + 1, covered) & first).select("query", "code", distance.alias("distance"))
-        rows = met.join(entries.select("code", "vec_id"), "code").select("query", "vec_id", "distance")
+    # dealt before the probes are made, as each query makes many
+    probes = asked.repartition(tasks, "query").select("query", F.explode(values(F.col("query"))).alias("s")).select("query", F.col("s.segment").alias("at"), F.col("s.width").alias("width"), F.col("s.value").alias("probe"), F.lit(0).alias("low"))
+    apart = [F.bit_count(_value(F.col("query"), s).bitwiseXOR(_value(F.col("code"), s))) for s in segments]
+    found = done = None
+    for radius in range(width + 1):
+        if radius:
+            # a probe flips one bit more, above those that it has flipped
+            left = probes.join(asked, "query", "left_semi").filter("low < width")
+            more = left.select("query", "at", "width", "probe", F.explode(F.sequence(F.col("low"), F.col("width") - 1)).alias("bit"))
+            probes = more.select("query", "at", "width", F.col("probe").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("probe"), (F.col("bit") + 1).alias("low"))
+        probes = written(probes, f"op8-probes{radius}")
+        # a code is met at the least difference of its segments, in the first segment that has it: once for each query
+        first = reduce(and_, [(a > radius) | ((a == radius) & (F.col("at") <= i)) for i, a in enumerate(apart)])
+        met = probes.join(index, (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value"))).filter(first)
+        rows = met.select("query", "code", _distance(F.col("query"), F.col("code"), words).alias("distance")).join(entries.select("code", "vec_id"), "code").select("query", "vec_id", "distance")
         if found is not None:
-            # what the scan meets includes what earlier radii met
-            rows = found.join(asked, "query", "left_anti").select("query", "vec_id", "distance").unionByName(rows) if scan else rows.unionByName(found.select("query", "vec_id", "distance"))
+            rows = rows.unionByName(found.select("query", "vec_id", "distance").join(asked, "query", "left_semi"))
         found = written(_least(rows, k, "query", by=["distance", "vec_id"]), f"op8-found{radius}")
-        if scan:
-            break
-        done = found.filter(F.col("rank") == k).select("query")
-        asked = written(asked.join(done, "query", "left_anti"), f"op8-left{radius}")
+        covered = len(segments) * (radius + 1) - 1
+        ended = found.filter((F.col("rank") == k) & (F.col("distance") <= covered)).select("query") if radius < width else asked
+        now = found.join(ended, "query", "left_semi").withColumn("radius", F.lit(radius))
+        done = now if done is None else done.unionByName(now)
+        asked = written(asked.join(ended, "query", "left_anti"), f"op8-left{radius}")
         if asked.isEmpty():
             break
     queries = coded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("code").alias("query"))
-    return queries.join(found, "query").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))
+    return queries.join(done, "query").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"), "radius", F.lit(width).alias("width"))
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+    """query_id, rank, vec_id, distance: the k nearest rows of every row whose vec_id is divisible by ``every``.
+
+    Order is by Hamming distance, then vec_id, and a query meets itself; fewer rows than k give them all. Rows with a
+    null id or vector are left out. Repeated rows count one by one. Equal codes are one entry of the index, with the
+    k least ids: more of them can't be among k results. Codes have all dimensions, however many; shorter vectors are filled with unset
+    bits. An empty table gives an empty result; other columns are ignored.
+    """
+    return search(vectors, k, every).select("query_id", "rank", "vec_id", "distance")
 
 
 TOP_K_SQL = """
