@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sightline.functions.geo import haversine_km
 from sightline.functions.plates import baseline_plate_similarity
+from sightline.operators.plate_joins import dealt, holding_plates
+from sightline.storage import written
 
 
 def with_camera(s: DataFrame, cameras: DataFrame, mode: str = "search") -> DataFrame:
@@ -50,29 +52,31 @@ def plate_fallback(cases: DataFrame, matches: DataFrame, s: DataFrame) -> DataFr
 
 
 def baseline_candidates(cases: DataFrame, s: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs with an equal plate, a plate that holds the first six characters of the reported one, or an equal colour.
+    """Pairs with an equal plate, a plate that holds the first six characters of the reported one, or an equal colour,
+    with plate_sim, the simple similarity of their plates (0 where one is missing).
 
-    Pairs whose simple score cannot reach ``least`` need not be made: without an equal colour and a type that fits,
-    the plates must be alike, which is decided once for each pair of distinct texts.
+    Colours that are equal are met by colour and text: the similarity of two texts is computed once for each colour in which they meet, and decides
+    before rows are joined. The other pairs come from an index of the n-grams of the plates. Pairs
+    whose simple score cannot reach ``least`` are not made.
     """
-    held = lambda a, b: F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
-    types = cases.select(F.col("case_type").alias("_ct")).distinct().join(s.select(F.col("vehicle_type").alias("_vt")).distinct(), held("_ct", "_vt"))
-    same_color = F.lower("case_color") == F.lower("vehicle_color")
-    by_looks = cases.join(types, F.col("case_type") == F.col("_ct")).join(s, (F.col("_vt") == F.col("vehicle_type")) & same_color).drop("_ct", "_vt")
-    fits = F.coalesce(held("case_type", "vehicle_type"), F.lit(False))
-    if least <= 0.25:
-        by_color = cases.join(s, same_color & ~fits)
-    six = F.substring(F.regexp_replace(F.upper("_r"), "[^A-Z0-9]", ""), 1, 6)
-    plates = s.filter("plate_text is not null").select(F.col("plate_text").alias("_p")).distinct().repartition("_p")
-    # with one of type and colour the plate adds what is missing, half its similarity at most
-    alike = baseline_plate_similarity(F.col("_r"), F.col("_p")) * 0.5 >= least - 0.25 - 1e-6
-    holds = F.col("_p").contains(six)
-    texts = plates.join(cases.select(F.col("reported_plate").alias("_r")).distinct(), (holds | alike) if least > 0.25 else holds).withColumn("_six", holds)
-    by_plate = texts.join(cases, F.col("_r") == F.col("reported_plate")).join(s, F.col("_p") == F.col("plate_text"))
-    met = F.coalesce(same_color, F.lit(False))
-    # colours that are equal have been met by colour where all of those are made, and otherwise where the type fits
-    by_plate = by_plate.filter((F.col("_six") & ~met) if least <= 0.25 else ((F.col("_six") | met) & ~(met & fits))).drop("_r", "_p", "_six")
-    return by_looks.unionByName(by_plate) if least > 0.25 else by_looks.unionByName(by_color).unionByName(by_plate)
+    held = lambda a, b: F.coalesce(F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a)), F.lit(False))
+    similarity = F.coalesce(baseline_plate_similarity(F.col("_r"), F.col("_p")), F.lit(0.0)).alias("plate_sim")
+    c, t = cases.withColumn("_cc", F.lower("case_color")), s.withColumn("_vc", F.lower("vehicle_color"))
+    # types are part of the pieces that meet first, as pairs whose types fit need no likeness of plates
+    left = c.filter("_cc is not null").select("_cc", F.col("reported_plate").alias("_r"), F.col("case_type").alias("_ct")).distinct()
+    right = t.filter("_vc is not null").select(F.col("_vc").alias("_cc"), F.col("plate_text").alias("_p"), F.col("vehicle_type").alias("_vt")).distinct()
+    texts = dealt(left.select("_cc", "_r").distinct().join(right.select("_cc", "_p").distinct(), "_cc"), "_r", "_p").select("_cc", "_r", "_p", similarity)
+    texts = written(texts, "baseline-plates")
+    # a plate adds half its similarity at most, type and colour a quarter each
+    may = 0.5 * F.col("plate_sim") + F.when(held("_ct", "_vt"), 0.25).otherwise(0.0) + 0.25 >= least - 1e-6
+    met = left.join(texts, (left["_cc"] == texts["_cc"]) & left["_r"].eqNullSafe(texts["_r"])).select(left["_cc"], left["_r"], "_ct", "_p", "plate_sim")
+    met = met.join(right, (met["_cc"] == right["_cc"]) & met["_p"].eqNullSafe(right["_p"])).select(met["_cc"].alias("_color"), "_r", "_ct", met["_p"], "_vt", "plate_sim").filter(may)
+    own = (F.col("_cc") == F.col("_color")) & F.col("reported_plate").eqNullSafe(F.col("_r")) & F.col("case_type").eqNullSafe(F.col("_ct"))
+    by_color = c.join(met, own).drop("_cc", "_r", "_ct").join(t, (F.col("_vc") == F.col("_color")) & F.col("plate_text").eqNullSafe(F.col("_p")) & F.col("vehicle_type").eqNullSafe(F.col("_vt")))
+    holding = holding_plates(cases.select(F.col("reported_plate").alias("_r")), s.select(F.col("plate_text").alias("_p"))).select("_r", "_p", similarity)
+    by_plate = holding.join(c, F.col("_r") == F.col("reported_plate")).join(t, F.col("_p") == F.col("plate_text")).filter(~F.coalesce(F.col("_cc") == F.col("_vc"), F.lit(False)))
+    drop = ("_cc", "_vc", "_color", "_r", "_p", "_ct", "_vt")
+    return by_color.drop(*drop).unionByName(by_plate.drop(*drop))
 
 
 def audit_for_case(cases: DataFrame, matches: DataFrame, audit: DataFrame, n: int = 100, strict: bool = False) -> DataFrame:

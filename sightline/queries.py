@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import boxes, geo, plates, scoring
 from sightline.functions.integrity import ADMISSIBILITY, AFFIRMATION, ALGORITHM, STATUTE, iso, parse_iso_ts, register_sql_functions, sighting_digest
 from sightline.operators import detections as det
-from sightline.operators import evidence, filters, joins, mutations, ranking, rollups, routes
+from sightline.operators import evidence, filters, joins, mutations, plate_joins, ranking, rollups, routes
 from sightline.plans import views as v
 from sightline.plans.streams import replayed, replayed_batches
 from sightline.streaming import sightings as st
@@ -189,7 +189,7 @@ sim AS (SELECT x, y, round(greatest(0, 1 - r[-1] / greatest(len(x), len(y))), 4)
 
 @_query(f"{SIM_SQL} --- SELECT x AS reported_plate, y AS plate_text, similarity FROM sim", recursive=True)
 def plate_similarity(spark: SparkSession, d: str) -> DataFrame:
-    seen = ranking.dealt(v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct(), "plate_text")
+    seen = plate_joins.dealt(v.sightings(spark, d).select("plate_text").filter("plate_text is not null").distinct(), "plate_text")
     return v.cases(spark, d).select("reported_plate").distinct().crossJoin(seen).withColumn("similarity", plates.plate_similarity(F.col("reported_plate"), F.col("plate_text")))
 
 
@@ -260,6 +260,33 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY comp DESC, tim
 top AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, rank)::INT AS sequence_order FROM rk WHERE rank <= 20)"""
 
 
+@_query(f"""j AS (SELECT case_id, sighting_id, theft_latitude AS lat1, theft_longitude AS lon1, k.latitude AS lat2, k.longitude AS lon2, theft_datetime AS t1, timestamp AS t2 FROM v_cases CROSS JOIN v_sightings s LEFT JOIN v_cameras k ON k.id = s.camera_id),
+g AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM j)
+--- SELECT case_id, count(*) AS reachable, sum(sighting_id)::BIGINT AS id_sum, min(sighting_id) AS least_id FROM g WHERE lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600) GROUP BY case_id""")
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Per case the sightings that can be reached from the theft, counted and summed by their ids."""
+    c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    pairs = ranking.candidate_pairs(v.cases(spark, d).select("case_id", "theft_datetime", "theft_latitude", "theft_longitude"), v.sightings(spark, d).join(c, "camera_id", "left").select("sighting_id", "timestamp", "latitude", "longitude"))
+    return pairs.groupBy("case_id").agg(F.count(F.lit(1)).alias("reachable"), F.sum("sighting_id").alias("id_sum"), F.min("sighting_id").alias("least_id"))
+
+
+PREFIX_SQL = "contains(plate_text, regexp_replace(upper(reported_plate), '[^A-Z0-9]', '', 'g')[1:6])"
+
+
+@_query(f"SELECT DISTINCT reported_plate, plate_text FROM v_cases, v_sightings WHERE plate_text IS NOT NULL AND {PREFIX_SQL}")
+def holding_plates(spark: SparkSession, d: str) -> DataFrame:
+    """Plates that hold the first six characters of a reported one, through an index of their n-grams."""
+    pairs = plate_joins.holding_plates(v.cases(spark, d).select(F.col("reported_plate").alias("_r")), v.sightings(spark, d).select(F.col("plate_text").alias("_p")))
+    return pairs.select(F.col("_r").alias("reported_plate"), F.col("_p").alias("plate_text"))
+
+
+@_query(f"{SIM_SQL} --- SELECT x AS reported_plate, y AS plate_text, similarity FROM sim WHERE similarity >= 0.8", recursive=True)
+def near_plates(spark: SparkSession, d: str) -> DataFrame:
+    """Plates with a similarity of 0.8 or more to a reported one, through shared segments."""
+    pairs = plate_joins.near_plates(v.cases(spark, d).select(F.col("reported_plate").alias("_r")), v.sightings(spark, d).select(F.col("plate_text").alias("_p")), 0.8)
+    return pairs.select(F.col("_r").alias("reported_plate"), F.col("_p").alias("plate_text"), F.col("plate_sim").alias("similarity"))
+
+
 @_query(f"{RANKED_SQL} --- SELECT case_id, sighting_id, rank::INT AS rank, sequence_order, comp AS score, round(pl, 4) AS plate_score, visual AS visual_score, round(0.5 * ty + 0.5 * co, 4) AS attribute_score, 1.0::DOUBLE AS spatio_temporal_score, NOT sure AS plate_occluded FROM top", recursive=True)
 def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d)
