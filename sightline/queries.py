@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import boxes, geo, plates, scoring
@@ -12,7 +13,9 @@ from sightline.functions.integrity import ADMISSIBILITY, AFFIRMATION, ALGORITHM,
 from sightline.operators import detections as det
 from sightline.operators import evidence, filters, joins, mutations, plate_joins, ranking, rollups, routes
 from sightline.plans import views as v
-from sightline.plans.streams import replayed, replayed_batches
+from sightline.plans.streams import replayed, replayed_batches, replayed_in_turns
+from sightline.sources.tables import MergedTable
+from sightline.storage import shared_dir
 from sightline.streaming import sightings as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,14 +570,69 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, v.sightings(spark, d).select("camera_id", "timestamp"), lambda x: st.camera_counts_windowed(x, "1 day", "40 days"), "complete")
 
 
-@_query(f"""w AS (SELECT plate_text, sighting_id, timestamp AS t2, latitude AS lat2, longitude AS lon2, lag(sighting_id) OVER x AS prev_id, lag(timestamp) OVER x AS t1, lag(latitude) OVER x AS lat1, lag(longitude) OVER x AS lon1
-  FROM v_sightings JOIN v_cameras c ON c.id = camera_id WHERE plate_text IS NOT NULL WINDOW x AS (PARTITION BY plate_text ORDER BY timestamp, sighting_id)),
-k AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM w WHERE prev_id IS NOT NULL)
+# rows arrive in turns of a week; after each turn the watermark stands some time behind the latest row that has arrived
+TURNS, WEEK_US = 5, 7 * 86_400_000_000
+TURN_SQL = f"least((epoch_us(timestamp) - epoch_us(TIMESTAMP '2024-01-01')) // {WEEK_US}, {TURNS - 1})"
+
+
+def _turn() -> Column:
+    weeks = F.floor((F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / WEEK_US)
+    return F.greatest(F.lit(0), F.least(weeks, F.lit(TURNS - 1))).cast("int")
+
+
+def _latecomers() -> Column:
+    """One in 13 sightings arrives a turn late, and one in 169 two."""
+    i = F.col("sighting_id")
+    return F.least(F.lit(TURNS - 1), _turn() + F.when(i % 169 == 0, 2).when(i % 13 == 0, 1).otherwise(0))
+
+
+LATE_SQL = f"""
+arrived AS (SELECT *, least({TURNS - 1}, {TURN_SQL} + CASE WHEN sighting_id % 169 = 0 THEN 2 WHEN sighting_id % 13 = 0 THEN 1 ELSE 0 END) AS turn FROM v_sightings),
+marks AS (SELECT turn, max(max(timestamp)) OVER (ORDER BY turn) - INTERVAL 6 HOUR AS mark FROM arrived GROUP BY turn),
+judged AS (SELECT a.*, date_trunc('day', timestamp) AS start, coalesce(date_trunc('day', timestamp) + INTERVAL 1 DAY <= mark, false) AS late FROM arrived a LEFT JOIN marks m ON m.turn = a.turn - 1)"""
+
+
+@_query(f"{LATE_SQL} --- SELECT start, camera_id, count(*) AS detections FROM judged WHERE NOT late AND start + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks) GROUP BY ALL")
+def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts of rows that arrive in turns: a day is given once the watermark has passed it, and rows that come after that are dropped."""
+    s = v.sightings(spark, d).select("sighting_id", "camera_id", "timestamp")
+    return replayed_in_turns(spark, s, _latecomers(), TURNS, lambda x: st.camera_counts_windowed(x, "1 day", "6 hours"))
+
+
+IDLE = "3 days"
+
+
+@_query(f"""a AS (SELECT plate_text, sighting_id, timestamp, latitude, longitude, {TURN_SQL} AS turn FROM v_sightings JOIN v_cameras c ON c.id = camera_id WHERE plate_text IS NOT NULL),
+marks AS (SELECT turn, max(max(timestamp)) OVER (ORDER BY turn) - INTERVAL 1 HOUR AS mark FROM a GROUP BY turn),
+w AS (SELECT plate_text, sighting_id, turn, timestamp AS t2, latitude AS lat2, longitude AS lon2, lag(sighting_id) OVER x AS prev_id, lag(turn) OVER x AS prev_turn, lag(timestamp) OVER x AS t1, lag(latitude) OVER x AS lat1, lag(longitude) OVER x AS lon1
+  FROM a WINDOW x AS (PARTITION BY plate_text ORDER BY timestamp, sighting_id)),
+k AS (SELECT w.*, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM w LEFT JOIN marks m ON m.turn = w.turn - 1 WHERE prev_id IS NOT NULL AND (prev_turn = w.turn OR date_trunc('milliseconds', t1) + INTERVAL {IDLE} > mark))
 --- SELECT plate_text, prev_id, sighting_id, km, dt, CASE WHEN dt = 0 THEN CASE WHEN km <= 0.05 THEN 0 ELSE 'Infinity'::DOUBLE END ELSE round(km / (dt / 3600), 2) END AS speed, CASE WHEN dt = 0 THEN km <= 0.05 ELSE km / (dt / 3600) <= 120 END AS feasible FROM k""")
 def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Moves of plates over several turns: plates that were idle for three days by the watermark start anew, others go on."""
     c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
     s = v.sightings(spark, d).join(c, "camera_id").select("sighting_id", "timestamp", "plate_text", "latitude", "longitude")
-    return replayed(spark, s, lambda x: st.plate_transition_state(x, None), rocksdb=True)
+    return replayed_in_turns(spark, s, _turn(), TURNS, lambda x: st.plate_transition_state(x, IDLE), rocksdb=True)
+
+
+@_query("""SELECT sighting_id, camera_id, timestamp, plate_text, CASE WHEN sighting_id % 5 = 0 THEN 0.5::DOUBLE WHEN sighting_id % 4 = 0 THEN 0.99::DOUBLE ELSE plate_confidence END AS plate_confidence
+FROM v_sightings WHERE sighting_id % 3 <> 0 OR sighting_id % 4 = 0 OR sighting_id % 5 = 0""")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Three micro-batches upserted into a table by day; the second fails before its commit, and all of them come twice."""
+    i = F.col("sighting_id")
+    s = v.sightings(spark, d).select("sighting_id", "camera_id", "timestamp", "plate_text", "plate_confidence").withColumn("day", F.to_date("timestamp"))
+    turns = s.filter(i % 3 != 0).withColumn("turn", F.lit(0)).unionByName(s.filter(i % 4 == 0).withColumns({"plate_confidence": F.lit(0.99), "turn": F.lit(1)})).unionByName(s.filter(i % 5 == 0).withColumns({"plate_confidence": F.lit(0.5), "turn": F.lit(2)}))
+    table = MergedTable(spark, f"{shared_dir(spark)}/sightings-{uuid.uuid4().hex}", "sighting_id long, camera_id string, timestamp timestamp_ntz, plate_text string, plate_confidence double, day date", "day")
+    sink = st.upsert_sink(table, mutations.upsert_sightings)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        if number == 1:
+            table.merge(batch, number, mutations.upsert_sightings, commit=False)
+        sink(batch, number)
+        sink(batch, number)
+
+    replayed_in_turns(spark, turns, F.col("turn"), 3, lambda x: x.drop("turn"), sink=twice)
+    return table.read().drop("day")
 
 
 @_query(f"{SCORED_SQL}, km AS (SELECT *, {KM_SQL} AS km, round({SECONDS_SQL}, 2) AS dt FROM z JOIN (SELECT case_id, status FROM v_cases) USING (case_id)) --- SELECT case_id, sighting_id, comp AS composite_score FROM km WHERE status IN ('open', 'tracking') AND comp >= 0.65 AND (lat2 IS NULL OR NOT (dt > 0 AND km / (dt / 3600) > 120 OR dt < -3600))", recursive=True)
