@@ -53,14 +53,15 @@ def maximal(hashed: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, n_snapshots, chat.
 
-    The conversation is the unit of training and is rendered as one text, so its turns meet in one row. An empty
-    table gives an empty result; extra columns are ignored.
+    The conversation is the unit of training and is rendered as one text, so its turns meet in one row, whatever the
+    length of their texts. Null ids are one conversation, apart from that of empty ids; repeated rows are one turn; null roles and texts are
+    empty. Turns with equal numbers follow each other by the hash of role and text. An empty table gives an empty result; extra columns are ignored.
     """
-    kept = maximal(written(prefix_hashes(turns), "op4-hashes"))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
-    body = _clean(turns).select(key("conv_id"), "conv_id", F.struct("turn", _content("a").alias("a"), _content("b").alias("b"), "role", "text").alias("t"))
-    joined = body.join(kept.select(key("conv_id"), "n_snapshots"), "key")
-    chats = joined.groupBy("key", "conv_id", "n_snapshots").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
+    kept = maximal(written(prefix_hashes(turns), "op4-hashes")).withColumnRenamed("conv_id", "_kept")
+    body = _clean(turns).select("conv_id", F.struct("turn", _content("a").alias("a"), _content("b").alias("b"), "role", "text").alias("t"))
+    # a null id is an id of its own, and another than an empty one
+    joined = body.join(kept, F.col("conv_id").eqNullSafe(F.col("_kept")))
+    chats = joined.groupBy("conv_id", "n_snapshots").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
     piece = F.transform("t", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE)))
     return chats.select("conv_id", F.size("t").cast("long").alias("n_turns"), "n_snapshots", F.array_join(piece, "").alias("chat"))
 

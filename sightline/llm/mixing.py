@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import word_count, written
 
 SEED = "mix-1"
+#: Parts in which equal rows are numbered.
+TIE_PARTS = 1024
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size", cap: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -64,10 +66,10 @@ def _ends(upto: Column, n: Column, quota: Column, at: Column, name: str) -> list
 
 
 def _cuts(sizes: DataFrame, counts: DataFrame, rates: DataFrame) -> DataFrame:
-    """source, class, source_size, target, rate, last_cell, part_cell, last_mark, part_mark, part_share.
+    """source, class, source_size, target, rate, last_cell, part_cell, last_mark, part_mark, part_need.
 
     Documents of a class with a cell up to last_cell get the extra copy; of those in part_cell the ones with a mark up
-    to last_mark; and of the rows with part_mark, which are equal, a share. counts has n, the rows of each source, class
+    to last_mark; and of the rows with part_mark, which are equal, part_need. counts has n, the rows of each source, class
     and cell. There are 2 ** 16 cells, so a group that is ordered has at most as many rows, whatever the rows of a
     source; marks are ordered within one cell of a class.
     """
@@ -84,10 +86,9 @@ def _cuts(sizes: DataFrame, counts: DataFrame, rates: DataFrame) -> DataFrame:
     open_cells = by_cell.filter("part_cell >= 0").select("_source", "_class", "part_cell", "need_cell")
     marks = sizes.join(open_cells, own & (F.col("cell") == F.col("part_cell"))).groupBy("_source", "_class", "need_cell", "mark").agg(F.count(F.lit(1)).alias("n"))
     marks = marks.withColumn("upto", F.sum("n").over(W.partitionBy("_source", "_class").orderBy("mark").rowsBetween(W.unboundedPreceding, 0)))
-    share = F.max(F.when(F.col("upto") > F.col("need_cell"), F.col("need_cell") - (F.col("upto") - F.col("n"))) / F.col("n"))
-    by_mark = marks.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class")).agg(*_ends(F.col("upto"), F.col("n"), F.col("need_cell"), F.col("mark"), "mark")[:2], F.greatest(share, F.lit(0.0)).alias("part_share"))
+    by_mark = marks.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class")).agg(*_ends(F.col("upto"), F.col("n"), F.col("need_cell"), F.col("mark"), "mark"))
     joined = by_cell.join(by_mark, own, "left").drop("source", "class")
-    return joined.select(F.col("_source").alias("source"), F.col("_class").alias("class"), "source_size", "target", "rate", "last_cell", "part_cell", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("last_mark", "part_mark")], F.coalesce("part_share", F.lit(0.0)).alias("part_share"))
+    return joined.select(F.col("_source").alias("source"), F.col("_class").alias("class"), "source_size", "target", "rate", "last_cell", "part_cell", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("last_mark", "part_mark")], F.coalesce("need_mark", F.lit(0)).alias("part_need"))
 
 
 def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -95,8 +96,8 @@ def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
 
     Null texts and texts without words have size 0. A source without words has target 0 and is not taken; in a source
     with a rate of r, documents of size 0 are taken like any other. Who is drawn depends on id and text alone, however
-    rows are partitioned; only rows that are equal in both, where a quota ends in them, draw by their places in the
-    input. Extra columns stay, those with names of the result excepted. An empty table gives an empty result.
+    rows are partitioned; of rows that are equal in both, where a quota ends in them, as many are taken as it needs. A
+    text of any length is one document, as its size alone matters. Extra columns stay, those with names of the result excepted. An empty table gives an empty result.
     """
     others = F.struct(*docs.drop("size", "source_size", "target", "copies").columns).alias("_row")
     own = docs.select(others, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
@@ -112,10 +113,29 @@ def copies(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     # rows of one source may be a third of all, so the table of classes goes to the rows where it is small
     # (Spark decides by the size of its files), and otherwise an adaptive join splits the hot side
     joined = own.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left").drop("_source", "_class")
-    drawn = F.pmod(F.xxhash64("cell", "_place"), F.lit(1 << 20)) < F.col("part_share") * F.lit(float(1 << 20))
-    in_cell = (F.col("mark") <= F.col("last_mark")) | ((F.col("mark") == F.col("part_mark")) & drawn)
-    extra = F.when(F.col("cell") <= F.col("last_cell"), 1).when((F.col("cell") == F.col("part_cell")) & in_cell, 1).otherwise(0)
-    return joined.select("_row.*", "size", "source_size", "target", (F.floor("rate") + extra).cast("int").alias("copies"))
+    tied = F.coalesce((F.col("cell") == F.col("part_cell")) & (F.col("mark") == F.col("part_mark")), F.lit(False))
+    in_cell = (F.col("cell") == F.col("part_cell")) & (F.col("mark") <= F.col("last_mark"))
+    extra = F.when((F.col("cell") <= F.col("last_cell")) | in_cell, 1).otherwise(0)
+    result = lambda rows, more: rows.select("_row.*", "size", "source_size", "target", (F.floor("rate") + more).cast("int").alias("copies"))
+    if cuts.filter("part_need > 0").isEmpty():
+        return result(joined, extra)
+    return result(joined.filter(~tied), extra).unionByName(result(_taken(joined.filter(tied)), F.col("_extra")))
+
+
+def _taken(tied: DataFrame) -> DataFrame:
+    """Equal rows in which quotas end, with _extra, 1 for part_need rows of each source and class.
+
+    Rows are numbered in parts, one after the other, so that no task numbers all; they are written first, as their parts must not change.
+    """
+    group = ["source", "class"]
+    rows = written(tied.withColumn("_part", F.pmod(F.xxhash64("_place"), F.lit(TIE_PARTS)).cast("int")), "op9-tied")
+    counts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("source").alias("_source"), F.col("class").alias("_class"), F.col("_part").alias("_at"), before.alias("_before"))
+    own = F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("_part") == F.col("_at"))
+    nth = F.row_number().over(W.partitionBy(*group, "_part").orderBy("_place"))
+    numbered = rows.withColumn("_nth", nth).join(starts, own)
+    return numbered.withColumn("_extra", F.when(F.col("_before") + F.col("_nth") <= F.col("part_need"), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:

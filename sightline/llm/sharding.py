@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-Records hash into thousands of slots, bytes are summed per slot, and a versioned map names the shard of each slot.
+Records hash into thousands of slots, bytes are summed per slot, and a versioned map names the shard of each slot. Rows that are
+repeated hash with a number of their own, so that no slot is as heavy as a row that comes a million times.
 A rebalance writes a new version that edits as few entries as it can; no record is hashed anew.
 """
 
@@ -17,20 +18,36 @@ from sightline.llm.common import shared_dir, written
 
 #: The number of virtual slots never changes in the life of a dataset.
 SLOTS = 8192
-#: Parts of a slot, so that no task numbers all rows of a slot that one repeated row fills.
+#: Parts of a slot, so that no task numbers all rows of a slot.
 PARTS = 16
+#: Parts in which repeated rows are numbered, so that no task numbers all repeats of a row.
+REPEAT_PARTS = 4096
 OVERHEAD = 16
 
 
-def virtual_slot(doc_id: Column, text_crc32: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record; a null id counts as a value."""
-    return F.pmod(F.xxhash64(F.lit("slot"), doc_id, text_crc32), F.lit(slots)).cast("int")
+def virtual_slot(doc_id: Column, text_crc32: Column, slots: int = SLOTS, repeat: Column | None = None) -> Column:
+    """The slot of a record; a null id counts as a value, and so does the number of a repeated row, null for others."""
+    return F.pmod(F.xxhash64(F.lit("slot"), doc_id, text_crc32, *([] if repeat is None else [repeat])), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of each record; a null text has no bytes and the checksum of an empty one."""
+    """doc_id, size, text_crc32, vslot of each record; a null text has no bytes and the checksum of an empty one.
+
+    Rows that are equal in doc_id, size and checksum are numbered, each part of them apart, and spread over the slots by their
+    numbers. A row that comes once has the same slot in every run.
+    """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32")).withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots))
+    row = ["doc_id", "size", "text_crc32"]
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(REPEAT_PARTS)).alias("part")
+    # written once, as the numbers of rows must not be dealt anew
+    rows = written(docs.select("doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), part), "op3-sizes")
+    repeated = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in row], F.lit(True).alias("_repeated"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32"))
+    # a repeated row may be a third of all rows; an adaptive join splits it where the repeated ones are too many to send everywhere
+    marked = rows.join(repeated, same, "left").select(*row, "part", "_repeated")
+    number = F.row_number().over(W.partitionBy(*row, "part").orderBy(F.lit(1)))
+    numbered = marked.withColumn("repeat", F.when(F.col("_repeated"), (number - 1) * REPEAT_PARTS + F.col("part")))
+    return numbered.select(*row, virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots, F.col("repeat")).alias("vslot"))
 
 
 def slot_bytes(records: DataFrame) -> dict[int, int]:
@@ -116,8 +133,9 @@ def assign(docs: DataFrame, shards: int = 40, path: str | None = None, slots: in
     """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
     The law is ``bytes``. ``slot`` numbers the records of a shard from 0 without gaps: virtual slots follow each other
-    in the shard, and so do the parts of a slot. Repeated rows are records of their own; an empty table gives an
-    empty result. A map under ``path`` is edited and stored as the next version;
+    in the shard, and so do the parts of a slot. Repeated rows are records of their own and spread over the slots, so
+    sizes stay near equal whatever rows repeat; a null text counts ``OVERHEAD`` bytes; a text of any length is one
+    record, and sizes differ by the longest at most; an empty table gives an empty result; other columns are ignored. A map under ``path`` is edited and stored as the next version;
     where there is none, or no path is given, a new one is stored as version 1 (in the shared folder unless given).
     """
     spark = docs.sparkSession

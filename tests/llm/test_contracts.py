@@ -136,3 +136,30 @@ def test_a_stored_map_is_not_overwritten(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         sharding.save_map(spark, [1, 0], 1, path)
     assert sharding.load_map(spark, 1, path).filter(F.col("vslot") == 0).first().owner == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_a_third_of_equal_rows_spreads_over_shards_and_meets_targets(spark, parts):
+    rows = [(1, "w w w", "a")] * 1000 + [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(2, 2002)] + [(None, None, "b")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    out = sharding.assign(df, 40).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(loads) == 40 and loads.max() - loads.min() <= 2 * out["size"].max()
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    drawn = Counter(map(tuple, mixing.report(df).collect()))
+    again = Counter(map(tuple, mixing.report(spark.createDataFrame(rows, df.schema).repartition(5)).collect()))
+    assert drawn == again and sum(drawn.values()) == len(rows)
+
+
+def test_rows_that_come_once_keep_their_slots(spark):
+    rows = [(i, f"t{i}") for i in range(300)]
+    one, other = ({r.doc_id: r.vslot for r in sharding.sized(spark.createDataFrame(x, "doc_id long, text string").repartition(n)).filter("doc_id < 300").collect()} for x, n in ((rows, 1), ([*rows, (900, "u"), (900, "u")], 6)))
+    assert one == other
+
+
+def test_chat_keeps_null_and_empty_ids_apart(spark):
+    turns = [("", 0, "user", "a"), ("", 1, "assistant", "b"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), ("x", 0, "user", "a")]
+    got = chat.render(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.n_snapshots) for r in got] == [("", 2, 2)]
+    other = chat.render(spark.createDataFrame([*turns, (None, 2, "user", "c")], "conv_id string, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.n_snapshots) for r in other] == [(None, 3, 1)]
