@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit per dimension, set where the value is over 0. Codes are cut into segments of about log2 of the
-number of codes, so that a segment value has about one code, and an index maps (segment, value) to the codes. A query
-probes its own segment values, then all values one bit away, then two bits, and so on. With radius r every code within
-Hamming distance m * (r + 1) - 1 is met, as it differs by at most r bits in one of its m segments. A query is done
-when its k-th distance lies within that, and at the latest when the radius is the width of a segment and all are met.
+A vector's code has a bit per dimension, set where the value is over 0. Codes are cut into m segments, and an index maps
+(segment, value) to the codes. A query probes its own segment values, then all values one bit away, then two bits, and
+so on, segment by segment. When a segments have been searched to radius r and the others to r - 1, every code within
+Hamming distance m * r + a - 1 has been met, as one farther in all segments differs by more. A query searches as many
+segments as its k-th distance so far needs, and is done when that is covered, at the latest when the radius is the width
+of a segment and all codes are met.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ class Segment(NamedTuple):
 
 
 def segments_of(dims: int, n: int) -> list[Segment]:
-    """Segments of codes of ``dims`` bits, each about log2(n) wide."""
-    wide = max(1.0, log2(max(2, n)))
+    """Segments of codes of ``dims`` bits for n codes: about four codes to a value, as a probe costs about what a few codes do."""
+    wide = max(1.0, log2(max(2, n)) - 2)
     out = []
     for word in range(-(-dims // WORD)):
         used = min(WORD, dims - word * WORD)
@@ -70,7 +71,8 @@ def _least(rows: DataFrame, k: int, *keys: str, by: list[str]) -> DataFrame:
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """The rows of ``top_k`` with ``radius``, the one that covered the query's k-th distance, and ``width``, of the widest segment."""
+    """The rows of ``top_k`` with ``radius``, to which the query searched, ``covered``, the distance that this covers, and
+    ``width``, of the widest segment."""
     spark = vectors.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dims = max(1, vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)
@@ -84,7 +86,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     width = max(s.width for s in segments)
     values = lambda c: F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(s.width).alias("width"), _value(c, s).alias("value")) for i, s in enumerate(segments)])
     index = written(codes.select("code", F.explode(values(F.col("code"))).alias("s")).select("code", "s.segment", "s.value"), "op8-index")
-    asked = written(coded.filter(F.col("vec_id") % every == 0).select(F.col("code").alias("query")).distinct(), "op8-queries")
+    m = len(segments)
+    asked = written(coded.filter(F.col("vec_id") % every == 0).select(F.col("code").alias("query")).distinct().withColumn("need", F.lit(m)), "op8-queries")
     # dealt before the probes are made, as each query makes many
     probes = asked.repartition(tasks, "query").select("query", F.explode(values(F.col("query"))).alias("s")).select("query", F.col("s.segment").alias("at"), F.col("s.width").alias("width"), F.col("s.value").alias("probe"), F.lit(0).alias("low"))
     apart = [F.bit_count(_value(F.col("query"), s).bitwiseXOR(_value(F.col("code"), s))) for s in segments]
@@ -92,26 +95,31 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     for radius in range(width + 1):
         if radius:
             # a probe flips one bit more, above those that it has flipped
-            left = probes.join(asked, "query", "left_semi").filter("low < width")
+            left = probes.join(asked, "query").filter("low < width and at < need")
             more = left.select("query", "at", "width", "probe", F.explode(F.sequence(F.col("low"), F.col("width") - 1)).alias("bit"))
             probes = more.select("query", "at", "width", F.col("probe").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("probe"), (F.col("bit") + 1).alias("low"))
         probes = written(probes, f"op8-probes{radius}")
         # a code is met at the least difference of its segments, in the first segment that has it: once for each query
         first = reduce(and_, [(a > radius) | ((a == radius) & (F.col("at") <= i)) for i, a in enumerate(apart)])
         met = probes.join(index, (F.col("at") == F.col("segment")) & (F.col("probe") == F.col("value"))).filter(first)
-        rows = met.select("query", "code", _distance(F.col("query"), F.col("code"), words).alias("distance")).join(entries.select("code", "vec_id"), "code").select("query", "vec_id", "distance")
+        met = met.select("query", "code", _distance(F.col("query"), F.col("code"), words).alias("distance"))
+        # every code has a row, so codes beyond the k-th distance are out before ids are joined; ties stay, as they may hold lesser ids
+        met = met.withColumn("rank", F.rank().over(W.partitionBy("query").orderBy("distance"))).filter(F.col("rank") <= k).drop("rank")
+        rows = met.join(entries.select("code", "vec_id"), "code").select("query", "vec_id", "distance")
         if found is not None:
             rows = rows.unionByName(found.select("query", "vec_id", "distance").join(asked, "query", "left_semi"))
         found = written(_least(rows, k, "query", by=["distance", "vec_id"]), f"op8-found{radius}")
-        covered = len(segments) * (radius + 1) - 1
-        ended = found.filter((F.col("rank") == k) & (F.col("distance") <= covered)).select("query") if radius < width else asked
-        now = found.join(ended, "query", "left_semi").withColumn("radius", F.lit(radius))
+        kth = found.filter(F.col("rank") == k).select("query", F.col("distance").alias("kth"))
+        judged = asked.join(kth, "query", "left").withColumn("covered", m * radius + F.col("need") - 1)
+        ended = (F.col("kth") <= F.col("covered")) if radius < width else F.lit(True)
+        now = found.join(judged.filter(ended).select("query", "covered"), "query").withColumn("radius", F.lit(radius))
         done = now if done is None else done.unionByName(now)
-        asked = written(asked.join(ended, "query", "left_anti"), f"op8-left{radius}")
+        need = F.least(F.lit(m), F.coalesce(F.col("kth") - m * (radius + 1) + 1, F.lit(m))).alias("need")
+        asked = written(judged.filter(~F.coalesce(ended, F.lit(False))).select("query", need), f"op8-left{radius}")
         if asked.isEmpty():
             break
     queries = coded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("code").alias("query"))
-    return queries.join(done, "query").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"), "radius", F.lit(width).alias("width"))
+    return queries.join(done, "query").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"), "radius", "covered", F.lit(width).alias("width"))
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
