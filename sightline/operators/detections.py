@@ -18,10 +18,15 @@ def frame_association(d: DataFrame) -> DataFrame:
     Pairs are made once, and only those that overlap enough. All windows are within a camera and frame, as the join
     is, so they need no further shuffle.
     """
+    return _associated(d, d, 1)
+
+
+def _associated(d: DataFrame, before: DataFrame, gap: int) -> DataFrame:
+    """Links of detections with those of ``before`` that lie ``gap`` frames back."""
     frame = ["camera_id", "frame_idx"]
     corners = lambda b, p: [F.col(b)[i].alias(f"{p}{i}") for i in range(4)]
     now = d.filter("confidence >= 0.1").select(*frame, "det_id", (F.col("confidence") >= 0.5).alias("sure"), *corners("bbox", "a"))
-    prev = d.select("camera_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners("bbox", "b"))
+    prev = before.select("camera_id", (F.col("frame_idx") + gap).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners("bbox", "b"))
     overlap = iou([F.col(f"a{i}") for i in range(4)], [F.col(f"b{i}") for i in range(4)])
     pairs = now.join(prev, frame).withColumn("overlap", overlap).filter(F.col("overlap") >= F.when(F.col("sure"), 0.30).otherwise(0.15))
     pairs = pairs.select(*frame, "det_id", "prev_id", "sure", "overlap")
@@ -36,6 +41,32 @@ def frame_association(d: DataFrame) -> DataFrame:
     return second.select(*frame, "det_id", "prev_id", F.round("overlap", 4).alias("overlap"), "stage")
 
 
+def association_over_gaps(d: DataFrame, max_age: int = 30) -> DataFrame:
+    """Links as of ``frame_association``, and over up to ``max_age`` frames where a vehicle was missed, with their ``gap``.
+
+    Gaps are joined in rounds, the nearest first: each round links detections that have no earlier one yet with the last
+    ones of tracks so far, by the same two stages. A track goes on from sure detections and from linked ones. What a round
+    reads are the detections that the rounds before have left.
+    """
+    links = written(frame_association(d).withColumn("gap", F.lit(1)), "links1")
+    key = ["camera_id", "det_id"]
+    for gap in range(2, max_age + 1):
+        followed = links.select("camera_id", F.col("prev_id").alias("det_id"))
+        ends = d.join(followed, key, "left_anti").join(links.select(*key, F.lit(True).alias("_linked")), key, "left").filter("confidence >= 0.5 or _linked")
+        more = written(_associated(d.join(links.select(*key), key, "left_anti"), ends, gap).withColumn("gap", F.lit(gap)), f"links{gap}")
+        links = links.unionByName(more)
+    return links
+
+
+def tracks(d: DataFrame, max_age: int = 30) -> DataFrame:
+    """Summaries of tracks from detections: association over gaps, chains of links, then the summary of each chain.
+
+    d has quality. A track whose vehicle is missed for more than ``max_age`` frames ends, and a later one is a new track.
+    """
+    named = chained_tracks(association_over_gaps(d, max_age), d)
+    return track_summary(d.drop("track_id").join(named.withColumnRenamed("track", "track_id"), ["camera_id", "det_id"]))
+
+
 def chained_tracks(links: DataFrame, d: DataFrame) -> DataFrame:
     """camera_id, det_id, track: detections of frames that follow each other, chained by their links to the first one.
 
@@ -43,13 +74,13 @@ def chained_tracks(links: DataFrame, d: DataFrame) -> DataFrame:
     do linked ones with none before. Heads are found by doubling: each round a detection takes over the head of its
     head, so a chain of n links takes about log2(n) rounds of one join.
     """
-    heads, turn = written(links.select("camera_id", "det_id", F.col("prev_id").alias("track")), "tracks"), 0
-    while True:
+    heads, turn, moving = written(links.select("camera_id", "det_id", F.col("prev_id").alias("track")), "tracks"), 0, True
+    while moving:
         up = heads.select("camera_id", F.col("det_id").alias("track"), F.col("track").alias("_up"))
-        moved = heads.join(up, ["camera_id", "track"], "left")
-        if moved.filter("_up is not null").isEmpty():
-            break
-        heads, turn = written(moved.select("camera_id", "det_id", F.coalesce("_up", "track").alias("track")), f"tracks{turn}"), turn + 1
+        # written before it is asked whether anything moved, so a round is computed once
+        moved = written(heads.join(up, ["camera_id", "track"], "left").select("camera_id", "det_id", F.coalesce("_up", "track").alias("track"), F.col("_up").isNotNull().alias("_moved")), f"tracks{turn}")
+        moving, turn = not moved.filter("_moved").isEmpty(), turn + 1
+        heads = moved.drop("_moved")
     starts = heads.select("camera_id", F.col("track").alias("det_id")).unionByName(d.filter("confidence >= 0.5").select("camera_id", "det_id")).distinct().join(heads, ["camera_id", "det_id"], "left_anti")
     return heads.select("camera_id", "det_id", "track").unionByName(starts.select("camera_id", "det_id", F.col("det_id").alias("track")))
 

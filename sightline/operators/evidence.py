@@ -40,6 +40,48 @@ def evidence_dossier(timeline: DataFrame, custody: DataFrame, at: str, **officer
     return _rooted(timeline, custody).join(trail, "case_id", "left").withColumn("certificate", certificate).withColumn("exported_at", iso(when))
 
 
+def evidence_blocks(timeline: DataFrame) -> DataFrame:
+    """One row per case and day of its sightings: case_id, fir_number, block, n_items, first_seen, last_seen, items, block_hash.
+
+    A block's hash is of its digests in order of time and id, so a case is hashed in blocks of a day and no row holds
+    all of it.
+    """
+    digest = sighting_digest(F.col("sha256_hash"), F.col("sighting_id"), F.col("timestamp"))
+    item = F.struct("timestamp", "sighting_id", "camera_id", "camera_name", "plate_text", "composite_score", "verification_status", digest.alias("sha256"))
+    blocks = timeline.groupBy("case_id", "fir_number", F.to_date("timestamp").alias("block")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return blocks.select(
+        "case_id", "fir_number", "block", F.size("items").cast("long").alias("n_items"), F.element_at("items", 1)["timestamp"].alias("first_seen"), F.element_at("items", -1)["timestamp"].alias("last_seen"),
+        "items", F.sha2(F.array_join("items.sha256", ","), 256).alias("block_hash"),
+    )
+
+
+def block_root_hash(timeline: DataFrame, custody: DataFrame) -> DataFrame:
+    """Per case the digest over its block hashes: case_id, n_blocks, n_items, custody, root_hash.
+
+    The canonical text is "case_id|fir_number|day=hash,day=hash,...|custody", with a place for each day.
+    """
+    n = custody.groupBy("case_id").agg(F.count(F.lit(1)).alias("custody"))
+    days = evidence_blocks(timeline).drop("items").groupBy("case_id", "fir_number").agg(F.array_sort(F.collect_list(F.concat_ws("=", F.col("block").cast("string"), "block_hash"))).alias("days"), F.sum("n_items").alias("n_items"))
+    rows = days.join(n, "case_id", "left").withColumn("custody", F.coalesce("custody", F.lit(0)))
+    canonical = F.concat_ws("|", F.col("case_id").cast("string"), "fir_number", F.array_join("days", ","), F.col("custody").cast("string"))
+    return rows.select("case_id", F.size("days").cast("long").alias("n_blocks"), "n_items", "custody", F.sha2(canonical, 256).alias("root_hash"))
+
+
+def dossier_blocks(timeline: DataFrame, custody: DataFrame, at: str, **officer: str) -> DataFrame:
+    """A dossier as rows: per case one of section ``certificate``, one of ``timeline`` for each day, and one of ``custody``
+    (100 audit rows at most), each with its block, number of items, digest and body as JSON."""
+    when = F.lit(at).cast("timestamp_ntz")
+    root = block_root_hash(timeline, custody)
+    firs = timeline.select("case_id", "fir_number").distinct()
+    certificate = certificate_fields(F.col("case_id"), F.col("fir_number"), F.col("root_hash"), when, **officer)
+    row = lambda section, block, n, digest, body: [F.col("case_id"), F.lit(section).alias("section"), block.alias("block"), n.cast("long").alias("n_items"), digest.alias("digest"), body.alias("body")]
+    head = root.join(firs, "case_id").select(*row("certificate", F.lit(None).cast("date"), F.lit(1), F.col("root_hash"), F.to_json(certificate)))
+    days = evidence_blocks(timeline).select(*row("timeline", F.col("block"), F.col("n_items"), F.col("block_hash"), F.to_json("items")))
+    trail = custody.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "audit_id", "action", "user_badge_id"))).alias("trail"))
+    body = F.to_json("trail")
+    return head.unionByName(days).unionByName(trail.select(*row("custody", F.lit(None).cast("date"), F.size("trail"), F.sha2(body, 256), body)))
+
+
 def verify_evidence(files: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored items (path, expected) against files (path, content): ok, mismatch or missing."""
     joined = stored.join(files, "path", "left")

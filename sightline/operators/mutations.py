@@ -80,14 +80,24 @@ def apply_case_status(cases: DataFrame, updates: DataFrame, verified: DataFrame
     return out.withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
-def register_cases(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incoming cases that are new, and the current ones that others name again."""
-    return new_rows_only(incoming.dropDuplicates(["fir_number"]), current, ["fir_number"]), current.join(incoming.select("fir_number"), "fir_number", "left_semi")
+def _first_of(incoming: DataFrame, key: str, order: list[str] | None) -> DataFrame:
+    """Rows with _nth, their place among those of one key: by ``order``, then by all columns, so that it is fixed."""
+    names = [*(order or []), *(c for c in incoming.columns if c not in (order or []))]
+    return incoming.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(*names)))
 
 
-def register_cameras(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cameras that are accepted, and those rejected as their id exists."""
-    return incoming.join(current, "id", "left_anti"), incoming.join(current, "id", "left_semi")
+def register_cases(current: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Incoming cases that are new, the least by ``order`` of each number, and the current ones that others name again."""
+    first = _first_of(incoming, "fir_number", order).filter("_nth = 1").drop("_nth")
+    return new_rows_only(first, current, ["fir_number"]), current.join(incoming.select("fir_number"), "fir_number", "left_semi")
+
+
+def register_cameras(current: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cameras that are accepted, and error rows with their reason: the id exists, or an earlier row of the batch has it."""
+    known = current.select(F.col("id").alias("_id")).distinct()
+    judged = _first_of(incoming, "id", order).join(known, F.col("id") == F.col("_id"), "left")
+    judged = judged.withColumn("reason", F.when(F.col("_id").isNotNull(), "exists").when(F.col("_nth") > 1, "repeated"))
+    return judged.filter("reason is null").select(*incoming.columns), judged.filter("reason is not null").select(*incoming.columns, "reason")
 
 
 def cascade_delete(s: DataFrame, matches: DataFrame, cameras: DataFrame | None = None, cases: DataFrame | None = None, sightings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import boxes, geo, plates, scoring
 from sightline.functions.integrity import ADMISSIBILITY, AFFIRMATION, ALGORITHM, STATUTE, iso, parse_iso_ts, register_sql_functions, sighting_digest
 from sightline.operators import detections as det
 from sightline.operators import evidence, filters, joins, mutations, plate_joins, ranking, rollups, routes
+from sightline.operators import search as search_op
 from sightline.plans import views as v
 from sightline.plans.streams import replayed, replayed_batches, replayed_in_turns
 from sightline.sources.tables import MergedTable
@@ -479,15 +480,35 @@ def target_split(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT case_id, fir_number, CASE WHEN status = 'closed' THEN 'existing' ELSE 'accepted' END AS outcome FROM v_cases")
 def register_cases(spark: SparkSession, d: str) -> DataFrame:
     c = v.cases(spark, d).select("case_id", "fir_number", "status")
-    new, known = mutations.register_cases(c.filter("status = 'closed'"), c.unionByName(c))
+    new, known = mutations.register_cases(c.filter("status = 'closed'"), c.unionByName(c.withColumn("status", F.lit("zzz"))))
     return new.select("case_id", "fir_number", F.lit("accepted").alias("outcome")).unionByName(known.select("case_id", "fir_number", F.lit("existing").alias("outcome")))
 
 
-@_query("SELECT id, CASE WHEN status = 'active' THEN 'rejected' ELSE 'accepted' END AS outcome FROM v_cameras")
+@_query("SELECT id, name, CASE WHEN status = 'active' THEN 'exists' ELSE 'accepted' END AS outcome FROM v_cameras UNION ALL SELECT id, name || ' again', CASE WHEN status = 'active' THEN 'exists' ELSE 'repeated' END FROM v_cameras WHERE id < 'CAM_010'")
 def register_cameras(spark: SparkSession, d: str) -> DataFrame:
+    """Cameras in a batch with ids that exist, and with ids that come twice."""
     c = v.cameras(spark, d)
-    new, known = mutations.register_cameras(c.filter("status = 'active'").select("id"), c)
-    return new.select("id", F.lit("accepted").alias("outcome")).unionByName(known.select("id", F.lit("rejected").alias("outcome")))
+    twice = c.unionByName(c.filter("id < 'CAM_010'").withColumn("name", F.concat("name", F.lit(" again"))))
+    new, wrong = mutations.register_cameras(c.filter("status = 'active'").select("id"), twice, ["name"])
+    return new.select("id", "name", F.lit("accepted").alias("outcome")).unionByName(wrong.select("id", "name", F.col("reason").alias("outcome")))
+
+
+@_query("""m AS (SELECT case_id, sighting_id FROM v_matches WHERE sighting_id % 3 <> 0),
+told AS (SELECT case_id, CASE WHEN sighting_id % 5 = 0 THEN -sighting_id ELSE sighting_id END AS sighting_id, sighting_id % 7 = 0 AS odd FROM v_matches WHERE sighting_id % 2 = 0)
+--- SELECT case_id, sighting_id, CASE WHEN odd THEN 'status' ELSE 'sighting' END AS outcome, NULL::DOUBLE AS plate_score, NULL::DOUBLE AS composite_score, NULL::VARCHAR AS review_notes FROM told WHERE odd OR sighting_id < 0
+UNION ALL SELECT t.case_id, t.sighting_id, 'created', coalesce(nullif(plate_confidence, 0), 0.90), 0.90::DOUBLE, 'seen' FROM told t JOIN v_sightings s USING (sighting_id) LEFT JOIN m USING (case_id, sighting_id) WHERE NOT odd AND m.case_id IS NULL
+UNION ALL SELECT t.case_id, t.sighting_id, 'updated', 0.1::DOUBLE, 0.2::DOUBLE, 'seen' FROM told t JOIN m USING (case_id, sighting_id) WHERE NOT odd""")
+def verification_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch of decisions did: rejected rows with their reasons, and matches that it created or updated."""
+    pairs = v.matches(spark, d).select("case_id", "sighting_id")
+    known = pairs.filter("sighting_id % 3 != 0").select("*", F.lit(0.2).alias("composite_score"), F.lit("pending").alias("verification_status"), *[F.lit(0.1).alias(c) for c in ("plate_score", "visual_score", "attribute_score")], F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"), F.lit(None).cast("string").alias("review_notes"))
+    i = F.col("sighting_id")
+    told = pairs.filter(i % 2 == 0).select("case_id", F.when(i % 5 == 0, -i).otherwise(i).alias("sighting_id"), F.when(i % 7 == 0, "maybe").otherwise(" VERIFIED ").alias("status"), F.lit("B1").alias("officer_badge_id"), F.lit("seen").alias("notes"), F.lit("2024-02-01").cast("timestamp_ntz").alias("decided_at"))
+    after, rejected = mutations.apply_verifications(known, told, v.sightings(spark, d))
+    before = known.select("case_id", "sighting_id", F.lit(True).alias("_old"))
+    done = after.filter("reviewed_by is not null").join(before, ["case_id", "sighting_id"], "left")
+    none = [F.lit(None).cast("double").alias("plate_score"), F.lit(None).cast("double").alias("composite_score"), F.lit(None).cast("string").alias("review_notes")]
+    return rejected.select("case_id", "sighting_id", F.col("reason").alias("outcome"), *none).unionByName(done.select("case_id", "sighting_id", F.when(F.col("_old"), "updated").otherwise("created").alias("outcome"), "plate_score", "composite_score", "review_notes"))
 
 
 @_query("""SELECT c_custkey AS id, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'theft_location_name' END, CASE WHEN c_acctbal / 100 NOT BETWEEN -90 AND 90 THEN 'theft_latitude' END, CASE WHEN c_acctbal / 10 NOT BETWEEN -180 AND 180 THEN 'theft_longitude' END) AS violations FROM customer""")
@@ -747,3 +768,145 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register_sql_functions(spark)
     c = v.cameras(spark, d)
     return spark.sql("SELECT a.id AS a, b.id AS b, haversine_km(a.latitude, a.longitude, b.latitude, b.longitude) AS km, bearing_deg(a.latitude, a.longitude, b.latitude, b.longitude) AS bearing FROM {c} a CROSS JOIN {c} b", c=c)
+
+
+MAX_AGE = 3
+
+
+def _gap_sql(gap: int) -> str:
+    """Links over ``gap`` frames of what the rounds before have left, as in PAIR_SQL."""
+    before = f"l{gap - 1}"
+    rank = "row_number() OVER (PARTITION BY camera_id, det_id ORDER BY overlap DESC, prev_id) AS a, row_number() OVER (PARTITION BY camera_id, prev_id ORDER BY overlap DESC, det_id) AS b"
+    return f"""pr{gap} AS (SELECT d.camera_id, d.det_id, p.det_id AS prev_id, d.confidence, greatest(0, 120 - abs(d.x1 - p.x1)) * greatest(0, 90 - abs(d.y1 - p.y1)) AS shared FROM v_detections d JOIN v_detections p ON d.camera_id = p.camera_id AND d.frame_idx = p.frame_idx + {gap}
+  WHERE NOT EXISTS (SELECT 1 FROM {before} l WHERE l.camera_id = d.camera_id AND l.det_id = d.det_id) AND NOT EXISTS (SELECT 1 FROM {before} l WHERE l.camera_id = p.camera_id AND l.prev_id = p.det_id)
+  AND (p.confidence >= 0.5 OR EXISTS (SELECT 1 FROM {before} l WHERE l.camera_id = p.camera_id AND l.det_id = p.det_id))),
+ov{gap} AS (SELECT *, CASE WHEN shared <= 0 THEN 0 ELSE shared / (2 * 10800 - shared)::DOUBLE END AS overlap FROM pr{gap}),
+f{gap} AS (SELECT camera_id, det_id, prev_id FROM (SELECT *, {rank} FROM ov{gap} WHERE confidence >= 0.5 AND overlap >= 0.30) WHERE a = 1 AND b = 1),
+w{gap} AS (SELECT camera_id, det_id, prev_id FROM (SELECT *, {rank} FROM ov{gap} o WHERE confidence >= 0.1 AND confidence < 0.5 AND overlap >= 0.15 AND NOT EXISTS (SELECT 1 FROM f{gap} f WHERE f.camera_id = o.camera_id AND f.prev_id = o.prev_id)) WHERE a = 1 AND b = 1),
+l{gap} AS (SELECT * FROM {before} UNION ALL SELECT camera_id, det_id, prev_id, {gap} FROM f{gap} UNION ALL SELECT camera_id, det_id, prev_id, {gap} FROM w{gap})"""
+
+
+GAPS_SQL = f"{PAIR_SQL}, l1 AS (SELECT camera_id, det_id, prev_id, 1 AS gap FROM m1 UNION ALL SELECT camera_id, det_id, prev_id, 1 FROM s2 WHERE a = 1 AND b = 1), " + ", ".join(_gap_sql(g) for g in range(2, MAX_AGE + 1))
+
+
+@_query(f"{GAPS_SQL} --- SELECT camera_id, det_id, prev_id, gap FROM l{MAX_AGE}")
+def association_over_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return det.association_over_gaps(v.detections(spark, d), MAX_AGE).select("camera_id", "det_id", "prev_id", "gap")
+
+
+@_query(f"""{GAPS_SQL}, {QUALITY_SQL},
+heads AS (SELECT camera_id, prev_id AS det_id FROM l{MAX_AGE} UNION SELECT camera_id, det_id FROM v_detections WHERE confidence >= 0.5),
+chain AS (SELECT camera_id, det_id, det_id AS track FROM heads h WHERE NOT EXISTS (SELECT 1 FROM l{MAX_AGE} l WHERE l.camera_id = h.camera_id AND l.det_id = h.det_id)
+  UNION ALL SELECT c.camera_id, l.det_id, c.track FROM chain c JOIN l{MAX_AGE} l ON l.camera_id = c.camera_id AND l.prev_id = c.det_id),
+r AS (SELECT q.*, track, round(q, 4) AS quality FROM ql q JOIN chain USING (camera_id, det_id))
+--- SELECT camera_id, track AS track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det,
+  arg_max(x1, (quality, det_id)) AS best_x1, arg_max(y1, (quality, det_id)) AS best_y1, arg_max(x1, (frame_idx, det_id)) AS latest_x1, arg_max(y1, (frame_idx, det_id)) AS latest_y1 FROM r GROUP BY camera_id, track""", recursive=True)
+def tracks(spark: SparkSession, d: str) -> DataFrame:
+    """From detections to summaries of tracks, over up to three missed frames."""
+    corners = {f"{w}_{c}": F.col(f"{w}_bbox")[i] for w in ("best", "latest") for i, c in enumerate(("x1", "y1"))}
+    return det.tracks(_quality(spark, d), MAX_AGE).withColumns(corners).drop("best_bbox", "latest_bbox")
+
+
+BLOCKS_SQL = f"""bl AS (SELECT case_id, fir_number, timestamp::DATE AS block, count(*) AS n_items, min(timestamp) AS first_seen, max(timestamp) AS last_seen, sha256(string_agg({DIGEST_SQL}, ',' ORDER BY timestamp, sighting_id)) AS block_hash
+  FROM v_cases JOIN v_matches USING (case_id) JOIN v_sightings USING (sighting_id) GROUP BY ALL)"""
+
+
+@_query(f"{BLOCKS_SQL} --- SELECT case_id, fir_number, block::TIMESTAMP AS block, n_items, first_seen, last_seen, block_hash FROM bl")
+def evidence_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.evidence_blocks(_timeline(spark, d)).drop("items").withColumn("block", F.col("block").cast("timestamp_ntz"))
+
+
+ROOT_SQL = f"""{CUSTODY_SQL}, n AS (SELECT case_id, count(*) AS custody FROM cus WHERE position <= 100 GROUP BY case_id), {BLOCKS_SQL},
+rt AS (SELECT case_id, fir_number, count(*) AS n_blocks, sum(n_items)::BIGINT AS n_items, string_agg(block::VARCHAR || '=' || block_hash, ',' ORDER BY block) AS days FROM bl GROUP BY ALL)"""
+
+
+@_query(f"{ROOT_SQL} --- SELECT case_id, n_blocks, n_items, coalesce(custody, 0) AS custody, sha256(case_id::VARCHAR || '|' || fir_number || '|' || days || '|' || coalesce(custody, 0)::VARCHAR) AS root_hash FROM rt LEFT JOIN n USING (case_id)")
+def evidence_block_root(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.block_root_hash(_timeline(spark, d), _custody(spark, d))
+
+
+@_query(f"""{ROOT_SQL} --- SELECT case_id, 'certificate' AS section, NULL::TIMESTAMP AS block, 1::BIGINT AS n_items, sha256(case_id::VARCHAR || '|' || fir_number || '|' || days || '|' || coalesce(custody, 0)::VARCHAR) AS digest FROM rt LEFT JOIN n USING (case_id)
+UNION ALL SELECT case_id, 'timeline', block::TIMESTAMP, n_items, block_hash FROM bl UNION ALL SELECT case_id, 'custody', NULL, custody, NULL FROM n""")
+def dossier_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Dossiers as rows: a certificate, a row for each day of the timeline, and the custody trail."""
+    rows = evidence.dossier_blocks(_timeline(spark, d), _custody(spark, d), "2024-02-01 00:00:00")
+    return rows.select("case_id", "section", F.col("block").cast("timestamp_ntz").alias("block"), "n_items", F.when(F.col("section") != "custody", F.col("digest")).alias("digest"))
+
+
+FULL_SQL = """fs AS (SELECT s.*, (sighting_id % 40)::INT AS track_id, (sighting_id % 300)::INT AS x1, 'make' || (user_id % 7)::VARCHAR AS make, 'model' || (user_id % 11)::VARCHAR AS model, 'img/' || sighting_id::VARCHAR || '.jpg' AS image_path, 'crop/' || sighting_id::VARCHAR || '.jpg' AS crop_path,
+  CASE WHEN plate_text IS NOT NULL THEN 'plate/' || sighting_id::VARCHAR || '.jpg' END AS plate_crop_path, (['north', 'east', 'south', 'west'])[sighting_id % 4 + 1] AS direction_travel, CASE WHEN sighting_id % 6 <> 0 THEN (sighting_id % 90)::DOUBLE END AS speed_estimate_kmh, timestamp AS created_at FROM v_sightings s)"""
+
+
+def _full_sightings(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings with vectors and all columns that a search row shows."""
+    i, u, s = F.col("sighting_id"), F.col("user_id"), v.sightings(spark, d, vectors=True)
+    x = (i % 300).cast("int")
+    path = lambda kind: F.concat(F.lit(f"{kind}/"), i.cast("string"), F.lit(".jpg"))
+    return s.withColumns({
+        "track_id": (i % 40).cast("int"), "vehicle_box": F.array(x, x, x + 120, x + 90), "plate_box": F.when(F.col("plate_text").isNotNull(), F.array(x + 10, x + 60, x + 60, x + 80)), "make": F.concat(F.lit("make"), (u % 7).cast("string")), "model": F.concat(F.lit("model"), (u % 11).cast("string")),
+        "image_path": path("img"), "crop_path": path("crop"), "plate_crop_path": F.when(F.col("plate_text").isNotNull(), path("plate")), "direction_travel": F.element_at(F.array(*map(F.lit, ("north", "east", "south", "west"))), (i % 4 + 1).cast("int")),
+        "speed_estimate_kmh": F.when(i % 6 != 0, (i % 90).cast("double")), "created_at": F.col("timestamp"),
+    })
+
+
+@_query(f"""{BEST_SQL}, {FULL_SQL}, a AS (SELECT fs.* FROM fs JOIN embeddings e USING (vec_id), (SELECT embedding AS r FROM embeddings WHERE vec_id = 3) WHERE camera_id = 'CAM_003' AND vehicle_color LIKE '%e%' AND plate_confidence >= 0.1
+  AND round(greatest(0, list_dot_product(embedding::DOUBLE[], r::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(r::DOUBLE[], r::DOUBLE[]))), 4) >= 0.02),
+f AS (SELECT * FROM a ORDER BY timestamp DESC, sighting_id DESC LIMIT 20)
+--- SELECT s.sighting_id, s.camera_id, coalesce(c.name, s.camera_id) AS camera_name, coalesce(c.latitude, 0) AS latitude, coalesce(c.longitude, 0) AS longitude, coalesce(c.road_name, 'Corridor Location') AS road_name, timestamp, plate_text, coalesce(plate_confidence, 0) AS plate_confidence, vehicle_type, vehicle_color,
+  round(coalesce(nullif(best, 0), plate_confidence, 0), 4) AS match_score, coalesce(st, 'pending') AS verification_status, track_id, CASE WHEN plate_text IS NOT NULL THEN concat_ws(',', x1 + 10, x1 + 60, x1 + 60, x1 + 80) END AS plate_box, concat_ws(',', x1, x1, x1 + 120, x1 + 90) AS vehicle_box, make, model,
+  image_path, crop_path, plate_crop_path, sha256_hash, direction_travel, speed_estimate_kmh, created_at, (SELECT count(*) FROM a) AS total FROM f s LEFT JOIN v_cameras c ON c.id = s.camera_id LEFT JOIN b USING (sighting_id)""")
+def search(spark: SparkSession, d: str) -> DataFrame:
+    """The composed search: attributes, camera, confidence and looks, with page, total and all columns of a row."""
+    one = v.table(spark, d, "embeddings").filter("vec_id = 3").select(F.col("embedding").alias("reference"))
+    s = _full_sightings(spark, d).crossJoin(F.broadcast(one.limit(1)))
+    rows = search_op.search_sightings(s, v.cameras(spark, d), v.matches(spark, d), 1, 20, F.col("reference"), 0.02, camera=" CAM_003 ", color="E", min_confidence=0.1)
+    return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("plate_box", "vehicle_box")})
+
+
+@_query(f"""w AS (SELECT camera_id, sighting_id, timestamp AS t2, c.latitude AS lat2, c.longitude AS lon2, lag(timestamp) OVER x AS t1, lag(c.latitude) OVER x AS lat1, lag(c.longitude) OVER x AS lon1 FROM v_sightings JOIN v_cameras c ON c.id = camera_id WHERE plate_text IS NOT NULL WINDOW x AS (PARTITION BY plate_text ORDER BY sighting_id)),
+k AS (SELECT *, 12742.0::DOUBLE * atan2(sqrt({A_SQL}), sqrt(1 - ({A_SQL}))) AS raw, {SECONDS_SQL} AS sec FROM w WHERE t1 IS NOT NULL)
+--- SELECT sighting_id, sec < 0 OR (sec = 0 AND raw > 0.05) AS odd, CASE WHEN sec < 0 OR (sec = 0 AND raw > 0.05) THEN 999 WHEN sec > 0 THEN round(raw / (sec / 3600), 1) ELSE 0 END AS speed, NOT (sec < 0 OR (sec = 0 AND raw > 0.05)) AND (sec = 0 OR raw / (sec / 3600) <= 120) AS feasible FROM k""")
+def route_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Moves of plates in the order of their ids, in which some go back in time and have speed 999."""
+    c = v.cameras(spark, d).select(F.col("id").alias("camera_id"), "latitude", "longitude")
+    s = v.sightings(spark, d).filter("plate_text is not null").join(c, "camera_id")
+    x = Window.partitionBy("plate_text").orderBy("sighting_id")
+    s = s.select("sighting_id", "latitude", "longitude", "timestamp", *[F.lag(c).over(x).alias(f"_{c}") for c in ("latitude", "longitude", "timestamp")]).filter("_timestamp is not null")
+    t = geo.route_transition(geo.haversine_raw_km(F.col("_latitude"), F.col("_longitude"), F.col("latitude"), F.col("longitude")), geo.seconds_between(F.col("_timestamp"), F.col("timestamp")))
+    return s.select("sighting_id", t.alias("t")).select("sighting_id", (F.col("t.speed") == 999).alias("odd"), "t.speed", "t.feasible")
+
+
+@_query(f"SELECT vec_id, i::INT AS place, round(embedding[i + 1]::DOUBLE / sqrt({UNIT_SQL}), 6) AS part FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)")
+def l2_components(spark: SparkSession, d: str) -> DataFrame:
+    """All components of the vectors at unit length."""
+    unit = scoring.l2_normalize(F.col("embedding"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.posexplode(unit).alias("place", "part")).withColumn("part", F.round("part", 6))
+
+
+PUBLIC_SQL = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
+
+
+@_query(f"""SELECT 'camera' AS kind, id AS key, status AS detail, NULL::VARCHAR AS at, NULL::INT AS embedding_dim FROM v_cameras
+UNION ALL SELECT 'case', fir_number, status, {PUBLIC_SQL.format('theft_datetime')}, len(embedding)::INT FROM v_cases JOIN embeddings ON vec_id = ref_id
+UNION ALL SELECT 'match', id::VARCHAR, verification_status, {PUBLIC_SQL.format('created_at')}, NULL FROM v_matches
+UNION ALL SELECT 'audit', audit_id::VARCHAR, action, {PUBLIC_SQL.format('timestamp')}, NULL FROM v_audit
+UNION ALL SELECT 'vehicle', plate_text, arg_min(vehicle_type, (timestamp, sighting_id)), strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S'), NULL FROM v_sightings WHERE plate_text IS NOT NULL GROUP BY plate_text
+UNION ALL SELECT 'edge', from_id, to_id, NULL, NULL FROM (SELECT id AS from_id, lead(id) OVER (ORDER BY id) AS to_id FROM v_cameras) WHERE to_id IS NOT NULL""")
+def to_public_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Public rows of the other six tables, with times as text and vectors as sizes."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def shown(df: DataFrame, kind: str, key: str, detail: str, at: str | None = None, dim: str | None = None) -> DataFrame:
+        public = filters.to_public(df)
+        return public.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(detail).alias("detail"), (F.col(at) if at else none("string")).alias("at"), (F.col(dim) if dim else none("int")).alias("embedding_dim"))
+
+    c = v.cameras(spark, d)
+    empty = spark.createDataFrame([], "plate_number string, vehicle_type string, color string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    parts = [
+        shown(c, "camera", "id", "status"), shown(v.cases(spark, d, vectors=True), "case", "fir_number", "status", "theft_datetime", "reference_embedding_dim"), shown(v.matches(spark, d), "match", "id", "verification_status", "created_at"),
+        shown(v.audit(spark, d), "audit", "audit_id", "action", "timestamp"), shown(mutations.upsert_vehicles(empty, v.sightings(spark, d)), "vehicle", "plate_number", "vehicle_type", "first_seen"), shown(joins.topology_from(c), "edge", "from_camera_id", "to_camera_id"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -10,11 +10,51 @@ from sightline.sources.schemas import TABLES
 MEDIA = r"([^/]+)_trk(\d+)_([^_/]+(?:_[^_/]+)*)_(crop|plate|frame)\.jpg$"
 
 
-def read_table(spark: SparkSession, name: str, uri: str, **jdbc: str) -> DataFrame:
-    """One of the seven tables, from Parquet files or, for a jdbc: address, from a database."""
-    if uri.startswith("jdbc:"):
-        return spark.read.format("jdbc").options(url=uri, dbtable=name, **jdbc).load()
-    return spark.read.schema(TABLES[name]).parquet(f"{uri}/{name}")
+def read_table(spark: SparkSession, name: str, uri: str, key: str | None = None, partitions: int = 8, **jdbc: str) -> DataFrame:
+    """One of the seven tables, from Parquet files or, for a jdbc: address, from a database.
+
+    With a numeric ``key`` a database is read in ``partitions`` ranges of equal shares of its rows. Filters on the result are pushed to
+    the database in each of them. Columns have the types of the table's schema; arrays and maps come as their JSON text, for ``decode_json``.
+    """
+    if not uri.startswith("jdbc:"):
+        return spark.read.schema(TABLES[name]).parquet(f"{uri}/{name}")
+    types = dict(c.split(maxsplit=1) for c in TABLES[name].split(", "))
+    # a column that is stored as another scalar type is cast by the source
+    scalars = ", ".join(f"{c} {t}" for c, t in types.items() if not t.startswith(("array", "map", "timestamp")))
+    options = {"url": uri, "customSchema": scalars, **jdbc}
+    if key is None:
+        return _typed(spark.read.format("jdbc").options(dbtable=name, **options).load(), types)
+    whole = spark.read.format("jdbc").options(dbtable=name, url=uri, **jdbc).load()
+    # the name as the database writes it, in its own quotes
+    stored = next(c for c in whole.columns if c.lower() == key.lower())
+    key = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(uri).quoteIdentifier(stored)
+    cuts = key_quantiles(spark, name, key, partitions, {"url": uri, **jdbc})
+    edges = [None, *cuts, None]
+    ranges = [" AND ".join(x for x in (lo is not None and f"{key} >= {lo}", hi is not None and f"{key} < {hi}") if x) or "1 = 1" for lo, hi in zip(edges, edges[1:], strict=False)]
+    ranges[0] = f"({ranges[0]}) OR {key} IS NULL"
+    return _typed(spark.read.jdbc(uri, name, predicates=ranges, properties={k: v for k, v in options.items() if k != "url"}), types)
+
+
+def key_quantiles(spark: SparkSession, name: str, key: str, partitions: int, jdbc: dict[str, str]) -> list[int]:
+    """The keys that cut a table of a database into ranges of about equal numbers of rows, from a narrow scan of its keys.
+
+    ``key`` is in the quotes of the database. That scan is itself read in equal steps between the least and the greatest key, which the database tells.
+    """
+    ends = spark.read.format("jdbc").options(query=f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}", **jdbc).load().first()
+    if ends[0] is None or partitions < 2:
+        return []
+    steps = {"partitionColumn": "k", "lowerBound": str(int(ends[0])), "upperBound": str(int(ends[1]) + 1), "numPartitions": str(partitions)}
+    keys = spark.read.format("jdbc").options(dbtable=f"(SELECT {key} AS k FROM {name}) narrow", **steps, **jdbc).load().toDF("k")
+    keys = keys.filter("k is not null").select(F.col("k").cast("double"))
+    found = keys.approxQuantile("k", [i / partitions for i in range(1, partitions)], 0.01)
+    return sorted({int(x) for x in found if int(ends[0]) < int(x)})
+
+
+def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns under the names of the schema, whatever case the database gives them, and times without a zone."""
+    own = {c.lower(): c for c in df.columns}
+    kept = [(c, t) for c, t in types.items() if c.lower() in own]
+    return df.select(*[(F.col(own[c.lower()]).cast(t) if t.startswith("timestamp") else F.col(own[c.lower()])).alias(c) for c, t in kept])
 
 
 def decode_json(df: DataFrame, arrays: dict[str, str] | None = None, maps: list[str] | None = None) -> DataFrame:
