@@ -22,7 +22,9 @@ from sightline.llm.common import fold, python_workers, written
 UNKNOWN = "und"
 #: Lengths of n-grams over letters; word edges count as one character.
 SIZES = (2, 3, 4)
-PROBES, SLOT_BITS = 3, 20
+PROBES = 3
+#: Least and most bits of a slot's number; between them the filter has eight slots for each n-gram of the largest profile.
+FEWEST_BITS, MOST_BITS = 20, 24
 #: Languages that share a mask.
 BITS = 63
 #: Characters that are handled at once, to bound the memory of a task.
@@ -94,6 +96,11 @@ class Model:
     slots: np.ndarray
     chance: np.ndarray
 
+    def probes(self, h: np.ndarray) -> list[np.ndarray]:
+        """The slots of n-grams, by two halves of their hashes."""
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return [(h + np.uint64(i) * step) & np.uint64(self.slots.shape[1] - 1) for i in range(PROBES)]
+
 
 def sample(rows: DataFrame, per_language: int) -> DataFrame:
     """Of each lang the ``per_language`` distinct texts of least hash, or all where there are fewer."""
@@ -106,12 +113,13 @@ def sample(rows: DataFrame, per_language: int) -> DataFrame:
     return hashed.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("last"))).dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
-def train(labelled: DataFrame, per_language: int = 5_000, profile: int = 30_000, least: int = 3, share: float = 0.6) -> Model:
+def train(labelled: DataFrame, per_language: int = 5_000, least: int = 3, share: float = 0.6) -> Model:
     """Learns from text and lang of ``labelled``: from up to ``per_language`` distinct texts of every language there is.
 
-    A language's profile has the n-grams that occur at least ``least`` times in it and are at least ``share`` times as
-    frequent there as in the language that uses them most, down to the rate at which they are about ``profile``. Rows without
-    lang or text teach nothing. Counts are summed by Spark; what reaches the driver are the slots of the filter.
+    A language's profile has all n-grams that occur at least ``least`` times in it and are at least ``share`` times as
+    frequent there as in the language that uses them most. Rows without
+    lang or text teach nothing. Counts are summed by Spark, a row for each n-gram and language that has it; what reaches the
+    driver are the languages and the slots of the filter.
     """
     spark = labelled.sparkSession
     python_workers(spark)
@@ -144,48 +152,50 @@ def train(labelled: DataFrame, per_language: int = 5_000, profile: int = 30_000,
         for i in range(0, len(k), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000, 0]), pa.array(k[i : i + 100_000, 1].astype(np.int32)), pa.array(c[i : i + 100_000])], ["gram", "bit", "n"])
 
-    counted = rows.mapInArrow(count, "gram long, bit int, n long").groupBy("gram").pivot("bit", list(range(len(languages)))).agg(F.sum("n")).na.fill(0)
-    counted = written(counted.withColumnsRenamed({str(i): f"n{i}" for i in range(len(languages))}), "op5-grams")
+    counted = written(rows.mapInArrow(count, "gram long, bit int, n long").groupBy("gram", "bit").agg(F.sum("n").alias("n")), "op5-grams")
     if not languages:
-        return Model([], np.zeros((0, 1 << SLOT_BITS), np.uint64), np.zeros(0))
-    totals = counted.agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(languages))]).first()
-    rates = [F.col(f"n{i}") / F.lit(float(max(1, totals[i] or 0))) for i in range(len(languages))]
-    most = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    chosen = [F.when((F.col(f"n{i}") >= least) & (rates[i] >= share * most), F.struct(F.lit(i).alias("bit"), rates[i].alias("rate"))) for i in range(len(languages))]
-    entries = counted.select("gram", F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("e")).select("gram", "e.*")
-    # least rate of each language, from a histogram with an eighth of an octave a step: no language is ranked in one task
-    step = F.floor(-8 * F.log2("rate")).cast("int")
-    floors: dict[int, float] = {}
-    held: dict[int, int] = {}
-    for r in sorted(entries.groupBy("bit", step.alias("step")).count().collect(), key=lambda r: (r["bit"], r["step"])):
-        held[r["bit"]] = held.get(r["bit"], 0) + r["count"]
-        if held[r["bit"]] <= profile or r["bit"] not in floors:
-            floors[r["bit"]] = r["step"]
-    last = F.element_at(F.create_map(*[F.lit(x) for pair in floors.items() for x in pair]), F.col("bit")) if floors else F.lit(0)
-    top = entries.filter(step <= last)
-    slot = F.explode(F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * i).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for i in range(PROBES)]))
-    filled = top.select(F.expr(f"shiftleft(1L, bit % {BITS})").alias("mask"), F.expr(f"bit div {BITS}").alias("part"), slot.alias("slot")).groupBy("part", "slot").agg(F.bit_or("mask").alias("mask"))
-    slots = np.zeros((-(-len(languages) // BITS), 1 << SLOT_BITS), np.uint64)
-    for r in filled.collect():
-        slots[r["part"], r["slot"]] = r["mask"]
+        return Model([], np.zeros((0, 1 << FEWEST_BITS), np.uint64), np.zeros(0))
+    totals = counted.groupBy("bit").agg(F.sum("n").alias("total"))
+    rated = counted.join(totals, "bit").withColumn("rate", F.col("n") / F.col("total"))
+    # an n-gram has at most a row for each language
+    most = F.max("rate").over(W.partitionBy("gram"))
+    profile = written(rated.withColumn("most", most).filter((F.col("n") >= least) & (F.col("rate") >= share * F.col("most"))).select("gram", "bit"), "op5-profiles")
+    largest = profile.groupBy("bit").count().agg(F.max("count")).first()[0] or 1
+    bits = min(MOST_BITS, max(FEWEST_BITS, (8 * largest - 1).bit_length()))
+    # the low bits of the sums alone count, so the high bits of the hash are left out of them
+    low = F.col("gram").bitwiseAND(F.lit((1 << 40) - 1))
+    step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("long"))
+    slot = F.explode(F.array(*[(low + i * step).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(PROBES)]))
+    filled = profile.select(F.expr(f"shiftleft(1L, bit % {BITS})").alias("mask"), F.expr(f"bit div {BITS}").alias("part"), slot.alias("slot")).groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros((-(-len(languages) // BITS), 1 << bits), np.uint64)
+    slots[np.asarray(filled["part"]), np.asarray(filled["slot"])] = np.asarray(filled["mask"]).astype(np.uint64)
     full = np.array([((slots[i // BITS] >> np.uint64(i % BITS)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, slots, full**PROBES)
 
 
 def votes(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per text: the corrected share of its n-grams in each language's profile, and whether it has a letter."""
+    width = max(1, len(model.slots) * BITS)
     shares, letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), bool)
-    low = np.uint64((1 << SLOT_BITS) - 1)
     for start, some in _chunks(texts):
         h, owner, has = ngrams(some)
         letters[start : start + len(some)] = has
-        masks = model.slots[:, h & low]
-        for i in range(1, PROBES):
-            masks &= model.slots[:, (h >> np.uint64(SLOT_BITS * i)) & low]
         n = np.bincount(owner, minlength=len(some))
-        for b in range(len(model.languages)):
-            hits = np.bincount(owner, ((masks[b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)).astype(np.float64), len(some))
-            shares[start : start + len(some), b] = (hits / np.maximum(n, 1) - model.chance[b]) / max(1e-9, 1 - model.chance[b])
+        hits, probes = np.zeros(len(some) * width, np.int64), model.probes(h)
+        for part, slots in enumerate(model.slots):
+            masks, of = slots[probes[0]], owner
+            for p in probes[1:]:
+                masks &= slots[p]
+            # the lowest bit of every mask is counted and taken off, until none is left: few rounds, as few languages share an n-gram
+            while len(masks):
+                left = masks != 0
+                masks, of = masks[left], of[left]
+                lowest = masks & (~masks + np.uint64(1))
+                bit = np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)
+                hits += np.bincount(of * width + part * BITS + bit, minlength=len(hits))
+                masks = masks ^ lowest
+        share = hits.reshape(len(some), width)[:, : len(model.languages)] / np.maximum(n, 1)[:, None]
+        shares[start : start + len(some)] = (share - model.chance) / np.maximum(1e-9, 1 - model.chance)
     return np.clip(shares, 0, 1), letters
 
 
@@ -215,6 +225,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; fold 2 of 4 is held out of training."""
+    """doc_id, held_out, lang_pred, score of every document; fold 2 of 4 is held out of training.
+
+    Null and empty texts and texts without letters are ``und`` with score 0, as is any text where nothing was learned; a text
+    of any length is read whole, in chunks. At equal scores the first language by name wins. Repeated rows are rows of their own with
+    equal results; a null id is in fold 0; rows without lang are predicted and teach nothing. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
+    """
     model = train(docs.filter(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
     return identify(docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), model, ["doc_id", "held_out"])
