@@ -204,17 +204,22 @@ def log_likelihood(automaton: dict, text: str) -> float:
     return total / (len(text) + 1)
 
 
+def prefixes(strings: list[str]) -> int:
+    """The states of the prefix tree of the strings' symbols."""
+    return 1 + len({tuple(x[:i]) for x in map(shapes, strings) for i in range(1, len(x) + 1)})
+
+
 def ordinary(rates: dict[str, float], text: str) -> float:
     """The same under the symbol rates of ordinary text."""
     return sum(rates.get(c, UNSEEN) - math.log(SIZE.get(c, 1)) for c in symbols(text)) / max(1, len(text))
 
 
 def examples(docs: DataFrame, max_strings: int) -> DataFrame:
-    """Rows of each task: counts of symbols (kind "", the symbol in string, n), least and most length of the credentials
-    of each kind (string null), and of each kind the ``max_strings`` distinct credentials, or windows of them, of least hash."""
+    """Rows of each task: counts of symbols (kind "", the symbol in string, n), and of each kind the ``max_strings`` distinct
+    credentials, or windows of them, of least hash."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, lengths = np.zeros(128, np.int64), {}
+        seen = np.zeros(128, np.int64)
         kept: dict[str, dict[tuple[str, bool], int]] = {k: {} for k in KINDS}
 
         def least(strings: dict[tuple[str, bool], int]) -> dict[tuple[str, bool], int]:
@@ -227,8 +232,6 @@ def examples(docs: DataFrame, max_strings: int) -> DataFrame:
                 seen += np.bincount(data, minlength=256)[:128]
                 for span in base_spans(text):
                     kind, s = KINDS[span[2]], credential(text, span)
-                    lo, hi = lengths.get(kind, (len(s), len(s)))
-                    lengths[kind] = min(lo, len(s)), max(hi, len(s))
                     for w in windows(s):
                         if w not in kept[kind]:
                             kept[kind][w] = int.from_bytes(hashlib.blake2b(f"{w}".encode(), digest_size=8).digest(), signed=True)
@@ -237,38 +240,36 @@ def examples(docs: DataFrame, max_strings: int) -> DataFrame:
         counts = Counter()
         for i in np.flatnonzero(seen):
             counts[symbols(chr(i))] += int(seen[i])
-        rows = [("", c, None, 0, k, None, None) for c, k in sorted(counts.items()) if c in "dhlHU+/=_.-"]
-        rows += [(k, None, None, 0, 0, lo, hi) for k, (lo, hi) in lengths.items()]
-        rows += [(k, s, ended, h, 0, None, None) for k in KINDS for (s, ended), h in least(kept[k]).items()]
+        rows = [("", c, None, 0, k) for c, k in sorted(counts.items()) if c in "dhlHU+/=_.-"]
+        rows += [(k, s, ended, h, 0) for k in KINDS for (s, ended), h in least(kept[k]).items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4), strict=True)], ["kind", "string", "ended", "hash", "n", "least", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["kind", "string", "ended", "hash", "n"])
 
-    return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, ended boolean, hash long, n long, least long, most long")
+    return docs.filter("text is not null").select("text").mapInArrow(label, "kind string, string string, ended boolean, hash long, n long")
 
 
 def train(docs: DataFrame, max_strings: int = 2_000, slack: float = 0.1) -> dict:
-    """{"rates": ..., "kinds": {kind: {"automaton", "floor", "least", "most"}}} from all texts.
+    """{"rates": ..., "kinds": {kind: {"automaton", "floor", "gain", "tree"}}} from all texts.
 
     Of each kind the ``max_strings`` distinct credentials of least hash are labelled examples, however rare the kind is
-    among the texts. ``floor`` lies ``slack`` below the first percentile of their likelihoods; ``least`` and ``most`` are
-    half and twice the extreme lengths of all credentials. A kind without examples gets no automaton. ``rates`` are those
+    among the texts. ``floor`` lies ``slack`` below the first percentile of their likelihoods; ``gain`` is the likelihood of
+    the likeliest step; ``tree`` counts the states of the prefix tree, of which the automaton has those that were not merged. A kind without examples gets no automaton. ``rates`` are those
     of the character classes of all texts.
     """
     python_workers(docs.sparkSession)
     # used twice, so written: a few thousand short strings a task
     found = written(examples(docs, max_strings), "op7-examples")
-    facts = found.filter("kind = '' or string is null").groupBy("kind", "string").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).collect()
-    seen = {r["string"]: r["n"] for r in facts if not r["kind"]}
-    lengths = {r["kind"]: (r["least"], r["most"]) for r in facts if r["kind"]}
+    seen = {r["string"]: r["n"] for r in found.filter("kind = ''").groupBy("string").agg(F.sum("n").alias("n")).collect()}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, (strings, ends) = pdf["kind"].iloc[0], zip(*sorted(zip(pdf["string"], pdf["ended"], strict=True)), strict=True)
         automaton = infer(list(strings), ends=list(ends))
         scores = sorted(log_likelihood(automaton, s) for s in strings)
-        out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "least": lengths[kind][0] // 2, "most": lengths[kind][1] * 2}
+        gain = max(p + max([other, *seen.values()]) for steps in automaton.values() for _, p, seen, other in steps.values())
+        out = {"automaton": automaton, "floor": scores[len(scores) // 100] - slack, "gain": gain, "tree": prefixes(strings)}
         return pd.DataFrame({"kind": [kind], "model": [json.dumps(out)]})
 
-    few = found.filter("kind != '' and string is not null").select("kind", "string", "ended", "hash").distinct()
+    few = found.filter("kind != ''").select("kind", "string", "ended", "hash").distinct()
     # first within parts of the hashes, so that the last ranking sees a bounded number of rows
     for by in (["kind", F.pmod("hash", F.lit(16))], ["kind"]):
         few = few.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("hash", "string", "ended"))).filter(F.col("rank") <= max_strings)
@@ -288,29 +289,39 @@ def free(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
 def likely(model: dict, token: str, margin: float = 0.5) -> list[Span]:
     """Parts of a run whose format an automaton explains: the mean likelihood reaches the floor and exceeds that of
     ordinary text by ``margin`` a character. A part starts with the run or after a delimiter and ends with the run or
-    before one; of parts that overlap the one with the most evidence against ordinary text is taken."""
-    classes, sets, n = symbols(token), shapes(token), len(token)
+    before one; of parts that overlap the one with the most evidence against ordinary text is taken.
+
+    Parts of every length are scored: an automaton runs on from a start until the run ends, or until what it lacks to the
+    floor is more than the likeliest steps could make up for in what is left of the run.
+    """
+    sets, n = shapes(token), len(token)
     starts = [0, *(i + 1 for i in range(n - 1) if token[i] in DELIMITERS and token[i + 1] != token[i])]
     stops = {n, *(i for i in range(1, n) if token[i] in DELIMITERS and token[i - 1] != token[i])}
-    plain = [0.0]
-    for c in classes:
-        plain.append(plain[-1] + model["rates"].get(c, UNSEEN) - math.log(SIZE.get(c, 1)))
+    plain: list[float] = []
     found = []
     for k, m in model["kinds"].items():
-        automaton, shortest = m["automaton"], max(1, m["least"])
+        automaton, floor, spare = m["automaton"], m["floor"], max(0.0, m["gain"] - m["floor"])
         for a in starts:
-            if n - a < shortest:
-                break
             at, total = "0", 0.0
-            for b in range(a, min(n, a + m["most"]) + 1):
-                if b in stops and b - a >= shortest:
-                    whole, usual = total + automaton[at].get("", NO_STEP)[1], plain[b] - plain[a]
-                    if whole / (b - a + 1) >= max(m["floor"], usual / (b - a) + margin):
-                        found.append((usual - whole, a, b, KINDS.index(k)))
-                if b < n:
-                    to, p, seen, other = automaton[at].get(sets[b], NO_STEP)
-                    total += p + seen.get(token[b], other)
-                    at = str(to)
+            for b in range(a, n + 1):
+                if b in stops and b > a:
+                    whole = total + automaton[at].get("", NO_STEP)[1]
+                    if whole >= floor * (b - a + 1):
+                        if not plain:
+                            plain = [0.0]
+                            for c in symbols(token):
+                                plain.append(plain[-1] + model["rates"].get(c, UNSEEN) - math.log(SIZE.get(c, 1)))
+                        usual = plain[b] - plain[a]
+                        if whole / (b - a + 1) >= usual / (b - a) + margin:
+                            found.append((usual - whole, a, b, KINDS.index(k)))
+                if b == n:
+                    break
+                to, p, seen, other = automaton[at].get(sets[b], NO_STEP)
+                total += p + seen.get(token[b], other)
+                at = str(to)
+                # the end is a step too
+                if floor * (b + 1 - a) - total > spare * (n - b):
+                    break
     taken: list[Span] = []
     for _, a, b, k in sorted(found):
         if all(b <= s or e <= a for s, e, _ in taken):
@@ -323,10 +334,7 @@ def added_spans(model: dict, text: str, base: list[Span], known: dict[str, list[
     found = []
     if not model["kinds"]:
         return found
-    shortest = min(m["least"] for m in model["kinds"].values())
     for a, b in free(text, base):
-        if b - a < shortest:
-            continue
         token = text[a:b]
         spans = known.get(token)
         if spans is None:
@@ -350,7 +358,9 @@ def joined(spans: list[Span]) -> str:
 def report(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row.
 
-    Spans that the automata add have kinds like_assign, like_access, like_hex. Null and empty texts have no spans.
+    Spans that the automata add have kinds like_assign, like_access, like_hex. Null and empty texts have no spans. Of parts
+    that overlap the likeliest is added, at ties the first; a text of any length is scanned whole; repeated rows are rows of
+    their own with equal results. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     model = train(docs) if model is None else model
     python_workers(docs.sparkSession)
@@ -371,7 +381,11 @@ def report(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: dict | None = None, mask: str = "[SECRET]") -> DataFrame:
-    """The rows with every span, added ones included, replaced by ``mask``; n_chars, where there, is counted anew. Null texts stay null."""
+    """The rows with every span, added ones included, replaced by ``mask``; n_chars, where there, is counted anew.
+
+    Null texts stay null and empty ones empty; repeated rows stay, and so do all columns; spans that overlap become one mask; a text of any
+    length is masked whole. An empty table gives an empty result.
+    """
     model = train(docs) if model is None else model
     python_workers(docs.sparkSession)
 

@@ -85,3 +85,32 @@ def test_repeats_empty_tables_long_texts_and_clashing_columns(spark):
     assert clean.columns == df.columns and {r.spans for r in clean.collect()} == {"a", "b"}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+def test_states_of_varied_lengths_merge_and_longer_credentials_are_found(spark, documents):
+    rng = random.Random(14)
+    draw = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    # ends are as likely after any character from the 21st on, so states beyond it can be one
+    rows = [(i, f"words and token = {draw(20 + int(rng.expovariate(1 / 30)))} more words") for i in range(900)]
+    long, short = draw(200), draw(14)
+    rows += [(1000, f"see {long} there"), (1001, f"see {short} there"), (1002, "plain words stay as they are, information-technology and so on")]
+    found = spark.createDataFrame([(i + 10_000_000, t) for i, t in rows], "doc_id long, text string")
+    model = secrets.train(documents.select("doc_id", "text").unionByName(found))
+    assert len(model["kinds"]["assign"]["automaton"]) < model["kinds"]["assign"]["tree"]
+    got = {r.doc_id - 10_000_000: r.spans for r in secrets.report(found, model).collect()}
+    assert got[1000] == "like_assign:4:204" and got[1002] == ""
+
+
+def test_stopping_early_leaves_no_part_out():
+    rng = random.Random(15)
+    draw = lambda n, of="abcdef0123456789": "".join(rng.choices(of, k=n))
+    strings = [draw(rng.randrange(16, 50)) for _ in range(300)] + ["ab_" + draw(20, "ABCDEFGH123") for _ in range(300)]
+    automaton = secrets.infer(strings)
+    floor = sorted(secrets.log_likelihood(automaton, s) for s in strings)[6] - 0.1
+    gain = max(p + max([other, *seen.values()]) for steps in automaton.values() for _, p, seen, other in steps.values())
+    rates = {c: -2.0 for c in "dhlHU"}
+    kind = {"automaton": automaton, "floor": floor}
+    tokens = ["=".join(rng.choice([draw(rng.randrange(1, 60)), "ab_" + draw(rng.randrange(10, 30), "ABCDEFGH123"), "word", "x.y"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    for t in tokens:
+        never = {"rates": rates, "kinds": {"assign": {**kind, "gain": 1e9}}}
+        assert secrets.likely({"rates": rates, "kinds": {"assign": {**kind, "gain": gain}}}, t) == secrets.likely(never, t)
