@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,9 +200,11 @@ def votes(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     return np.clip(shares, 0, 1), letters
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, row: str | None = None) -> DataFrame:
     """The columns in ``keep`` (all but lang_pred and score unless given), lang_pred and score of each row.
 
+    The text is the column text, or the field text of the struct ``row``, one of those kept, so that it is sent once.
+
     score is the winner's corrected share of the n-grams; ties go to the first language by name. A null text and one
     without a letter are ``und`` with score 0; so is any text when nothing was learned.
     """
@@ -215,13 +218,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            share, has = votes(m, batch.column("_text").to_pylist())
+            share, has = votes(m, (pc.struct_field(batch.column(row), "text") if row else batch.column("_text")).to_pylist())
             known = has & bool(m.languages)
             best = share.argmax(1) if m.languages else np.zeros(len(has), int)
             score = np.where(known, share.max(1) if m.languages else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[np.where(known, best, -1)], pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(decide, schema)
+    return docs.select(*keep, *([] if row else [F.col("text").alias("_text")])).mapInArrow(decide, schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:
