@@ -24,17 +24,18 @@ NIBBLES = int("1" * 16, 16)
 
 
 def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - BIN_BITS).cast("int")
+    return F.shiftrightunsigned(x, 63 - BIN_BITS).cast("int")
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the word shingles of a text in ascending order; fewer words than ``size`` make one shingle; no word, none."""
+    """Hashes of the word shingles of a text in ascending order, 63 bits each, so that none is negative and bins ascend too;
+    fewer words than ``size`` make one shingle; no word, none."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
     def hashed(words: Column) -> Column:
         n = F.size(words)
         starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).when(n > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+        return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words, i, size)), 1))
 
     # let words be evaluated once a row: a lambda's argument is a value
     return F.sort_array(F.flatten(F.transform(F.array(words), hashed)))
