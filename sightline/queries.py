@@ -910,3 +910,31 @@ def to_public_tables(spark: SparkSession, d: str) -> DataFrame:
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+@_query("""a AS (SELECT case_id, sighting_id, sighting_id % 3 <> 0 OR sighting_id % 2 = 0 AS ranked, sighting_id % 5 = 0 AS judged FROM v_matches)
+--- SELECT case_id, sighting_id, CASE WHEN NOT ranked THEN 0.90::DOUBLE WHEN sighting_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS composite_score, CASE WHEN judged THEN 'verified' ELSE 'pending' END AS verification_status, CASE WHEN judged THEN 'B1' END AS reviewed_by FROM a WHERE ranked OR judged""")
+def merged_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings and decisions merged batch by batch into a table by buckets of cases."""
+    pairs = v.matches(spark, d).select("case_id", "sighting_id")
+    scores = ["plate_score", "visual_score", "attribute_score", "spatio_temporal_score", "composite_score"]
+    schema = "case_id long, sighting_id long, " + ", ".join(f"{c} double" for c in scores) + ", sequence_order int, verification_status string, reviewed_by string, reviewed_at timestamp_ntz, review_notes string, bucket int"
+    table = MergedTable(spark, f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}", schema, "bucket")
+    bucket = F.pmod("case_id", F.lit(16)).cast("int")
+    ranked = lambda rows, x: rows.select("case_id", "sighting_id", *[F.lit(x).alias(c) for c in scores], F.lit(1).alias("sequence_order"), bucket.alias("bucket"))
+    decided = pairs.filter("sighting_id % 5 = 0").select("case_id", "sighting_id", F.lit("verified").alias("status"), F.lit("B1").alias("officer_badge_id"), F.lit("").alias("notes"), F.lit("2024-02-01").cast("timestamp_ntz").alias("decided_at"), bucket.alias("bucket"))
+    s = v.sightings(spark, d)
+    upsert = lambda now, batch: mutations.upsert_matches(now, batch).withColumn("bucket", bucket)
+    judge = lambda now, batch: mutations.apply_verifications(now, batch, s)[0].withColumn("bucket", bucket)
+    table.merge(ranked(pairs.filter("sighting_id % 3 != 0"), 0.2), "first", upsert)
+    table.merge(ranked(pairs.filter("sighting_id % 2 = 0"), 0.5), "second", upsert)
+    table.merge(decided, "decisions", judge)
+    return table.read().select("case_id", "sighting_id", "composite_score", "verification_status", "reviewed_by")
+
+
+@_query("SELECT det_id, x1 + 10 AS x1, y1 + 60 AS y1, x1 + 60 AS x2, y1 + 80 AS y2 FROM v_detections")
+def absolute_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A plate's box within the crop of its vehicle, in the coordinates of the frame."""
+    inner = F.array(F.lit(10), F.lit(60), F.lit(60), F.lit(80))
+    b = boxes.absolute_box(inner, F.col("bbox"))
+    return v.detections(spark, d).select("det_id", *[b[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
