@@ -86,10 +86,13 @@ def chained_tracks(links: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def track_summary(d: DataFrame) -> DataFrame:
-    """Per camera and track: best snapshot with its box and class, best quality, mean confidence, frames, latest box."""
+    """Per camera and track: best snapshot with its box and class, best quality, mean confidence, frames, latest box.
+
+    The mean is rounded twice, so that the order in which its terms are added does not decide a half.
+    """
     best = F.struct("quality", F.col("det_id"))
     return d.groupBy("camera_id", "track_id").agg(
-        F.max_by("det_id", best).alias("best_det"), F.max_by("bbox", best).alias("best_bbox"), F.max_by("bbox", F.struct("frame_idx", "det_id")).alias("latest_bbox"), F.max_by("class_name", best).alias("best_class"), F.max("quality").alias("best_quality"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count(F.lit(1)).alias("n_frames"), F.max_by("det_id", F.struct("frame_idx", "det_id")).alias("latest_det"),
+        F.max_by("det_id", best).alias("best_det"), F.max_by("bbox", best).alias("best_bbox"), F.max_by("bbox", F.struct("frame_idx", "det_id")).alias("latest_bbox"), F.max_by("class_name", best).alias("best_class"), F.max("quality").alias("best_quality"), F.round(F.round(F.avg("confidence"), 9), 4).alias("mean_confidence"), F.count(F.lit(1)).alias("n_frames"), F.max_by("det_id", F.struct("frame_idx", "det_id")).alias("latest_det"),
     )
 
 

@@ -456,7 +456,7 @@ def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).select("det_id", "quality")
 
 
-@_query(f"""{QUALITY_SQL}, r AS (SELECT *, round(q, 4) AS quality FROM ql) --- SELECT camera_id, track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det, arg_max(x1, (quality, det_id)) AS best_x1, arg_max(y1, (quality, det_id)) AS best_y1, arg_max(x1, (frame_idx, det_id)) AS latest_x1, arg_max(y1, (frame_idx, det_id)) AS latest_y1 FROM r GROUP BY camera_id, track_id""")
+@_query(f"""{QUALITY_SQL}, r AS (SELECT *, round(q, 4) AS quality FROM ql) --- SELECT camera_id, track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(round(avg(confidence), 9), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det, arg_max(x1, (quality, det_id)) AS best_x1, arg_max(y1, (quality, det_id)) AS best_y1, arg_max(x1, (frame_idx, det_id)) AS latest_x1, arg_max(y1, (frame_idx, det_id)) AS latest_y1 FROM r GROUP BY camera_id, track_id""")
 def track_summary(spark: SparkSession, d: str) -> DataFrame:
     corners = {f"{w}_{c}": F.col(f"{w}_bbox")[i] for w in ("best", "latest") for i, c in enumerate(("x1", "y1"))}
     return det.track_summary(_quality(spark, d)).withColumns(corners).drop("best_bbox", "latest_bbox")
@@ -799,7 +799,7 @@ heads AS (SELECT camera_id, prev_id AS det_id FROM l{MAX_AGE} UNION SELECT camer
 chain AS (SELECT camera_id, det_id, det_id AS track FROM heads h WHERE NOT EXISTS (SELECT 1 FROM l{MAX_AGE} l WHERE l.camera_id = h.camera_id AND l.det_id = h.det_id)
   UNION ALL SELECT c.camera_id, l.det_id, c.track FROM chain c JOIN l{MAX_AGE} l ON l.camera_id = c.camera_id AND l.prev_id = c.det_id),
 r AS (SELECT q.*, track, round(q, 4) AS quality FROM ql q JOIN chain USING (camera_id, det_id))
---- SELECT camera_id, track AS track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(avg(confidence), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det,
+--- SELECT camera_id, track AS track_id, arg_max(det_id, (quality, det_id)) AS best_det, arg_max(class_name, (quality, det_id)) AS best_class, max(quality) AS best_quality, round(round(avg(confidence), 9), 4) AS mean_confidence, count(*) AS n_frames, arg_max(det_id, (frame_idx, det_id)) AS latest_det,
   arg_max(x1, (quality, det_id)) AS best_x1, arg_max(y1, (quality, det_id)) AS best_y1, arg_max(x1, (frame_idx, det_id)) AS latest_x1, arg_max(y1, (frame_idx, det_id)) AS latest_y1 FROM r GROUP BY camera_id, track""", recursive=True)
 def tracks(spark: SparkSession, d: str) -> DataFrame:
     """From detections to summaries of tracks, over up to three missed frames."""
