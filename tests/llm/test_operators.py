@@ -140,7 +140,9 @@ def test_rows_match_sql(spark, name):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     want, got = con.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
     keys = list(want.columns)
-    assert got[keys].astype(str).sort_values(keys, ignore_index=True).equals(want.astype(str).sort_values(keys, ignore_index=True))
+    # whole numbers with nulls are floats in one and not in the other
+    shown = lambda df: df[keys].apply(lambda c: c.astype(float) if c.dtype.kind in "iuf" else c).astype(str).sort_values(keys, ignore_index=True)
+    assert shown(got).equals(shown(want))
 
 
 def test_fingerprints_estimate_similarity(spark):
