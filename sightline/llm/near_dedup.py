@@ -391,7 +391,8 @@ def components(docs: DataFrame, small: int = SMALL, levels: int = LEVELS, block_
 
     Documents whose sets have a Jaccard similarity of 0.75 or more are linked, components are what links reach, and
     component_id is the least doc_id of a component. Texts with fewer than five words are one shingle; null texts and
-    texts without words have no shingles, are linked with nothing and are components of their own. Equal rows are
+    texts without words have no shingles, are linked with nothing and are components of their own. Texts of any length are
+    compared whole; a similarity of exactly 0.75 links. Equal rows are
     rows of their own in one component; a null doc_id never names a component unless all its ids are null. An empty
     table gives an empty result; extra columns are ignored. text_key hashes the text; label names the component, null
     without words.

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length: str | None =
     """One row per piece: doc_id, piece, start, n_tokens, bin_group, bin, bin_size, bin_start; and text, with ``texts``.
 
     (bin_group, bin) names a bin, bin_size its permitted length after shrinking and bin_start where the piece starts in
-    it. Pieces of 0 tokens have no bin: bin, bin_size and bin_start are null. Repeated rows are packed one by one. Pieces
+    it. A text of any length is packed whole, in pieces of the greatest length at most; equal lengths go by id and piece. Pieces of 0 tokens (null and empty texts) have no bin: bin, bin_size and bin_start are null. Repeated rows are packed one by one. Pieces
     are dealt evenly, whatever their ids, to partitions that pack ``group`` at a time on their own, in the order of
     their ids, so a rerun packs alike; a task holds the rows of one such batch, or fewer where their texts exceed ``MOST_BYTES``.
     ``groups`` sets the number of partitions, by default that of the session's shuffles. An empty table gives an empty

@@ -154,7 +154,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; fold 0 of 5 is held out of training."""
+    """doc_id, held_out, score, predicted of every document; fold 0 of 5 is held out of training.
+
+    Null and empty texts all have the score of an empty text; a text of any length is scored whole. Equal texts have equal
+    scores, and a score of exactly 0.3 is predicted 1. Repeated rows are rows of their own; a null id is in fold 0 and has no label.
+    A doc_id with both labels teaches both. Without labels every score is 0.5; an empty table gives an empty result; other columns, whatever
+    their names, are ignored.
+    """
     weights = train(labelled_sample(docs, labels.filter(fold(F.col("doc_id"), 5) != 0)))
     scored = score(docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text"), weights, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
