@@ -32,13 +32,15 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
     fewer words than ``size`` make one shingle; no word, none."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
-    def hashed(words: Column) -> Column:
-        n = F.size(words)
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).when(n > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words, i, size)), 1))
-
-    # let words be evaluated once a row: a lambda's argument is a value
-    return F.sort_array(F.flatten(F.transform(F.array(words), hashed)))
+    def hashed(own: Column) -> Column:
+        """Each word is hashed once, and a shingle is the hash of its words' hashes."""
+        n = F.size(own)
+        full = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(size)]))
+        return F.when(n >= size, full).when(n > 0, F.array(F.xxhash64(own))).otherwise(F.array().cast("array<bigint>"))
+
+    # let hashes be evaluated once a row: a lambda's argument is a value
+    found = F.flatten(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashed))
+    return F.sort_array(F.transform(found, lambda h: F.shiftrightunsigned(h, 1)))
 
 
 def packed(text: Column) -> Column:

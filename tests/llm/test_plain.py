@@ -18,7 +18,7 @@ def chained(*parts):
     """Hash of several values, each seeded by the one before: texts by their bytes, numbers by four of them."""
     h = 42
     for p in parts:
-        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(4, "little", signed=True), h)
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(4, "little"), h)
     return h
 
 
@@ -29,7 +29,10 @@ def plain_fingerprint(text):
     shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
     bins = {}
     for s in shingles:
-        h = chained(*s) >> 1
+        h = 42
+        for w in s:
+            h = xxhash.xxh64_intdigest(chained(w).to_bytes(8, "little"), h)
+        h >>= 1
         b = h >> (63 - fp.BIN_BITS)
         bins[b] = min(bins.get(b, h), h)
     out = []
