@@ -16,7 +16,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ DELIMITERS = "=/."
 #: Longer examples are learned from in windows of so many symbols, each half over the one before; all are scored whole.
 WINDOW = 512
 #: Scored tokens that a task remembers, and their greatest length.
-MEMORY, SHORT = 200_000, 64
+MEMORY, SHORT = 20_000, 64
 
 Span = tuple[int, int, int]  # start, end, place of the kind
 
@@ -329,13 +329,42 @@ def likely(model: dict, token: str, margin: float = 0.5) -> list[Span]:
     return sorted(taken)
 
 
-def added_spans(model: dict, text: str, base: list[Span], known: dict[str, list[Span]]) -> list[Span]:
-    """The likely parts of what base spans leave of a text. ``known`` remembers short tokens."""
+#: Digits and halves of the alphabet, to read the character set of a segment off the few letters that are left.
+_HALVES = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "d" * 10 + "h" * 6 + "l" * 20 + "H" * 6 + "U" * 20)
+
+
+def hopeless(model: dict) -> Callable[[str], bool]:
+    """Whether no part of a token can be likely, told at once for single segments, the many words of ordinary text.
+
+    Where no automaton starts with the character set of the segment, each of its characters is an unseen step that leads
+    back to the start; if the likeliest steps could not make up for that in what follows, no part reaches a floor.
+    """
+    kinds = model["kinds"].values()
+    live = {c for m in kinds for c in m["automaton"]["0"]}
+    gain, floor = max(0.0, *(m["gain"] for m in kinds)), min(m["floor"] for m in kinds)
+
+    def test(token: str) -> bool:
+        segment = token.rstrip(".")
+        if not segment.isalnum():
+            return False
+        seen = set(segment.translate(_HALVES))
+        charset = ("1" if "d" in seen else "0") + ("2" if "l" in seen else "1" if "h" in seen else "0") + ("2" if "U" in seen else "1" if "H" in seen else "0")
+        n, size = len(token), len(segment)
+        return charset not in live and UNSEEN * size + gain * (n - size + 1) < floor * (n + 1)
+
+    return test
+
+
+def added_spans(model: dict, text: str, base: list[Span], known: dict[str, list[Span]], skip: Callable[[str], bool] | None = None) -> list[Span]:
+    """The likely parts of what base spans leave of a text. ``known`` remembers short tokens; ``skip`` is that of ``hopeless``."""
     found = []
     if not model["kinds"]:
         return found
+    skip = skip or hopeless(model)
     for a, b in free(text, base):
         token = text[a:b]
+        if skip(token):
+            continue
         spans = known.get(token)
         if spans is None:
             spans = likely(model, token)
@@ -367,6 +396,7 @@ def report(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[Span]] = {}
+        skip = hopeless(model) if model["kinds"] else None
         for batch in batches:
             counts, digests, spans = [[], [], []], [], []
             for text in batch.column("text").to_pylist():
@@ -374,7 +404,7 @@ def report(docs: DataFrame, model: dict | None = None) -> DataFrame:
                 for k in range(3):
                     counts[k].append(sum(s[2] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(base + added_spans(model, text or "", base, known)))
+                spans.append(joined(base + added_spans(model, text or "", base, known, skip)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -389,12 +419,12 @@ def redact(docs: DataFrame, model: dict | None = None, mask: str = "[SECRET]") -
     model = train(docs) if model is None else model
     python_workers(docs.sparkSession)
 
-    def clean(text: str | None, known: dict[str, list[Span]]) -> str | None:
+    def clean(text: str | None, known: dict[str, list[Span]], skip: Callable[[str], bool] | None) -> str | None:
         if not text:
             return text
         base = base_spans(text)
         out, at = [], 0
-        for a, b, _ in sorted(base + added_spans(model, text, base, known)):
+        for a, b, _ in sorted(base + added_spans(model, text, base, known, skip)):
             if a >= at:
                 out += [text[at:a], mask]
             at = max(at, b)
@@ -402,9 +432,10 @@ def redact(docs: DataFrame, model: dict | None = None, mask: str = "[SECRET]") -
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[Span]] = {}
+        skip = hopeless(model) if model["kinds"] else None
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t, known) for t in batch.column("text").to_pylist()], batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t, known, skip) for t in batch.column("text").to_pylist()], batch.schema.field(at).type))
 
     out = docs.mapInArrow(masked, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -111,6 +111,10 @@ def test_stopping_early_leaves_no_part_out():
     rates = {c: -2.0 for c in "dhlHU"}
     kind = {"automaton": automaton, "floor": floor}
     tokens = ["=".join(rng.choice([draw(rng.randrange(1, 60)), "ab_" + draw(rng.randrange(10, 30), "ABCDEFGH123"), "word", "x.y"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
-    for t in tokens:
+    skip = secrets.hopeless({"kinds": {"assign": {**kind, "gain": gain}}})
+    words = [draw(rng.randrange(1, 12), rng.choice(["abcxyz", "ABCXYZ", "abcABC", "0123456789", "ghijk"])) + rng.choice(["", ".", ".."]) for _ in range(300)]
+    assert any(map(skip, words)) and not all(map(skip, words))
+    for t in [*tokens, *words]:
+        assert not skip(t) or not secrets.likely({"rates": rates, "kinds": {"assign": {**kind, "gain": gain}}}, t)
         never = {"rates": rates, "kinds": {"assign": {**kind, "gain": 1e9}}}
         assert secrets.likely({"rates": rates, "kinds": {"assign": {**kind, "gain": gain}}}, t) == secrets.likely(never, t)
