@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.boxes import iou
 from sightline.functions.plates import clean_plate, format_plate, repair_plate
 from sightline.storage import written
 
@@ -15,30 +16,99 @@ def frame_association(d: DataFrame) -> DataFrame:
     """Links of detections with those one frame before: sure ones first at an overlap of 0.30 or more, then weak ones
     (confidence 0.10 to 0.50) at 0.15 or more with what is left. One to one by mutually best overlap, ties by least id.
 
-    Pairs are made once, and only those that overlap enough. All windows are within a camera and frame, as the join
-    is, so they need no further shuffle.
+    The detections of a frame meet those of the frame before in one task, and only links leave it: pairs are neither
+    sorted nor written.
     """
     return _associated(d, d, 1)
 
 
+#: Of a box's width: how far the left sides of boxes may be apart that are compared in each turn, the nearest first.
+REACH = (1 / 9, 1 / 3, 1.0, 3.0, 9.0)
+
+
+def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    order = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+    out = np.empty(len(order), int)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _distinct(box: np.ndarray, rank: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of the rows with one box that of the least rank, by left sides: at equal overlaps no other is ever best."""
+    rows = rows[((box[rows, 2] > box[rows, 0]) & (box[rows, 3] > box[rows, 1]))]
+    rows = rows[np.lexsort((rank[rows], *box[rows].T[::-1]))]
+    return rows[np.r_[True, (box[rows[1:]] != box[rows[:-1]]).any(1)]] if len(rows) else rows
+
+
+def _best(p: np.ndarray, q: np.ndarray, rank: np.ndarray, least: float, block: int = 256, wide: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """For each box of p the box of q that overlaps it most, the one of least rank at ties, and the overlap; -1 below ``least``.
+
+    Both are in the order of their left sides. Where these are apart by c of p's width, the overlap is 1 / (1 + c) at most, so boxes are met in
+    turns of growing c, and a box whose best is above what later turns can give is done.
+    """
+    at, top, left = np.full(len(p), -1), np.zeros(len(p)), np.arange(len(p))
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    areas = area(q)
+    for c in REACH:
+        reach = c * (p[:, 2] - p[:, 0])
+        for some in (left[i : i + block] for i in range(0, len(left), block)):
+            x, size, top[some], at[some] = p[some], area(p[some])[:, None], 0.0, -1
+            lo, hi = np.searchsorted(q[:, 0], (x[:, 0] - reach[some]).min(), "left"), np.searchsorted(q[:, 0], (x[:, 0] + reach[some]).max(), "right")
+            for start in range(lo, hi, wide):
+                y = q[start : min(start + wide, hi)]
+                both = np.maximum(0.0, np.minimum(x[:, 2:3], y[:, 2]) - np.maximum(x[:, 0:1], y[:, 0])) * np.maximum(0.0, np.minimum(x[:, 3:4], y[:, 3]) - np.maximum(x[:, 1:2], y[:, 1]))
+                overlap = both / (size + areas[start : start + len(y)] - both)
+                found = overlap.max(1)
+                ranked = np.where(overlap == found[:, None], rank[start : start + len(y)], np.iinfo(int).max)
+                nearest = ranked.argmin(1)
+                old = at[some]
+                better = (found > top[some]) | ((found == top[some]) & (old >= 0) & (ranked.min(1) < rank[old]))
+                at[some[better]], top[some[better]] = start + nearest[better], found[better]
+        if 1 / (1 + c) < least - 1e-9:
+            break
+        left = left[top[left] <= 1 / (1 + c) + 1e-9]
+    at[top < least] = -1
+    return at, top
+
+
+def _linked(box: np.ndarray, rank: np.ndarray, rows: np.ndarray, prev: np.ndarray, prev_rank: np.ndarray, prev_rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides that are best for each other, with their overlaps."""
+    rows, prev_rows = _distinct(box, rank, rows), _distinct(prev, prev_rank, prev_rows)
+    if not len(rows) or not len(prev_rows):
+        return rows[:0], prev_rows[:0], np.zeros(0)
+    to, top = _best(box[rows], prev[prev_rows], prev_rank[prev_rows], least)
+    chosen = np.unique(to[to >= 0])
+    back, _ = _best(prev[prev_rows[chosen]], box[rows], rank[rows], least)
+    mutual = np.flatnonzero(to >= 0)
+    mutual = mutual[back[np.searchsorted(chosen, to[mutual])] == mutual]
+    return rows[mutual], prev_rows[to[mutual]], top[mutual]
+
+
 def _associated(d: DataFrame, before: DataFrame, gap: int) -> DataFrame:
     """Links of detections with those of ``before`` that lie ``gap`` frames back."""
     frame = ["camera_id", "frame_idx"]
-    corners = lambda b, p: [F.col(b)[i].alias(f"{p}{i}") for i in range(4)]
-    now = d.filter("confidence >= 0.1").select(*frame, "det_id", (F.col("confidence") >= 0.5).alias("sure"), *corners("bbox", "a"))
-    prev = before.select("camera_id", (F.col("frame_idx") + gap).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners("bbox", "b"))
-    overlap = iou([F.col(f"a{i}") for i in range(4)], [F.col(f"b{i}") for i in range(4)])
-    pairs = now.join(prev, frame).withColumn("overlap", overlap).filter(F.col("overlap") >= F.when(F.col("sure"), 0.30).otherwise(0.15))
-    pairs = pairs.select(*frame, "det_id", "prev_id", "sure", "overlap")
-
-    def mutual(rows: DataFrame, among: str) -> Column:
-        best = lambda one, other: F.row_number().over(W.partitionBy(*frame, one, among).orderBy(F.desc("overlap"), other))
-        return (best("det_id", "prev_id") == 1) & (best("prev_id", "det_id") == 1)
-
-    first = pairs.withColumn("_first", mutual(pairs, "sure") & F.col("sure"))
-    left = first.withColumn("_left", ~F.col("sure") & ~F.bool_or("_first").over(W.partitionBy(*frame, "prev_id"))).filter("_first or _left")
-    second = left.withColumn("stage", F.when(F.col("_first"), 1).when(mutual(left, "_left"), 2)).filter("stage is not null")
-    return second.select(*frame, "det_id", "prev_id", F.round("overlap", 4).alias("overlap"), "stage")
+    corners = [F.col("bbox")[i].cast("double").alias(f"b{i}") for i in range(4)]
+    whole = lambda df: df.dropna(subset=[*frame, "b0", "b1", "b2", "b3"])
+    # new names of columns, as both sides may come from one table
+    now = whole(d.filter("confidence >= 0.1").select(*[F.col(c).alias(c) for c in frame], "det_id", (F.col("confidence") >= 0.5).alias("sure"), *corners))
+    prev = whole(before.select(F.col("camera_id").alias("camera_id"), (F.col("frame_idx") + gap).cast(d.schema["frame_idx"].dataType).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners))
+
+    def links(a: pa.Table, b: pa.Table) -> pa.Table:
+        boxes = lambda t: np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1)
+        box, prev_box, rank, prev_rank = boxes(a), boxes(b), _ranks(a.column("det_id")), _ranks(b.column("prev_id"))
+        sure, free = a.column("sure").to_numpy(), np.ones(len(prev_box), bool)
+        first = _linked(box, rank, np.flatnonzero(sure), prev_box, prev_rank, np.flatnonzero(free), 0.30)
+        free[first[1]] = False
+        second = _linked(box, rank, np.flatnonzero(~sure), prev_box, prev_rank, np.flatnonzero(free), 0.15)
+        now_at, prev_at, overlap = (np.concatenate(x) for x in zip(first, second, strict=True))
+        stage = np.repeat(np.array([1, 2], np.int32), [len(first[0]), len(second[0])])
+        rows = a.select([*frame, "det_id"]).take(pa.array(now_at))
+        return rows.append_column("prev_id", b.column("prev_id").take(pa.array(prev_at))).append_column("overlap", pa.array(overlap)).append_column("stage", pa.array(stage))
+
+    kind = lambda c: d.schema[c].dataType.simpleString()
+    schema = f"camera_id {kind('camera_id')}, frame_idx {kind('frame_idx')}, det_id {kind('det_id')}, prev_id {kind('det_id')}, overlap double, stage int"
+    found = now.groupBy(*frame).cogroup(prev.groupBy(*frame)).applyInArrow(links, schema)
+    return found.withColumn("overlap", F.round("overlap", 4))
 
 
 def association_over_gaps(d: DataFrame, max_age: int = 30) -> DataFrame:
