@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sightline.llm.common import importable, written
+from sightline.llm.common import python_workers, written
 
 LONGEST = 4
 #: Tokens of a trigger window; an n-gram that starts before a cut reaches as far.
@@ -35,6 +35,8 @@ UNKNOWN = "und"
 BLOOM_BITS, PROBES = 27, 3
 #: Bytes of chunks that a task counts at once.
 HELD = 8 << 20
+#: Bytes of texts that a task parses at once; a longer text is parsed alone.
+PARSED = 2 << 20
 #: Parts of a language that are ranked apart before the last ranking.
 SALTS = 64
 
@@ -111,8 +113,18 @@ def parse(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray
     return owner[at], _joined(words, ids[_spread(at, size)], size), own, real[at + own] - real[at]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs that end where their texts fill ``PARSED`` bytes once more."""
     for batch in batches:
+        full = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)) // PARSED
+        at = np.flatnonzero(np.diff(full, prepend=-1))
+        for start, end in zip(at, np.append(at[1:], len(full)), strict=True):
+            # copied, as pyarrow 23 lower-cases slices that were cast wrongly
+            yield batch.take(pa.array(np.arange(start, end)))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _bounded(batches):
         owner, text, own, n = parse(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(owner)), text.cast(pa.string()), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32))], ["lang", "chunk", "own", "words"])
 
@@ -122,7 +134,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
     ``own`` is the number of tokens whose n-grams the chunk counts, ``words`` how many of them are words.
     """
-    importable(docs.sparkSession)
+    python_workers(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found = rows.mapInArrow(_chunks, "lang string, chunk string, own int, words int")
     return found.groupBy("lang", "chunk", "own").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("freq"))

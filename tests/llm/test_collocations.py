@@ -83,3 +83,14 @@ def test_chunks_own_every_token_once_and_cut_by_content():
     one, two = ({c for c, o in zip(chunks.to_pylist(), owner, strict=True) if o == i} for i in (0, 1))
     # all but the first and the last chunk are found again where the passage stands elsewhere
     assert len(one & two) >= len(one) - 2 > 20 and own.max() <= co.MOST
+
+
+def test_texts_are_parsed_in_runs_of_bounded_bytes():
+    """A batch of many texts is not parsed at once, and its chunks are those of each text."""
+    texts = ["", *(f"some words of text {i}, and more of them; " * 200 for i in range(1000)), "word " * co.PARSED, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    runs = [[len(t) for t in r.column("text").to_pylist()] for r in co._bounded(iter([batch]))]
+    assert [n for r in runs for n in r] == [len(t) for t in texts]
+    assert all(sum(r) < co.PARSED + max(r) for r in runs) and len(runs) > 3
+    got = [c for b in co._chunks(iter([batch])) for c in b.column("chunk").to_pylist()]
+    assert got == [c for t in texts for c in co.parse(pa.array([t]))[1].to_pylist()]
