@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sightline.functions.plates import clean_plate, format_plate, repair_plate
 from sightline.storage import written
@@ -19,7 +20,7 @@ def frame_association(d: DataFrame) -> DataFrame:
     The detections of a frame meet those of the frame before in one task, and only links leave it: pairs are neither
     sorted nor written.
     """
-    return _associated(d, d, 1)
+    return _associated(d, 1).drop("gap")
 
 
 #: Of a box's width: how far the left sides of boxes may be apart that are compared in each turn, the nearest first.
@@ -84,48 +85,62 @@ def _linked(box: np.ndarray, rank: np.ndarray, rows: np.ndarray, prev: np.ndarra
     return rows[mutual], prev_rows[to[mutual]], top[mutual]
 
 
-def _associated(d: DataFrame, before: DataFrame, gap: int) -> DataFrame:
-    """Links of detections with those of ``before`` that lie ``gap`` frames back."""
-    frame = ["camera_id", "frame_idx"]
-    corners = [F.col("bbox")[i].cast("double").alias(f"b{i}") for i in range(4)]
-    whole = lambda df: df.dropna(subset=[*frame, "b0", "b1", "b2", "b3"])
-    # new names of columns, as both sides may come from one table
-    now = whole(d.filter("confidence >= 0.1").select(*[F.col(c).alias(c) for c in frame], "det_id", (F.col("confidence") >= 0.5).alias("sure"), *corners))
-    prev = whole(before.select(F.col("camera_id").alias("camera_id"), (F.col("frame_idx") + gap).cast(d.schema["frame_idx"].dataType).alias("frame_idx"), F.col("det_id").alias("prev_id"), *corners))
-
-    def links(a: pa.Table, b: pa.Table) -> pa.Table:
-        boxes = lambda t: np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1)
-        box, prev_box, rank, prev_rank = boxes(a), boxes(b), _ranks(a.column("det_id")), _ranks(b.column("prev_id"))
-        sure, free = a.column("sure").to_numpy(), np.ones(len(prev_box), bool)
-        first = _linked(box, rank, np.flatnonzero(sure), prev_box, prev_rank, np.flatnonzero(free), 0.30)
-        free[first[1]] = False
-        second = _linked(box, rank, np.flatnonzero(~sure), prev_box, prev_rank, np.flatnonzero(free), 0.15)
-        now_at, prev_at, overlap = (np.concatenate(x) for x in zip(first, second, strict=True))
-        stage = np.repeat(np.array([1, 2], np.int32), [len(first[0]), len(second[0])])
-        rows = a.select([*frame, "det_id"]).take(pa.array(now_at))
-        return rows.append_column("prev_id", b.column("prev_id").take(pa.array(prev_at))).append_column("overlap", pa.array(overlap)).append_column("stage", pa.array(stage))
+def _associated(d: DataFrame, max_age: int) -> DataFrame:
+    """Links of detections with earlier ones up to ``max_age`` frames back, in rounds, the nearest gap first.
 
+    A camera's frames are cut into runs, and a run's detections meet in one task with those of the frames just before it: the links of a
+    frame over gaps up to n follow from it and the n (n + 1) / 2 frames before, so all rounds are made there and rows are shuffled
+    about once. Only links of the run's own frames leave it. Ids name one detection of a camera.
+    """
+    halo = max_age * (max_age + 1) // 2
+    run = max(16, 4 * halo)
+    frame, corners = F.col("frame_idx").cast("long"), [F.col("bbox")[i].cast("double").alias(f"b{i}") for i in range(4)]
+    sure = F.when(F.col("confidence") >= 0.5, 2).when(F.col("confidence") >= 0.1, 1).otherwise(0).cast("byte")
+    rows = d.select("camera_id", frame.alias("_frame"), "det_id", sure.alias("sure"), *corners).dropna(subset=["camera_id", "_frame", "b0", "b1", "b2", "b3"])
+    own = F.col("_frame") - F.pmod("_frame", F.lit(run))
+    runs = F.explode(F.filter(F.array(own, F.when(F.col("_frame") >= own + (run - halo), own + run)), lambda x: x.isNotNull()))
+    rows = rows.withColumn("_run", runs).withColumn("_at", (F.col("_frame") - F.col("_run")).cast("int")).drop("_frame")
+
+    def links(t: pa.Table) -> pa.Table:
+        box, rank, at, kind = np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1), _ranks(t.column("det_id")), t.column("_at").to_numpy(), t.column("sure").to_numpy()
+        order = np.argsort(at, kind="stable")
+        frames, starts = np.unique(at[order], return_index=True)
+        of = dict(zip(frames.tolist(), np.split(order, starts[1:]), strict=True))
+        linked, followed = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0)]
+        for gap in range(1, max_age + 1):
+            # a round goes by what the rounds before it have left; over more than a frame a track goes on from sure and linked detections
+            left, ends = (kind > 0) & ~linked, ~followed & ((gap == 1) | (kind == 2) | linked)
+            for f, rows in of.items():
+                now, prev = rows[left[rows]], of.get(f - gap, rows[:0])
+                prev = prev[ends[prev]]
+                if not len(now) or not len(prev):
+                    continue
+                for stage, some, least in ((1, kind[now] == 2, 0.30), (2, kind[now] == 1, 0.15)):
+                    to, back, overlap = _linked(box, rank, now[some], box, rank, prev[~followed[prev]], least)
+                    linked[to], followed[back] = True, True
+                    found.append((to, back, overlap, stage, gap))
+        to, back, overlap = (np.concatenate([x[i] for x in found]) for i in range(3))
+        stage, gap = (np.repeat(np.array([x[i] for x in found], np.int32), [len(x[0]) for x in found]) for i in (3, 4))
+        mine = at[to] >= 0
+        to, back = pa.array(to[mine]), pa.array(back[mine])
+        first = pc.add(t.column("_run").take(to), t.column("_at").take(to).cast("int64")).cast(target)
+        out = {"camera_id": t.column("camera_id").take(to), "frame_idx": first, "det_id": t.column("det_id").take(to), "prev_id": t.column("det_id").take(back)}
+        return pa.table(out | {"overlap": pa.array(overlap[mine]), "stage": pa.array(stage[mine]), "gap": pa.array(gap[mine])})
+
+    target = to_arrow_type(d.schema["frame_idx"].dataType)
     kind = lambda c: d.schema[c].dataType.simpleString()
-    schema = f"camera_id {kind('camera_id')}, frame_idx {kind('frame_idx')}, det_id {kind('det_id')}, prev_id {kind('det_id')}, overlap double, stage int"
-    found = now.groupBy(*frame).cogroup(prev.groupBy(*frame)).applyInArrow(links, schema)
-    return found.withColumn("overlap", F.round("overlap", 4))
+    schema = f"camera_id {kind('camera_id')}, frame_idx {kind('frame_idx')}, det_id {kind('det_id')}, prev_id {kind('det_id')}, overlap double, stage int, gap int"
+    return rows.groupBy("camera_id", "_run").applyInArrow(links, schema).withColumn("overlap", F.round("overlap", 4))
 
 
 def association_over_gaps(d: DataFrame, max_age: int = 30) -> DataFrame:
     """Links as of ``frame_association``, and over up to ``max_age`` frames where a vehicle was missed, with their ``gap``.
 
     Gaps are joined in rounds, the nearest first: each round links detections that have no earlier one yet with the last
-    ones of tracks so far, by the same two stages. A track goes on from sure detections and from linked ones. What a round
-    reads are the detections that the rounds before have left.
+    ones of tracks so far, by the same two stages. A track goes on from sure detections and from linked ones.
     """
-    links = written(frame_association(d).withColumn("gap", F.lit(1)), "links1")
-    key = ["camera_id", "det_id"]
-    for gap in range(2, max_age + 1):
-        followed = links.select("camera_id", F.col("prev_id").alias("det_id"))
-        ends = d.join(followed, key, "left_anti").join(links.select(*key, F.lit(True).alias("_linked")), key, "left").filter("confidence >= 0.5 or _linked")
-        more = written(_associated(d.join(links.select(*key), key, "left_anti"), ends, gap).withColumn("gap", F.lit(gap)), f"links{gap}")
-        links = links.unionByName(more)
-    return links
+    return _associated(d, max(1, max_age))
 
 
 def tracks(d: DataFrame, max_age: int = 30) -> DataFrame:
