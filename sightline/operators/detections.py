@@ -85,50 +85,68 @@ def _linked(box: np.ndarray, rank: np.ndarray, rows: np.ndarray, prev: np.ndarra
     return rows[mutual], prev_rows[to[mutual]], top[mutual]
 
 
-def _associated(d: DataFrame, max_age: int) -> DataFrame:
-    """Links of detections with earlier ones up to ``max_age`` frames back, in rounds, the nearest gap first.
+def _runs(d: DataFrame, max_age: int, *more: str) -> tuple[DataFrame, int, int]:
+    """Detections by camera and run of frames, with those of the frames just before it, and how many frames a run and these are.
 
-    A camera's frames are cut into runs, and a run's detections meet in one task with those of the frames just before it: the links of a
-    frame over gaps up to n follow from it and the n (n + 1) / 2 frames before, so all rounds are made there and rows are shuffled
-    about once. Only links of the run's own frames leave it. Ids name one detection of a camera.
+    The links of a frame over gaps up to n follow from it and the n (n + 1) / 2 frames before. Rows without a place are left out.
     """
     halo = max_age * (max_age + 1) // 2
     run = max(16, 4 * halo)
     frame, corners = F.col("frame_idx").cast("long"), [F.col("bbox")[i].cast("double").alias(f"b{i}") for i in range(4)]
     sure = F.when(F.col("confidence") >= 0.5, 2).when(F.col("confidence") >= 0.1, 1).otherwise(0).cast("byte")
-    rows = d.select("camera_id", frame.alias("_frame"), "det_id", sure.alias("sure"), *corners).dropna(subset=["camera_id", "_frame", "b0", "b1", "b2", "b3"])
+    rows = d.select("camera_id", frame.alias("_frame"), "det_id", sure.alias("sure"), *corners, *more).dropna(subset=["camera_id", "_frame", "b0", "b1", "b2", "b3"])
     own = F.col("_frame") - F.pmod("_frame", F.lit(run))
     runs = F.explode(F.filter(F.array(own, F.when(F.col("_frame") >= own + (run - halo), own + run)), lambda x: x.isNotNull()))
-    rows = rows.withColumn("_run", runs).withColumn("_at", (F.col("_frame") - F.col("_run")).cast("int")).drop("_frame")
+    return rows.withColumn("_run", runs).withColumn("_at", (F.col("_frame") - F.col("_run")).cast("int")).drop("_frame"), run, halo
+
+
+def _rounds(t: pa.Table, max_age: int) -> tuple[np.ndarray, ...]:
+    """Of the rows of a run: the linked rows of its own frames, the rows before them, overlaps, stages and gaps; and of all rows their
+    frames, which rows are linked, and whether they are sure (2), weak (1) or less."""
+    box, rank, at, kind = np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1), _ranks(t.column("det_id")), t.column("_at").to_numpy(), t.column("sure").to_numpy()
+    order = np.argsort(at, kind="stable")
+    frames, starts = np.unique(at[order], return_index=True)
+    of = dict(zip(frames.tolist(), np.split(order, starts[1:]), strict=True))
+    linked, followed = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0)]
+    for gap in range(1, max_age + 1):
+        # a round goes by what the rounds before it have left; over more than a frame a track goes on from sure and linked detections
+        left, ends = (kind > 0) & ~linked, ~followed & ((gap == 1) | (kind == 2) | linked)
+        for f, rows in of.items():
+            now, prev = rows[left[rows]], of.get(f - gap, rows[:0])
+            prev = prev[ends[prev]]
+            if not len(now) or not len(prev):
+                continue
+            for stage, some, least in ((1, kind[now] == 2, 0.30), (2, kind[now] == 1, 0.15)):
+                to, back, overlap = _linked(box, rank, now[some], box, rank, prev[~followed[prev]], least)
+                linked[to], followed[back] = True, True
+                found.append((to, back, overlap, stage, gap))
+    to, back, overlap = (np.concatenate([x[i] for x in found]) for i in range(3))
+    stage, gap = (np.repeat(np.array([x[i] for x in found], np.int32), [len(x[0]) for x in found]) for i in (3, 4))
+    mine = at[to] >= 0
+    return to[mine], back[mine], overlap[mine], stage[mine], gap[mine], at, linked, kind
+
+
+def _frames(t: pa.Table, kind: pa.DataType) -> pa.ChunkedArray:
+    return pc.add(t.column("_run"), t.column("_at").cast("int64")).cast(kind)
+
+
+def _associated(d: DataFrame, max_age: int) -> DataFrame:
+    """Links of detections with earlier ones up to ``max_age`` frames back, in rounds, the nearest gap first.
+
+    A camera's frames are cut into runs, and a run's detections meet in one task with those of the frames just before it: all rounds
+    are made there and rows are shuffled about once. Only links of the run's own frames leave it. Ids name one detection of a camera.
+    """
+    rows, _, _ = _runs(d, max_age)
+    frame = to_arrow_type(d.schema["frame_idx"].dataType)
 
     def links(t: pa.Table) -> pa.Table:
-        box, rank, at, kind = np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1), _ranks(t.column("det_id")), t.column("_at").to_numpy(), t.column("sure").to_numpy()
-        order = np.argsort(at, kind="stable")
-        frames, starts = np.unique(at[order], return_index=True)
-        of = dict(zip(frames.tolist(), np.split(order, starts[1:]), strict=True))
-        linked, followed = np.zeros(len(at), bool), np.zeros(len(at), bool)
-        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0)]
-        for gap in range(1, max_age + 1):
-            # a round goes by what the rounds before it have left; over more than a frame a track goes on from sure and linked detections
-            left, ends = (kind > 0) & ~linked, ~followed & ((gap == 1) | (kind == 2) | linked)
-            for f, rows in of.items():
-                now, prev = rows[left[rows]], of.get(f - gap, rows[:0])
-                prev = prev[ends[prev]]
-                if not len(now) or not len(prev):
-                    continue
-                for stage, some, least in ((1, kind[now] == 2, 0.30), (2, kind[now] == 1, 0.15)):
-                    to, back, overlap = _linked(box, rank, now[some], box, rank, prev[~followed[prev]], least)
-                    linked[to], followed[back] = True, True
-                    found.append((to, back, overlap, stage, gap))
-        to, back, overlap = (np.concatenate([x[i] for x in found]) for i in range(3))
-        stage, gap = (np.repeat(np.array([x[i] for x in found], np.int32), [len(x[0]) for x in found]) for i in (3, 4))
-        mine = at[to] >= 0
-        to, back = pa.array(to[mine]), pa.array(back[mine])
-        first = pc.add(t.column("_run").take(to), t.column("_at").take(to).cast("int64")).cast(target)
-        out = {"camera_id": t.column("camera_id").take(to), "frame_idx": first, "det_id": t.column("det_id").take(to), "prev_id": t.column("det_id").take(back)}
-        return pa.table(out | {"overlap": pa.array(overlap[mine]), "stage": pa.array(stage[mine]), "gap": pa.array(gap[mine])})
-
-    target = to_arrow_type(d.schema["frame_idx"].dataType)
+        to, back, overlap, stage, gap, *_ = _rounds(t, max_age)
+        out = t.select(["camera_id", "det_id"]).append_column("frame_idx", _frames(t, frame)).take(pa.array(to)).select(["camera_id", "frame_idx", "det_id"])
+        for name, column in (("prev_id", t.column("det_id").take(pa.array(back))), ("overlap", pa.array(overlap)), ("stage", pa.array(stage)), ("gap", pa.array(gap))):
+            out = out.append_column(name, column)
+        return out
+
     kind = lambda c: d.schema[c].dataType.simpleString()
     schema = f"camera_id {kind('camera_id')}, frame_idx {kind('frame_idx')}, det_id {kind('det_id')}, prev_id {kind('det_id')}, overlap double, stage int, gap int"
     return rows.groupBy("camera_id", "_run").applyInArrow(links, schema).withColumn("overlap", F.round("overlap", 4))
@@ -148,8 +166,62 @@ def tracks(d: DataFrame, max_age: int = 30) -> DataFrame:
 
     d has quality. A track whose vehicle is missed for more than ``max_age`` frames ends, and a later one is a new track.
     """
-    named = chained_tracks(association_over_gaps(d, max_age), d)
-    return track_summary(d.drop("track_id").join(named.withColumnRenamed("track", "track_id"), ["camera_id", "det_id"]))
+    return track_summary(track_members(d, max(1, max_age)))
+
+
+def track_members(d: DataFrame, max_age: int) -> DataFrame:
+    """Detections of tracks with track_id, as ``chained_tracks`` names them from the links over gaps, and what ``track_summary`` reads.
+
+    Links are made run by run of frames, and a run's task chains its own: a detection leaves it with the first of its chain there, or
+    with one of the run before, where ``open`` is set. Only the last frames of runs (``edge``) may be asked for by the next run, so
+    heads are found by doubling among these few alone. Rows carry their columns, so detections are shuffled once and met with nothing again.
+    """
+    more = ["confidence", "quality", "class_name"]
+    rows, run, _ = _runs(d, max_age, *more)
+    corners = [f"b{i}" for i in range(4)]
+    frame = to_arrow_type(d.schema["frame_idx"].dataType)
+
+    def members(t: pa.Table) -> pa.Table:
+        to, back, _, _, _, at, linked, kind = _rounds(t, max_age)
+        up = np.arange(len(at))
+        up[to] = back
+        while (up[up] != up).any():
+            up = up[up]
+        followed = np.zeros(len(at), bool)
+        followed[back] = True
+        starts = np.flatnonzero((at >= 0) & ~linked & ((kind == 2) | followed))
+        # a weak detection that only the next run follows starts a track, unless its own run has linked it
+        maybe = np.flatnonzero((at < 0) & (kind < 2) & followed)
+        some = np.concatenate([to, starts, maybe])
+        tail = np.arange(len(some)) < len(to)
+        out = t.select(["camera_id", "det_id", *more, *corners]).append_column("frame_idx", _frames(t, frame)).append_column("track_id", t.column("det_id").take(pa.array(up))).take(pa.array(some))
+        flags = {"open": tail & (at[up[some]] < 0), "edge": tail & (at[some] >= run - max_age), "maybe": at[some] < 0}
+        for name, flag in flags.items():
+            out = out.append_column(name, pa.array(flag))
+        return out
+
+    kind = lambda c: d.schema[c].dataType.simpleString()
+    schema = ", ".join([f"{c} {kind(c)}" for c in ("camera_id", "det_id", *more)] + [f"{c} double" for c in corners] + [f"frame_idx {kind('frame_idx')}, track_id {kind('det_id')}, open boolean, edge boolean, maybe boolean"])
+    found = written(rows.groupBy("camera_id", "_run").applyInArrow(members, schema), "track-members")
+    key = ["camera_id", "track_id"]
+    edges = heads = found.filter("edge").select("camera_id", "det_id", "track_id", "open")
+    turn = 0
+    while not heads.filter("open").isEmpty():
+        up = heads.select("camera_id", F.col("det_id").alias("track_id"), F.col("track_id").alias("_up"), F.col("open").alias("_open"))
+        heads = heads.join(up, key, "left").select("camera_id", "det_id", F.coalesce("_up", "track_id").alias("track_id"), (F.col("open") & F.coalesce("_open", F.lit(False))).alias("open"))
+        heads, turn = written(heads, f"heads{turn}"), turn + 1
+    names = ["camera_id", "det_id", *more, "frame_idx", *corners, "track_id"]
+    ends = heads.select("camera_id", F.col("det_id").alias("track_id"), F.col("track_id").alias("_up"))
+    late = found.filter("open").join(ends, key, "left").withColumn("track_id", F.coalesce("_up", "track_id")).select(*names)
+    weak = found.filter("maybe").join(edges.select("camera_id", "det_id"), ["camera_id", "det_id"], "left_anti").select(*names)
+    placed = found.filter("not open and not maybe").select(*names).unionByName(late).unionByName(weak)
+    placed = placed.withColumn("bbox", F.array(*corners).cast(d.schema["bbox"].dataType)).drop(*corners)
+    # sure detections without a frame or box are tracks of their own
+    lone = F.col("frame_idx").isNull()
+    for i in range(4):
+        lone |= F.col("bbox")[i].isNull()
+    alone = d.filter((F.col("confidence") >= 0.5) & F.col("camera_id").isNotNull() & lone).withColumn("track_id", F.col("det_id"))
+    return placed.unionByName(alone.select(*placed.columns))
 
 
 def chained_tracks(links: DataFrame, d: DataFrame) -> DataFrame:

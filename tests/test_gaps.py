@@ -50,3 +50,32 @@ def test_detections_are_shuffled_once_for_all_gaps(spark):
     d = spark.range(4000).select(F.lit("C1").alias("camera_id"), (F.col("id") % 90).alias("frame_idx"), F.col("id").alias("det_id"), F.array(*[(F.col("id") % 9 + x).cast("int") for x in (0, 0, 50, 50)]).alias("bbox"), F.lit(0.9).alias("confidence"))
     plan = det.association_over_gaps(d, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Scan parquet" not in plan
+
+
+def test_members_of_tracks_are_the_chains_of_links(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, n in enumerate(rng.permutation(1500)):
+        x, y = int(rng.integers(0, 300)), int(rng.integers(0, 60))
+        place = (int(rng.integers(-40, 90)), [x, y, x + 120, y + 90])
+        frame, box = (None, place[1]) if i % 100 == 0 else (place[0], [x, None, 1, 2]) if i % 100 == 1 else place
+        rows.append(("C1" if i % 3 else "C2", frame, int(n), box, float(rng.choice([0.05, 0.3, 0.9])), "car", 0.5))
+    df = spark.createDataFrame(rows, SCHEMA + ", class_name string, quality double").repartition(5)
+    kept, write = [], det.written
+
+    def counted(some, name):
+        out = write(some, name)
+        kept.append(out.count())
+        return out
+
+    for max_age in (1, 3):
+        want = {(r.camera_id, r.det_id, r.track) for r in det.chained_tracks(det.association_over_gaps(df, max_age), df).collect()}
+        kept.clear()
+        monkeypatch.setattr(det, "written", counted)
+        summary = det.tracks(df, max_age).collect()
+        monkeypatch.setattr(det, "written", write)
+        # heads are sought among the last frames of runs alone
+        assert sum(kept) < 1.6 * len(rows)
+        got = [(r.camera_id, r.det_id, r.track_id) for r in det.track_members(df, max_age).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sum(r.n_frames for r in summary) == len(want) and {(r.camera_id, r.track_id) for r in summary} == {(c, t) for c, _, t in want}
